@@ -1,7 +1,14 @@
 """Registered queries of the training-data operators."""
 
+from quarrylens.llm.decontaminate import op3_decontamination
+from quarrylens.llm.jaccard import op7_jaccard
 from quarrylens.llm.packing import op8_packing
 from quarrylens.llm.toxicity import op10_toxicity
 
-QUERIES = {"op8_best_fit_packing": op8_packing, "op10_toxicity_crf": op10_toxicity}
+QUERIES = {
+    "op3_decontamination_simhash": op3_decontamination,
+    "op7_jaccard_signature_trees": op7_jaccard,
+    "op8_best_fit_packing": op8_packing,
+    "op10_toxicity_crf": op10_toxicity,
+}
 ORACLE_SQL: dict[str, str] = {}
