@@ -76,12 +76,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return out.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def top_per_class(rows: DataFrame, label: str, n: int) -> DataFrame:
-    """At most n rows of each label value, the ones whose hashed doc_id is smallest."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+def sample_per_class(rows: DataFrame, label: str, n: int) -> DataFrame:
+    """About n rows of each label value (all, if it has fewer): those whose hashed doc_id is below the class's share."""
+    share = rows.groupBy(label).agg(F.least(F.lit(1.0), n / F.count(F.lit(1))).alias("__share")).withColumnRenamed(label, "__class")
+    picked = rows.join(F.broadcast(share), F.col(label) == F.col("__class"))
+    return picked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("__share") * (1 << 20)).drop("__class", "__share")
 
 
 def chunks(texts: list[str], size: int = 2_000_000):

@@ -1,7 +1,7 @@
 """Language identification by a string kernel: blended-spectrum presence kernel, Nystroem landmarks, ridge regression.
 
 Kernel: k(x, y) = shared n-grams / sqrt(n-grams of x * n-grams of y), n-grams of 1 to ORDERS bytes of UTF-8 counted by
-presence, hashed to SLOTS. A bounded sample of learnable rows (at most FIT_ROWS, spread over the languages) comes
+presence, hashed to SLOTS. A bounded sample of learnable rows (about FIT_ROWS at most, spread over the languages, by hash sampling) comes
 to the driver as presence bitmaps of fixed size. LANDMARKS of them span the Nystroem map k(x, landmarks) K^(-1/2);
 one ridge regression for each language is fitted on it. Since the kernel is linear in the presence vector, landmarks, map and
 weights multiply to one matrix (slots x languages); whole texts are scored by batched products with it.
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarrylens.llm.common import held_out, table, top_per_class
+from quarrylens.llm.common import held_out, table, sample_per_class
 
 ORDERS, SLOTS = 4, 1 << 15
 FIT_ROWS, PER_LANGUAGE, LANDMARKS, RIDGE = 3000, 400, 300, 1e-2
@@ -89,7 +89,7 @@ def fit_on(docs: DataFrame, learnable) -> tuple[list[str], np.ndarray]:
     n = names.select("__lang").distinct().count()
     if not n:
         return fit([], [])
-    picked = top_per_class(names.where("doc_id is not null"), "__lang", max(1, min(PER_LANGUAGE, FIT_ROWS // n)))
+    picked = sample_per_class(names.where("doc_id is not null"), "__lang", max(1, min(PER_LANGUAGE, FIT_ROWS // n)))
     rows = docs.select("doc_id", "text").where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "__lang")
 
     def pack(batches):

@@ -1,12 +1,18 @@
 """Registered queries of the training-data operators."""
 
 from quarrylens.llm.decontaminate import op3_decontamination
+from quarrylens.llm.embedding_dedup import op5_embeddings
 from quarrylens.llm.jaccard import op7_jaccard
+from quarrylens.llm.langid import op1_language
 from quarrylens.llm.packing import op8_packing
+from quarrylens.llm.pii import op4_pii
 from quarrylens.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_language_string_kernel": op1_language,
     "op3_decontamination_simhash": op3_decontamination,
+    "op4_pii_boosted_candidates": op4_pii,
+    "op5_embedding_sorted_projections": op5_embeddings,
     "op7_jaccard_signature_trees": op7_jaccard,
     "op8_best_fit_packing": op8_packing,
     "op10_toxicity_crf": op10_toxicity,

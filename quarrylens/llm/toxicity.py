@@ -1,6 +1,6 @@
 """Toxicity: a linear-chain conditional random field tags offending tokens; its marginals make document scores.
 
-Fit, on a bounded sample: at most FIT_DOCS labelled rows of each class, none longer than FIT_CHARS characters.
+Fit, on a bounded sample: about FIT_DOCS labelled rows of each class (hash sampling), none longer than FIT_CHARS characters.
 Words that mark label 1 (document frequency contrast) label the tokens of label-1 documents; on these labelled
 tokens a two-state chain (plain, toxic) is trained by gradient ascent on its likelihood. Score: forward-backward
 over whole texts; the expected number of toxic tokens and the largest marginal of a document go through a
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarrylens.llm.common import chunks, held_out, table, top_per_class
+from quarrylens.llm.common import chunks, held_out, table, sample_per_class
 
 FIT_DOCS = 2000
 FIT_CHARS = 20_000
@@ -281,7 +281,7 @@ def score_texts(texts: list[str], model: Crf, ids: WordIds) -> tuple[np.ndarray,
 def fit_on(docs: DataFrame, labels: DataFrame, train) -> Crf:
     """Sample labelled rows where train holds and fit on the driver (bounded by FIT_DOCS and FIT_CHARS)."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
-    picked = top_per_class(known.where(train), "__toxic", FIT_DOCS)
+    picked = sample_per_class(known.where(train), "__toxic", FIT_DOCS)
     rows = docs.where(F.length("text") <= FIT_CHARS).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "__toxic")
     rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in rows], [r["__toxic"] for r in rows])
