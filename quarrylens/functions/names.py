@@ -122,7 +122,7 @@ def path_stem(text: Column) -> Column:
 
 def java_hash(text: Column) -> Column:
     """String.hashCode over code points below 65536: h * 31 + c in 32 bits, signed."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("long"))
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long"))
     h = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
 

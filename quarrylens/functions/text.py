@@ -26,7 +26,7 @@ def gram_bits(text: Column) -> Column:
 
 
 def code_point(c: Column) -> Column:
-    return F.when(F.octet_length(c) == 1, F.ascii(c).cast("long")).otherwise(F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("long"))
+    return F.when(F.octet_length(c) == 1, F.ascii(c).cast("long")).otherwise(F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long"))
 
 
 def query_grams(query: str) -> list[int]:

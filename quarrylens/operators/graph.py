@@ -69,7 +69,7 @@ def neighbourhood(edges: DataFrame, root, depth: int = 2, direction: str = "both
         step = materialise(step, "step")
         used = step.select("src_id", "dst_id") if used is None else used.unionByName(step.select("src_id", "dst_id"))
         found = step.groupBy("next").agg(F.max("to").alias("level")).withColumnRenamed("next", "node_id").join(seen.select("node_id"), "node_id", "left_anti")
-        room = limit - seen.count()
+        room = min(limit, (1 << 31) - 2) - seen.count()
         frontier = found.orderBy(F.abs("level"), F.desc("level"), "node_id").limit(room + 1)
         frontier = materialise(frontier, "frontier")
         n = frontier.count()

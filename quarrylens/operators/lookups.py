@@ -21,21 +21,21 @@ def next_start(rows: DataFrame, keys: list[str], at: str, name: str) -> DataFram
     return rows.withColumn(name, F.lead(at).over(Window.partitionBy(*keys).orderBy(at)))
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, payload: list[str], tie: list[str], slice_width: Column | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, payload: list[str], tie: list[str], slice_of: Column | None = None) -> DataFrame:
     """left with the payload of the last right row of the same keys at or before its position; null if there is none.
 
-    Both sides are laid into one order and the last right row is carried on by a window. A hot key is cut by slice_width (a number of
-    units of `at`): windows run inside a slice, and a slice's opening value comes from the slices before it, of which each keeps one row.
+    Both sides are laid into one order and the last right row is carried on by a window. A hot key is cut by slice_of, a
+    column that rises with `at`: windows run inside a slice, and a slice's opening value comes from the slices before it, of which each keeps one row.
     """
     ok = F.struct(*[F.col(c) for c in payload])
     sides = left.select(*keys, at, F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(ok.alias("x")).schema["x"].dataType).alias("__pay"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"__tie_{c}") for c in tie])
     sides = sides.unionByName(right.select(*keys, at, F.lit(0).alias("__side"), F.lit(None).cast(sides.schema["__row"].dataType).alias("__row"), ok.alias("__pay"), *[F.col(c).alias(f"__tie_{c}") for c in tie]))
     order = [at, "__side", *[f"__tie_{c}" for c in tie]]
-    if slice_width is None:
+    if slice_of is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         out = sides.withColumn("__pay", F.last("__pay", ignorenulls=True).over(w)).where("__side = 1")
     else:
-        sides = sides.withColumn("__slice", F.floor(F.col(at).cast("double") / slice_width))
+        sides = sides.withColumn("__slice", slice_of)
         ends = sides.where("__side = 0").groupBy(*keys, "__slice").agg(F.max_by("__pay", F.struct(*order)).alias("__end"))
         every = sides.select(*keys, "__slice").distinct().join(ends, [*keys, "__slice"], "left")
         before = every.withColumn("__open", F.last("__end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))).drop("__end")

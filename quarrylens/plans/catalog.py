@@ -1,4 +1,6 @@
 """All registered queries with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quarrylens.plans import graphs, relational, texts  # noqa: F401  they register themselves
+from quarrylens.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
