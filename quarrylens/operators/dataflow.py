@@ -1,14 +1,49 @@
-"""Dataflow over control-flow graphs: many small graphs side by side, one group for each method.
+"""Dataflow over control-flow graphs: many small graphs side by side.
 
-A method's blocks and edges are bounded by the 64 KiB code limit of a method, so a group fits a task. Facts come back as rows.
+Edges and facts of a method are dealt to one partition and sorted by method; a task reads them as a stream and holds one
+Arrow batch and one method at a time. A method's blocks and edges are bounded by the 64 KiB code limit. Facts come back as rows.
+Rows with a null method are left out.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
+def _per_method(edges: DataFrame, facts: DataFrame | None, run, schema: str) -> DataFrame:
+    """run(pairs, facts) for each method: pairs (src, dst), facts (block, slot, kind); its rows come back after the method."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    rows = edges.select("method", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit("edge").alias("kind"))
+    if facts is not None:
+        rows = rows.unionByName(facts.select("method", F.col("block").alias("a"), F.col("slot").alias("b"), "kind"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        method, kind = pdf["method"].to_numpy(), pdf["kind"].to_numpy()
+        triples = list(zip(pdf["a"].tolist(), pdf["b"].tolist(), kind, strict=True))
+        cuts = np.flatnonzero(np.concatenate(([True], method[1:] != method[:-1])))
+        out = []
+        for i, j in zip(cuts, [*cuts[1:], len(method)], strict=True):
+            own = triples[i:j]
+            out += [(int(method[i]), *r) for r in run([(a, b) for a, b, k in own if k == "edge"], [x for x in own if x[2] != "edge"])]
+        return pd.DataFrame(out, columns=names, dtype=object)
+
+    def stream(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf])
+            if len(pdf):
+                last = int(np.searchsorted(pdf["method"].to_numpy(), pdf["method"].iloc[-1]))
+                held = pdf.iloc[last:]
+                if last:
+                    yield solve(pdf.iloc[:last])
+        if held is not None:
+            yield solve(held)
+
+    return rows.where("method is not null").repartition("method").sortWithinPartitions("method").mapInPandas(stream, schema)
+
+
 def blocks_of(leaders: DataFrame) -> DataFrame:
     """(method, block, start, end) from instructions (method, pc, is_leader, ends_block): blocks start at leaders and after block ends."""
     from pyspark.sql import Window
@@ -19,12 +54,12 @@ def blocks_of(leaders: DataFrame) -> DataFrame:
     return rows.groupBy("method", "block").agg(F.min("pc").alias("start"), F.max("pc").alias("end"))
 
 
-def _walk(pdf: pd.DataFrame) -> tuple[dict, dict, list]:
+def _walk(pairs: list[tuple[int, int]]) -> tuple[dict, dict, list]:
     """Successors, predecessors and reverse postorder from the entry (the smallest block)."""
     succ: dict[int, list[int]] = {}
-    for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-        succ.setdefault(int(a), []).append(int(b))
-        succ.setdefault(int(b), [])
+    for a, b in pairs:
+        succ.setdefault(a, []).append(b)
+        succ.setdefault(b, [])
     for v in succ.values():
         v.sort()
     pred: dict[int, list[int]] = {k: [] for k in succ}
@@ -47,8 +82,8 @@ def _walk(pdf: pd.DataFrame) -> tuple[dict, dict, list]:
     return succ, pred, order[::-1]
 
 
-def _idoms(pdf: pd.DataFrame) -> tuple[dict, dict, dict]:
-    succ, pred, order = _walk(pdf)
+def _idoms(pairs: list[tuple[int, int]]) -> tuple[dict, dict, dict]:
+    succ, pred, order = _walk(pairs)
     rank = {n: k for k, n in enumerate(order)}
     idom = {order[0]: order[0]}
     changed = True
@@ -73,31 +108,30 @@ def _idoms(pdf: pd.DataFrame) -> tuple[dict, dict, dict]:
 def dominators(edges: DataFrame) -> DataFrame:
     """(method, block, idom) for blocks reachable from the entry; the entry has none."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        idom = _idoms(pdf)[2]
-        return pd.DataFrame([(pdf["method"].iloc[0], n, None if n == d else d) for n, d in idom.items()], columns=["method", "block", "idom"]).astype({"idom": "Int64"})
+    def run(pairs, _):
+        return [(n, None if n == d else d) for n, d in _idoms(pairs)[2].items()]
 
-    return edges.groupBy("method").applyInPandas(run, "method long, block long, idom long")
+    return _per_method(edges, None, run, "method long, block long, idom long")
 
 
 def frontiers(edges: DataFrame) -> DataFrame:
     """(method, block, frontier): dominance frontier, one row for each member."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, pred, idom = _idoms(pdf)
+    def run(pairs, _):
+        _, pred, idom = _idoms(pairs)
         rows = set()
         for n in idom:
             ps = [p for p in pred[n] if p in idom]
             if len(ps) > 1 or (ps and idom[n] == n):
                 for p in ps:
                     while p != idom[n] or (p == n and idom[n] == n):
-                        rows.add((pdf["method"].iloc[0], p, n))
+                        rows.add((p, n))
                         if idom[p] == p:
                             break
                         p = idom[p]
-        return pd.DataFrame(sorted(rows), columns=["method", "block", "frontier"])
+        return sorted(rows)
 
-    return edges.groupBy("method").applyInPandas(run, "method long, block long, frontier long")
+    return _per_method(edges, None, run, "method long, block long, frontier long")
 
 
 def dominated(idoms: DataFrame, rounds: int = 64) -> DataFrame:
@@ -119,8 +153,8 @@ def dominated(idoms: DataFrame, rounds: int = 64) -> DataFrame:
 def loops(edges: DataFrame) -> DataFrame:
     """(method, head, tail, block): natural loops of back edges tail -> head, a row for each block in them."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        succ, pred, idom = _idoms(pdf)
+    def run(pairs, _):
+        succ, pred, idom = _idoms(pairs)
 
         def dominates(a: int, b: int) -> bool:
             while b != a and idom[b] != b:
@@ -137,37 +171,30 @@ def loops(edges: DataFrame) -> DataFrame:
                         if n not in body:
                             body.add(n)
                             stack += [p for p in pred[n] if p in idom]
-                    rows += [(pdf["method"].iloc[0], h, a, n) for n in sorted(body)]
-        return pd.DataFrame(rows, columns=["method", "head", "tail", "block"])
-
-    return edges.groupBy("method").applyInPandas(run, "method long, head long, tail long, block long")
-
+                    rows += [(h, a, n) for n in sorted(body)]
+        return rows
 
-def _fixpoint(edges: DataFrame, facts: DataFrame, run, schema: str) -> DataFrame:
-    """Group edges and facts (method, block, slot, kind) of each method together."""
-    left = edges.groupBy("method")
-    return left.cogroup(facts.groupBy("method")).applyInPandas(run, schema)
+    return _per_method(edges, None, run, "method long, head long, tail long, block long")
 
 
-def _graph(edges: pd.DataFrame, facts: pd.DataFrame) -> tuple:
-    succ = {}
-    for a, b in zip(edges["src"], edges["dst"], strict=True):
-        succ.setdefault(int(a), set()).add(int(b))
-        succ.setdefault(int(b), set())
-    for b in facts["block"]:
-        succ.setdefault(int(b), set())
-    sets = {"use": {}, "def": {}}
-    for b, s, k in zip(facts["block"], facts["slot"], facts["kind"], strict=True):
-        sets[k].setdefault(int(b), set()).add(int(s))
-    method = (edges if len(edges) else facts)["method"].iloc[0]
-    return method, succ, sets["use"], sets["def"]
+def _graph(pairs: list, facts: list) -> tuple[dict, dict, dict]:
+    """Successors, used slots and defined slots of each block."""
+    succ: dict[int, set[int]] = {}
+    for a, b in pairs:
+        succ.setdefault(a, set()).add(b)
+        succ.setdefault(b, set())
+    sets: dict[str, dict[int, set[int]]] = {"use": {}, "def": {}}
+    for b, s, k in facts:
+        succ.setdefault(b, set())
+        sets[k].setdefault(b, set()).add(s)
+    return succ, sets["use"], sets["def"]
 
 
 def liveness(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """(method, block, slot, live_in, live_out): backward fixpoint; a use counts before the block's own definition."""
 
-    def run(e: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        method, succ, use, define = _graph(e, f)
+    def run(pairs, own):
+        succ, use, define = _graph(pairs, own)
         ins, outs = {n: set(use.get(n, ())) for n in succ}, {n: set() for n in succ}
         todo = True
         while todo:
@@ -177,17 +204,16 @@ def liveness(edges: DataFrame, facts: DataFrame) -> DataFrame:
                 new = use.get(n, set()) | (outs[n] - define.get(n, set()))
                 if new != ins[n]:
                     ins[n], todo = new, True
-        rows = [(method, n, s, s in ins[n], s in outs[n]) for n in succ for s in sorted(ins[n] | outs[n])]
-        return pd.DataFrame(rows, columns=["method", "block", "slot", "live_in", "live_out"])
+        return [(n, s, s in ins[n], s in outs[n]) for n in succ for s in sorted(ins[n] | outs[n])]
 
-    return _fixpoint(edges, facts, run, "method long, block long, slot long, live_in boolean, live_out boolean")
+    return _per_method(edges, facts, run, "method long, block long, slot long, live_in boolean, live_out boolean")
 
 
 def reaching(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """(method, block, slot, def_block): definitions that reach a block's start, by slot."""
 
-    def run(e: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        method, succ, _, define = _graph(e, f)
+    def run(pairs, own):
+        succ, _, define = _graph(pairs, own)
         pred = {n: [] for n in succ}
         for a, v in succ.items():
             for b in v:
@@ -200,9 +226,9 @@ def reaching(edges: DataFrame, facts: DataFrame) -> DataFrame:
                 new = {(s, d) for p in pred[n] for s, d in ins[p] if s not in define.get(p, ())} | {(s, p) for p in pred[n] for s in define.get(p, ())}
                 if new != ins[n]:
                     ins[n], todo = new, True
-        return pd.DataFrame([(method, n, s, d) for n in succ for s, d in sorted(ins[n])], columns=["method", "block", "slot", "def_block"])
+        return [(n, s, d) for n in succ for s, d in sorted(ins[n])]
 
-    return _fixpoint(edges, facts, run, "method long, block long, slot long, def_block long")
+    return _per_method(edges, facts, run, "method long, block long, slot long, def_block long")
 
 
 def intervals(live: DataFrame, spans: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def register_nodes(occurrences: DataFrame) -> DataFrame:
     """
     order = [c for c in occurrences.columns if c not in ("method", "is_native")]
     first = occurrences.groupBy("method").agg(F.min(F.struct(*order)).alias("seen"), F.max(F.coalesce(F.col("is_native").cast("int"), F.lit(0))).alias("type"))
-    return numbered(first, ["seen"], "id").select("id", "method", "type")
+    return numbered(first, ["seen", "method"], "id").select("id", "method", "type")
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -30,7 +30,7 @@ def uncalled_anti(t):
     return graph.uncalled(edges, t.part.select(F.col("p_partkey").alias("node_id")))
 
 
-@query("register_nodes", "SELECT method, type, row_number() OVER (ORDER BY k, n, s) - 1 AS id FROM (SELECT p_name AS method, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS type, min(struct_pack(a := l_orderkey, b := l_linenumber)).a AS k, min(struct_pack(a := l_orderkey, b := l_linenumber)).b AS n, 0 AS s FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name)")
+@query("register_nodes", "SELECT method, type, row_number() OVER (ORDER BY k, n, method) - 1 AS id FROM (SELECT p_name AS method, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS type, min(struct_pack(a := l_orderkey, b := l_linenumber)).a AS k, min(struct_pack(a := l_orderkey, b := l_linenumber)).b AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name)")
 def register_nodes(t):
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_name").alias("method"), (F.col("l_returnflag") == "R").alias("is_native"), "l_orderkey", "l_linenumber")
     return graph.register_nodes(rows)
