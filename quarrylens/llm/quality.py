@@ -140,7 +140,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, train) -> dict:
     n = max(1, docs.select("doc_id").count())
     some = meta.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < min(1.0, POOL / n) * (1 << 20))
     rows = rows.select("doc_id", "__label", "text", "lang", "source", "n_chars").unionByName(some.join(known.select("doc_id"), "doc_id", "left_anti").withColumn("__label", F.lit(None).cast("int")).select("doc_id", "__label", "text", "lang", "source", "n_chars"))
-    found = sorted(vectors(rows).collect(), key=lambda r: (r["doc_id"], r["x"]))
+    found = sorted(vectors(rows).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["x"]))
     take = lambda c, some: np.array([r[c] for r in found if (r["label"] is not None) == some], float).reshape(-1, {"x": N_TEXT, "z": N_META}[c])
     return fit((take("x", True), take("z", True)), np.array([r["label"] for r in found if r["label"] is not None], float), (take("x", False), take("z", False)))
 
