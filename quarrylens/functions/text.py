@@ -20,9 +20,14 @@ def gram_bits(text: Column) -> Column:
     """Distinct hashes, below GRAM_BITS, of the three-character windows of lower-cased text."""
     folded = F.lower(text)
     codes = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), code_point)
-    n = F.size(codes)
-    at = lambda i: (F.get(codes, i) * (251 * 251) + F.get(codes, i + 1) * 251 + F.get(codes, i + 2)).bitwiseAND(F.lit(GRAM_BITS - 1))
-    return F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), n - 3), at)))
+
+    def windows(own: Column) -> Column:
+        shifted = F.arrays_zip(own.alias("a"), F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))).alias("b"), F.slice(own, 3, F.greatest(F.size(own) - 2, F.lit(0))).alias("c"))
+        full = F.filter(shifted, lambda z: z["c"].isNotNull())
+        return F.array_distinct(F.transform(full, lambda z: (z["a"] * (251 * 251) + z["b"] * 251 + z["c"]).bitwiseAND(F.lit(GRAM_BITS - 1))))
+
+    # The outer transform binds the codes once; inside the lambda of a window they would be worked out again for each.
+    return F.get(F.transform(F.array(codes), windows), 0)
 
 
 def code_point(c: Column) -> Column:
