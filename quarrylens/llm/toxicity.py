@@ -3,8 +3,8 @@
 Fit, on a bounded sample: about FIT_DOCS labelled rows of each class (hash sampling), none longer than FIT_CHARS characters.
 Words that mark label 1 (document frequency contrast) label the tokens of label-1 documents; on these labelled
 tokens a two-state chain (plain, toxic) is trained by gradient ascent on its likelihood. Score: forward-backward
-over whole texts; the expected number of toxic tokens and the largest marginal of a document go through a
-logistic calibration fitted on the same sample. Offsets of the tokens tagged toxic come back as spans.
+over whole texts; the expected number of toxic tokens, the largest marginal and the length of a document go through
+a logistic calibration fitted on the same sample. Offsets of the tokens tagged toxic come back as spans.
 
 Defined cases: null or empty text scores like a text without any toxic token; without labels of both classes
 every score is the share of label 1 among the sampled rows (0 if none); repeated rows are scored one by one;
@@ -32,7 +32,7 @@ CACHE_WORDS = 400_000
 #: Letters of a word's beginning, and sketch values by which documents of the sample count as one group of copies.
 STEM, SKETCH = 4, 6
 #: A mark is in toxic documents at this share (classes weighed alike), too often for chance at this level over all words.
-MIN_PRECISION, CHANCE = 0.9, 0.01
+MIN_PRECISION, CHANCE = 0.8, 0.01
 
 
 @dataclass
@@ -149,9 +149,9 @@ def lay_out(texts: list[str], ids: WordIds) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def evidence(gamma: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each document 1, log(1 + expected toxic tokens), largest marginal."""
-    out = np.zeros((len(counts), 3))
-    out[:, 0] = 1
+    """For each document 1, log(1 + expected toxic tokens), largest marginal, log(1 + tokens): chance hits grow with length."""
+    out = np.zeros((len(counts), 4))
+    out[:, 0], out[:, 3] = 1, np.log1p(counts)
     full = counts > 0
     if full.any():
         at = (np.cumsum(counts) - counts)[full]
@@ -191,7 +191,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60) -> Crf:
     y = np.array(labels, dtype=int)
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     prior = n1 / len(y) if len(y) else 0.0
-    empty = Crf({}, np.zeros((1, 2)), np.zeros((2, 2)), np.zeros(2), np.zeros(3), prior)
+    empty = Crf({}, np.zeros((1, 2)), np.zeros((2, 2)), np.zeros(2), np.zeros(4), prior)
     if not n1 or not n0:
         return empty
     group = copies(texts)  # a group of copies counts once, or its ordinary words would mark its label
@@ -243,11 +243,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60) -> Crf:
             params[q] += 0.2 * (m1[q] / (1 - 0.8**k)) / (np.sqrt(m2[q] / (1 - 0.95**k)) + 1e-6)
     x = evidence(marginals(ids, first, *params)[2], counts)
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    calib = np.zeros(3)
+    calib = np.zeros(4)
     for _ in range(60):  # Newton steps of a weighted logistic regression with a slight ridge
         p = sigmoid(x @ calib)
         grad = x.T @ (weight * (y - p)) - 1e-4 * calib
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(3)
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(4)
         step = np.linalg.solve(hess, grad)
         calib = calib + step
         if np.abs(step).max() < 1e-8:
