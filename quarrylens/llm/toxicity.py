@@ -149,14 +149,14 @@ def lay_out(texts: list[str], ids: WordIds) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def evidence(gamma: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each document 1, log(1 + expected toxic tokens), largest marginal, log(1 + tokens): chance hits grow with length."""
+    """For each document 1, log(1 + expected toxic tokens), surety of the largest marginal, log(1 + tokens): chance hits grow with length."""
     out = np.zeros((len(counts), 4))
     out[:, 0], out[:, 3] = 1, np.log1p(counts)
     full = counts > 0
     if full.any():
         at = (np.cumsum(counts) - counts)[full]
         out[full, 1] = np.log1p(np.add.reduceat(gamma[:, 1], at))
-        out[full, 2] = np.maximum.reduceat(gamma[:, 1], at)
+        out[full, 2] = -np.log(1.001 - np.maximum.reduceat(gamma[:, 1], at))  # one sure token outweighs length
     return out
 
 
