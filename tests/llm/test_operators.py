@@ -119,6 +119,22 @@ def test_op3_finds_what_brute_force_finds(spark, sf_dir, docs):
     assert set(zip(got["doc_id"], got["item_id"], strict=True)) == want and want
 
 
+def test_op3_head_edits_and_cuts(spark, sf_dir):
+    bench = pd.read_parquet(f"{sf_dir}/benchmark.parquet")
+    rng = np.random.default_rng(5)
+    noise = lambda: [f"q{k}" for k in rng.integers(0, 10**6, 40)]
+    texts = []
+    for t in bench["text"]:
+        w = words(t)
+        cut = max(1, len(w) * 14 // 100)
+        forms = [[*w[:4], "zzz", *w[5:]], w[cut:], w[:-cut], ["zzz", *w[1:]], [*w[: len(w) // 2], "zzz", *w[len(w) // 2 + 1 :]], w]
+        texts += [" ".join([*noise(), *f, *noise()]) for f in forms]
+        texts += [" ".join([*noise(), *w[:-cut]])]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    got = decontaminate.matches(spark.createDataFrame(docs), spark.createDataFrame(bench)).toPandas()
+    assert set(zip(got["doc_id"], got["item_id"], strict=True)) == brute_matches(bench, docs)
+
+
 def test_op3_awkward_rows(spark, odd):
     items = spark.createDataFrame([(1, "a b c d e f g", 0), (2, None, 0), (3, "", 0), (4, "one", 0), (5, "a b c d e f g", 0)], "item_id long, text string, doc_id int")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(odd, items).collect()}
