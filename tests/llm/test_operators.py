@@ -216,6 +216,16 @@ def test_op5_awkward_rows(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_op5_large_groups_of_copies_and_tight_clusters(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal(8), rng.standard_normal(8)
+    vectors = [a] * 5000 + [b + 1e-6 * rng.standard_normal(8) for _ in range(5000)] + [a + 1e-6, np.zeros(8), np.zeros(8)]
+    rows = pd.DataFrame({"vec_id": range(len(vectors)), "embedding": [v.tolist() for v in vectors], "label": 1})
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows)).toPandas().sort_values("vec_id", ignore_index=True)
+    assert out["n_links"].tolist() == [5000] * 5000 + [4999] * 5000 + [5000, 0, 0]
+    assert out["component_id"].tolist() == [0] * 5000 + [5000] * 5000 + [0, 10001, 10002]
+
+
 def test_op6_quality(spark, sf_dir, odd):
     got = run(spark, "op6", sf_dir).set_index("doc_id")
     labels = pd.read_parquet(f"{sf_dir}/labels.parquet").drop_duplicates("doc_id").set_index("doc_id")["quality"]
