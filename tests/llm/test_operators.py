@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -324,6 +325,25 @@ def test_op9_inherits_from_the_nearest_directory(spark, sf_dir):
     assert len(run(spark, "op9", sf_dir)) == len(pd.read_parquet(f"{sf_dir}/documents.parquet"))
 
 
+def test_op9_whole_texts_and_wrapped_headers(spark):
+    text = lambda n: (Path(licenses.__file__).parent / "license_texts" / f"{n}.txt").read_text()
+    holder = "Copyright (c) 2019, Some Body\nAll rights reserved.\n\n"
+    notice = "Copyright (C) 2020 Some Body\nYou can redistribute it and/or modify it under the terms of the GNU General Public License\nas published by the Free Software Foundation, either\nversion 3 of the License, or (at your option) any later version.\nIt is distributed in the hope that it will be useful, but without any warranty; without even the implied\nwarranty of merchantability or fitness for a particular purpose. See the GNU General Public\nLicense for more details."
+    mit = text("MIT")
+    files = {
+        "bsd/LICENSE": (holder + text("BSD-3-Clause").split("\n\n", 1)[1], "BSD-3-Clause"),
+        "bsd2/LICENSE": (holder + text("BSD-2-Clause").split("\n\n", 1)[1], "BSD-2-Clause"),
+        "mit/COPYING": (mit[mit.index("Permission is") :], "MIT"),
+        "gpl/x.py": ("".join(f"# {x}\n" for x in notice.split("\n")) + "\nimport os\n" * 200, "GPL-3.0"),
+        "gpl/x.c": (f"/*\n{notice}\n*/\nint main() {{}}\n", "GPL-3.0"),
+        "own/x.py": ("x = 1\n# Copyright. All rights reserved.\n", "Proprietary"),
+        "two/x.txt": ("Intro\n\nCopyright. All rights reserved. Proprietary and confidential\nReleased under the MIT License, see file", "MIT"),
+        "bsd/sub/y.py": ("code", "BSD-3-Clause"),
+    } | {f"full-{n}/LICENSE": (text(n), n) for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Apache-2.0", "CC0-1.0", "ISC", "Unlicense", "BSL-1.0")}
+    got = licenses.scan(spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string"))
+    assert {r["path"]: r["license"] for r in got.collect()} == {p: want for p, (_, want) in files.items()}
+
+
 def test_op10_toxicity(spark, sf_dir, docs, odd):
     got = run(spark, "op10", sf_dir).set_index("doc_id")
     labels = pd.read_parquet(f"{sf_dir}/labels.parquet").drop_duplicates("doc_id").set_index("doc_id")["toxic"]
