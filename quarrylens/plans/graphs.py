@@ -117,12 +117,12 @@ def concrete_descendants(t):
     return graph.concrete_descendants(classes, graph.closure(hierarchy(t)), "r/1").select("name")
 
 
-def copurchase(t):
-    """Edges between parts that follow one another in an order, where the order is small."""
+def copurchase(t, lines=None):
+    """Edges between parts that follow one another in an order, among lines (if none are given, those that the SQL of components takes)."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    rows = t.lineitem.where("l_quantity >= 47").select("l_orderkey", "l_partkey", F.lead("l_partkey").over(w).alias("next"))
+    rows = (t.lineitem.where("l_quantity >= 47") if lines is None else lines).select("l_orderkey", "l_partkey", F.lead("l_partkey").over(w).alias("next"))
     return graph.distinct_edges(rows, "l_partkey", "next")
 
 
@@ -136,7 +136,7 @@ def components(t):
 
 @query("strong_components")
 def strong_components(t):
-    return graph.strong_components(copurchase(t))
+    return graph.strong_components(copurchase(t, t.lineitem))
 
 
 @query("string_marks", "SELECT p_type AS str, bit_or(CASE WHEN l_returnflag = 'R' THEN 8 WHEN l_linestatus = 'O' THEN 32 ELSE 2 END) AS bits FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 45 GROUP BY p_type")

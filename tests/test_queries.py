@@ -143,3 +143,30 @@ def test_strong_components(spark):
     for r in graph.strong_components(e).collect():
         got.setdefault(r[1], set()).add(r[0])
     assert sorted(map(sorted, got.values())) == [[1, 2, 3], [4, 5]]
+
+
+def test_strong_components_of_the_whole_table(spark, sf_dir, con):
+    edges = con.execute("SELECT DISTINCT l_partkey, next FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS next FROM lineitem) WHERE next IS NOT NULL").fetchall()
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+
+    def reach(start, step):
+        seen, todo = {start}, [start]
+        while todo:
+            for n in step.get(todo.pop(), []):
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        return seen
+
+    back = {}
+    for a, b in edges:
+        back.setdefault(b, []).append(a)
+    want, left = {}, set(out) | set(back)
+    while left:
+        n = min(left)
+        group = reach(n, out) & reach(n, back)
+        left -= group
+        want |= {k: n for k in group} if len(group) > 1 else {}
+    assert {r[0]: r[1] for r in catalog.QUERIES["strong_components"](spark, sf_dir).collect()} == want
