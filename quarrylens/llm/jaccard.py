@@ -1,16 +1,18 @@
 """N-gram Jaccard join by signature trees: exact links of documents whose 5-word shingle sets have similarity >= 0.75.
 
-1. Each distinct shingle set gets an id (a hash of the set), its size and a bitmap of about BITS bits a shingle.
+1. Each distinct shingle set gets an id (a 64-bit hash of the set), its size and a bitmap of about BITS bits a shingle.
 2. Which sets can meet: two similar sets share a shingle among the first quarter of each in any fixed order. Sets
    that share such a shingle make a list; equal lists count once. The order puts shingles last that are frequent in a
    sample of documents, which makes lists short; the result is the same under any order.
-3. First round: each list proposes a chain in order of size and the links to its most typical member.
-   Proposals are verified on the full sets; links make groups.
-4. Second round: a signature tree over each list that still spans several groups. Its nodes hold the OR of
-   their members' bitmaps, their size range and group range; a traversal of node pairs drops those whose largest possible
-   overlap is too small, whose sizes differ too much, or which lie in one group. Every pair left is verified.
-Links of both rounds together give the components. Nothing is capped: long lists are split into blocks of BLOCK members
-and every pair of blocks is visited.
+3. A signature tree stands over each list (side by side in numpy arrays, so that a task works on thousands of lists at once). Its
+   nodes hold the OR of their members' bitmaps, their size range and group range; a dual traversal drops node pairs whose largest possible
+   overlap is too small, whose sizes differ too much, or which lie in one group. Every pair left is verified on the full sets.
+4. So that large groups of near copies don't give all their pairs, neighbouring leaves are compared first, in order of the sets' smallest
+   hash; the links found make groups, and the traversal of the lists that still span several groups finds the rest.
+Links of both rounds together give the components. Nothing is capped: long lists are cut into blocks of BLOCK members
+in order of size, and every pair of blocks whose sizes allow a link is visited.
+Sets with one 64-bit id are taken as equal: among a billion distinct sets some pair collides with chance 0.03. Collisions of
+shingles within two sets are as unlikely.
 
 Defined cases: null, empty or blank text has no shingle and links with nothing (n_shingles 0, component its own id);
 fewer than five words make one shingle; equal texts link; rows with a repeated id are documents of their own, each with
@@ -22,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quarrylens.llm.common import connected_components, materialise, small_or_plain, table
 
@@ -30,6 +32,8 @@ WORDS, NUM, DEN = 5, 3, 4  # shingle length; similarity >= NUM / DEN
 BITS = 4
 BLOCK = 4096
 FAN_OUT = 8
+#: Rows of lists that a partition takes up at a time (and more only for one pair of blocks).
+STREAM_ROWS = 8192
 #: Documents sampled for the shingle order, and the number of them from which a shingle counts as frequent.
 SAMPLE, FREQUENT = 4000, 12
 #: Sets whose shingles one bucket of the candidate search holds on average.
@@ -128,17 +132,17 @@ def utf8(column) -> list[bytes]:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, sid, n, bits) of each row; sid is null where the set is empty."""
+    """(doc_id, sid, n, low, bits) of each row: id, size, smallest hash in another order and bitmap of its set; sid is null where the set is empty."""
 
     def run(batches):
         for b in batches:
             sets = shingle_sets(utf8(b.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "sid", "n", "bits"],
+                [b.column(0), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(mix(s ^ MIX1).min().view(np.int64)) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+                names=["doc_id", "sid", "n", "low", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sid long, n long, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sid long, n long, low long, bits binary")
 
 
 def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
@@ -156,19 +160,26 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows.collect()], np.int64).view(np.uint64))
 
 
+def is_in(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is among the ordered ones."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values if len(ordered) else np.zeros(len(values), bool)
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the common order; two similar sets share one of them."""
     n = len(s) - -(-len(s) * NUM // DEN) + 1
     if len(frequent):
-        at = np.searchsorted(frequent, s)
-        late = frequent[np.minimum(at, len(frequent) - 1)] == s
+        late = is_in(frequent, s)
         if late.any():
             s = np.concatenate((s[~late], s[late]))
     return s[:n]
 
 
 def meeting_lists(docs: DataFrame, n_docs: int) -> DataFrame:
-    """(list, sid): sets that share a prefix shingle, each distinct list of two or more once."""
+    """(list, sid): sets that share a prefix shingle, each distinct list of two or more once.
+
+    Shingles go to buckets of bounded size; the sets of a frequent shingle are spread over all buckets and meet as rows.
+    """
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n_docs))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs // BUCKET_DOCS)
@@ -184,7 +195,8 @@ def meeting_lists(docs: DataFrame, n_docs: int) -> DataFrame:
                 continue
             grams = np.concatenate(list(own.values()))
             sids = np.repeat(np.array(list(own), np.int64), [len(p) for p in own.values()])
-            to = ((grams >> U(20)) % U(buckets)).astype(np.int64)
+            spread = np.where(is_in(late, grams), sids.view(np.uint64) >> U(20), U(0))
+            to = (((grams >> U(20)) + spread) % U(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             to, grams, sids = to[order], grams[order], sids[order]
             cuts = np.flatnonzero(np.diff(to, prepend=-1))
@@ -201,26 +213,28 @@ def meeting_lists(docs: DataFrame, n_docs: int) -> DataFrame:
         grams, sids = grams[order], sids[order]
         new = np.concatenate(([True], (grams[1:] != grams[:-1]) | (sids[1:] != sids[:-1])))
         grams, sids = grams[new], sids[new]
-        cuts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+        hot = is_in(frequent.value, grams)
+        part = pd.DataFrame({"list": grams[hot].view(np.int64), "sid": sids[hot]})
+        grams, sids = grams[~hot], sids[~hot]
+        cuts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(cuts, len(grams)))
         full = np.repeat(sizes > 1, sizes)
         if not full.any():
-            return pd.DataFrame({"list": np.zeros(0, np.int64), "sid": np.zeros(0, np.int64)})
+            return part
         sids, sizes = sids[full], sizes[sizes > 1]
         cuts = np.cumsum(sizes) - sizes
         keys = mix(np.add.reduceat(mix(sids.view(np.uint64)), cuts) + sizes.astype(np.uint64)).view(np.int64)
         once = np.zeros(len(keys), bool)
         once[np.unique(keys, return_index=True)[1]] = True
         keep = np.repeat(once, sizes)
-        return pd.DataFrame({"list": np.repeat(keys, sizes)[keep], "sid": sids[keep]})
+        return pd.concat((part, pd.DataFrame({"list": np.repeat(keys, sizes)[keep], "sid": sids[keep]})))
 
     dealt = docs.select("text").mapInArrow(deal, "bucket long, grams binary, sids binary")
-    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "list long, sid long").distinct()
-
-
-def fold(bits: np.ndarray, words: int) -> np.ndarray:
-    """Rows of bitmaps folded to fewer 64-bit words."""
-    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
+    lists = dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "list long, sid long").distinct()
+    lists = materialise(lists, "lists")
+    sign = lists.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("sid", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    once = sign.where("m > 1").groupBy("m", "x", "y").agg(F.min("list").alias("list"))
+    return lists.join(once.select("list"), "list", "left_semi")
 
 
 def overlap_needed(n1, n2):
@@ -234,113 +248,160 @@ def possible(bits1, n1, room1, bits2, n2, room2) -> np.ndarray:
     return common + np.minimum(room1, room2) >= overlap_needed(n1, n2)
 
 
-class Tree:
-    """Levels of nodes over members in order of size; level 0 are the members."""
+class Forest:
+    """Signature trees side by side: a node holds the OR of its members' bitmaps, their size and group ranges and their room.
 
-    def __init__(self, bits: np.ndarray, n: np.ndarray, group: np.ndarray):
+    Members stand in order of tree. levels[0] are the members, levels[-1] has one node a tree; kids[d] are the edges of the
+    nodes of level d + 1 in level d.
+    """
+
+    def __init__(self, tree: np.ndarray, bits: np.ndarray, n: np.ndarray, group: np.ndarray):
         room = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        self.levels = [(bits, n, n, room, group, group)]
-        while len(self.levels[-1][1]) > 1:
+        self.levels, self.kids = [(bits, n, n, room, group, group)], []
+        while True:
+            new = np.flatnonzero(np.diff(tree, prepend=tree[0] - 1))
+            if len(new) == len(tree):
+                return
+            size = np.diff(np.append(new, len(tree)))
+            rank = np.arange(len(tree)) - np.repeat(new, size)
+            cuts = np.flatnonzero(rank % FAN_OUT == 0)
             b, lo, hi, r, g, h = self.levels[-1]
-            cuts = np.arange(0, len(lo), FAN_OUT)
+            self.kids.append(np.append(cuts, len(tree)))
             self.levels.append((np.bitwise_or.reduceat(b, cuts, axis=0), np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts), np.maximum.reduceat(r, cuts), np.minimum.reduceat(g, cuts), np.maximum.reduceat(h, cuts)))
-
-
-def traverse(left: Tree, right: Tree, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Member pairs (i, j) of different groups that may be similar; with same, i < j of one tree."""
-    depth = max(len(left.levels), len(right.levels)) - 1
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for d in range(depth, -1, -1):
-        a, b = left.levels[min(d, len(left.levels) - 1)], right.levels[min(d, len(right.levels) - 1)]
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in range(0, len(i), 200_000):
-            x, y = i[k : k + 200_000], j[k : k + 200_000]
-            ok = (DEN * b[2][y] >= NUM * a[1][x]) & (DEN * a[2][x] >= NUM * b[1][y])
-            ok &= ~((a[4][x] == a[5][x]) & (b[4][y] == b[5][y]) & (a[4][x] == b[4][y]))
-            if same:
-                ok &= x <= y if d else x < y
-            x, y = x[ok], y[ok]
-            ok = possible(a[0][x], a[1][x], a[3][x], b[0][y], b[1][y], b[3][y])
-            kept.append((x[ok], y[ok]))
-        i, j = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
-        if not d or not len(i):
-            break
-        n1, n2 = (len(t.levels[d - 1][1]) if d < len(t.levels) else 1 for t in (left, right))
-        step1, step2 = (FAN_OUT if d < len(t.levels) else 1 for t in (left, right))
-        x = (i[:, None] * step1 + np.arange(step1))[:, :, None]
-        y = (j[:, None] * step2 + np.arange(step2))[:, None, :]
-        x, y = np.broadcast_arrays(x, y)
-        x, y = x.ravel(), y.ravel()
-        ok = (x < n1) & (y < n2)
-        i, j = x[ok], y[ok]
-    return i, j
-
-
-def by_width(pdf: pd.DataFrame):
-    """(bits, n, sid, group, exact) for each bitmap width, in order of size: its own members and the folded ones of twice the width."""
-    words = pdf["bits"].str.len().to_numpy() // 8
+            tree = tree[cuts]
+
+
+def fits(level: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether members of nodes x and y can be similar and lie in different groups."""
+    bits, lo, hi, room, g, h = level
+    ok = (DEN * hi[y] >= NUM * lo[x]) & (DEN * hi[x] >= NUM * lo[y]) & ((g[x] != h[x]) | (g[y] != h[y]) | (g[x] != g[y]))
+    at = np.flatnonzero(ok)
+    ok[at] = possible(bits[x[at]], lo[x[at]], room[x[at]], bits[y[at]], lo[y[at]], room[y[at]])
+    return ok
+
+
+def traverse(forest: Forest, left: np.ndarray, right: np.ndarray):
+    """Member pairs (i, j) of different groups below the root pairs (left, right) that may be similar; below a tree and itself i < j."""
+    chunk = max(1000, 4_000_000 // forest.levels[0][0].shape[1])
+    todo = [(len(forest.levels) - 1, left[k : k + chunk], right[k : k + chunk]) for k in range(0, len(left), chunk)]
+    while todo:
+        d, x, y = todo.pop()
+        ok = fits(forest.levels[d], x, y)
+        x, y = x[ok], y[ok]
+        if not d:
+            if len(x):
+                yield x, y
+            continue
+        cuts = forest.kids[d - 1]
+        nx, ny = cuts[x + 1] - cuts[x], cuts[y + 1] - cuts[y]
+        n = nx * ny
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(ny, n)
+        i, j = np.repeat(cuts[x], n) + at // wide, np.repeat(cuts[y], n) + at % wide
+        same = np.repeat(x == y, n)
+        ok = ~same | (i < j if d == 1 else i <= j)
+        i, j = i[ok], j[ok]
+        todo += [(d - 1, i[k : k + chunk], j[k : k + chunk]) for k in range(0, len(i), chunk)]
+
+
+def neighbours(forest: Forest, tree: np.ndarray):
+    """Pairs of members next to each other in a tree that may be similar."""
+    x = np.flatnonzero(tree[1:] == tree[:-1])
+    ok = fits(forest.levels[0], x, x + 1)
+    yield x[ok], x[ok] + 1
+
+
+def list_pairs(cols: dict, near: bool):
+    """(a, b) of set ids that may be similar and lie in different groups, of whole lists (or pairs of their blocks).
+
+    cols: key (number of the list or pair of blocks), two (whether it has two blocks), side, sid, n, low, grp, bits (a list
+    of bytes). A tree stands over each bitmap width of each side, with the bitmaps of twice the width folded in.
+    near: only neighbours in order of smallest hash, else everything.
+    """
+    words = np.array([len(x) for x in cols["bits"]]) // 8
+    group = np.unique(cols["grp"], return_inverse=True)[1]
     for w in np.unique(words):
         at = np.flatnonzero((words == w) | (words == 2 * w))
-        rows = pdf.iloc[at]
-        bits = np.stack([fold(np.frombuffer(x, np.uint64)[None], w)[0] for x in rows["bits"]])
-        order = np.lexsort((rows["sid"].to_numpy(), rows["n"].to_numpy()))
-        yield bits[order], rows["n"].to_numpy()[order], rows["sid"].to_numpy()[order], rows["grp"].to_numpy()[order], (words[at] == w)[order], rows["blk"].to_numpy()[order]
-
-
-def spanning_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A list's chain in order of size and its members' pairs with the most typical one, where they may be similar."""
-    found = []
-    for bits, n, sid, _, exact, _ in by_width(pdf):
-        m = len(n)
-        if m < 2 or not exact.any():
-            continue
-        room = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        weight = np.unpackbits(bits.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-        usual = np.packbits(weight * 2 > m).view(np.uint64)
-        away = np.bitwise_count(bits ^ usual).sum(axis=1, dtype=np.int64)
-        hub = int(np.argmin(away))
-        x = np.concatenate((np.arange(m - 1), np.full(m, hub)))
-        y = np.concatenate((np.arange(1, m), np.arange(m)))
-        ok = (x != y) & possible(bits[x], n[x], room[x], bits[y], n[y], room[y])
-        found.append((sid[x[ok]], sid[y[ok]]))
-    return pair_frame(found)
-
-
-def tree_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of a list (or of two of its blocks) in different groups that may be similar, by dual traversal."""
-    found = []
-    if pdf["grp"].nunique() > 1:
-        two = bool((pdf["b1"] != pdf["b2"]).iloc[0])
-        for bits, n, sid, grp, exact, blk in by_width(pdf):
-            groups = np.unique(grp, return_inverse=True)[1]
-            if two:
-                first = blk == pdf["b1"].iloc[0]
-                if first.all() or not first.any():
-                    continue
-                sides = (np.flatnonzero(first), np.flatnonzero(~first))
-            else:
-                sides = (np.arange(len(n)),) * 2
-            trees = [Tree(bits[s], n[s], groups[s]) for s in (sides if two else sides[:1])]
-            i, j = traverse(trees[0], trees[-1], not two)
-            x, y = sides[0][i], sides[1][j]
-            ok = exact[x] | exact[y]  # two folded members meet at their own width
-            found.append((sid[x[ok]], sid[y[ok]]))
-    return pair_frame(found)
-
-
-def pair_frame(found: list) -> pd.DataFrame:
-    a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-    b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        own = words[at] == w
+        bits = np.empty((len(at), w), np.uint64)
+        bits[own] = np.frombuffer(b"".join([cols["bits"][i] for i in at[own]]), np.uint64).reshape(-1, w)
+        bits[~own] = np.bitwise_or.reduce(np.frombuffer(b"".join([cols["bits"][i] for i in at[~own]]), np.uint64).reshape(-1, 2, w), axis=1)
+        tree = cols["key"][at] * 2 + cols["side"][at]
+        order = np.lexsort((cols["n"][at], cols["low"][at] if near else group[at], tree))
+        at, own, bits, tree = at[order], own[order], bits[order], tree[order]
+        forest = Forest(tree, bits, cols["n"][at], group[at])
+        if near:
+            found = neighbours(forest, tree)
+        else:
+            roots, first = np.unique(tree, return_index=True)
+            two = cols["two"][at[first]]
+            single = np.flatnonzero(~two)
+            both = np.flatnonzero(two[1:] & (roots[1:] == roots[:-1] + 1) & (roots[:-1] % 2 == 0)) if len(roots) > 1 else single[:0]
+            found = traverse(forest, np.append(single, both), np.append(single, both + 1))
+        for i, j in found:
+            ok = own[i] | own[j]  # two folded members meet at their own width
+            a, b = cols["sid"][at[i[ok]]], cols["sid"][at[j[ok]]]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
+def proposals(rows: DataFrame, near: bool) -> DataFrame:
+    """list_pairs over rows of in_blocks: each partition streams its sorted lists and works on whole lists of some thousand rows at a time."""
+    names = ["list", "b1", "b2", "blk", "sid", "n", "low", "grp", "bits"]
+
+    def work(t: pa.Table):
+        of = {c: t.column(c).to_numpy() for c in names[:-1]}
+        new = np.ones(t.num_rows, bool)
+        new[1:] = (of["list"][1:] != of["list"][:-1]) | (of["b1"][1:] != of["b1"][:-1]) | (of["b2"][1:] != of["b2"][:-1])
+        cols = of | {"key": np.cumsum(new), "two": of["b1"] != of["b2"], "side": (of["blk"] != of["b1"]).astype(np.int64), "bits": t.column("bits").to_pylist()}
+        for a, b in list_pairs(cols, near):
+            ab = np.unique(np.stack((a, b), axis=1), axis=0)
+            for k in range(0, len(ab), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(ab[k : k + 100_000, 0]), pa.array(ab[k : k + 100_000, 1])], names=["a", "b"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n < STREAM_ROWS:
+                continue
+            t = pa.Table.from_batches(held)
+            last = np.array([t.column(c)[n - 1].as_py() for c in names[:3]])
+            keys = np.stack([t.column(c).to_numpy() for c in names[:3]], axis=1)
+            stop = int(np.argmax((keys == last).all(axis=1)))  # sorted: the last list may go on in the next batch
+            if stop:
+                yield from work(t.slice(0, stop))
+            held, n = t.slice(stop).combine_chunks().to_batches(), n - stop
+        if n:
+            yield from work(pa.Table.from_batches(held))
+
+    dealt = rows.select(names).repartition("list", "b1", "b2").sortWithinPartitions("list", "b1", "b2")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def in_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of lists with their bitmaps, under (list, b1, b2); a long list's members come once for each pair of blocks."""
-    count = lists.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where(f"m > {BLOCK}").select(F.col("list").alias("long_list"), F.expr(f"(m + {BLOCK} - 1) div {BLOCK}").alias("k"))
-    rows = lists.join(count, lists["list"] == F.col("long_list"), "left").join(sets, "sid")
-    blk = F.when(F.col("k").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("sid"), F.col("k")))
-    rows = rows.withColumn("blk", blk).withColumn("other", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))))
-    return rows.select("list", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "blk", "sid", "n", "bits", "grp")
+    """Members of lists with their bitmaps, under (list, b1, b2).
+
+    A list of more than BLOCK members is cut into blocks in order of size; its members come once for each pair of blocks
+    whose sizes allow a link.
+    """
+    count = lists.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where(f"m > {BLOCK}").select(F.col("list").alias("long_list"))
+    rows = lists.join(small_or_plain(materialise(count, "long")), F.col("list") == F.col("long_list"), "left").join(sets, "sid")
+    short = rows.where("long_list is null").select("list", F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2"), F.lit(0).cast("long").alias("blk"), "sid", "n", "low", "bits", "grp")
+    long = rows.where("long_list is not null")
+    sizes = long.groupBy("list", "n").agg(F.count(F.lit(1)).alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("list").orderBy("n"))  # a row for each size of a list
+    sizes = sizes.withColumn("upto", upto).selectExpr("list", "n", f"(upto - m) div {BLOCK} as first", f"(upto - 1) div {BLOCK} as last")
+    sizes = materialise(sizes, "sizes")
+    span = sizes.select("list", "n", F.explode(F.sequence("first", "last")).alias("blk")).groupBy("list", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    span = materialise(span, "spans")
+    x, y = span.alias("x"), span.alias("y")
+    meets = (F.col("x.list") == F.col("y.list")) & (F.col("x.blk") <= F.col("y.blk")) & (F.col("y.lo") * NUM <= F.col("x.hi") * DEN)
+    pairs = x.join(y, meets).select(F.col("x.list").alias("of"), F.col("x.blk").alias("b1"), F.col("y.blk").alias("b2"))
+    pairs = pairs.select("of", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("blk"))
+    long = long.join(sizes, ["list", "n"]).withColumn("blk", F.col("first") + F.pmod(F.xxhash64("sid"), F.col("last") - F.col("first") + 1)).drop("first", "last")
+    long = long.join(pairs, (F.col("list") == F.col("of")) & (long["blk"] == pairs["blk"])).select("list", "b1", "b2", long["blk"], "sid", "n", "low", "bits", "grp")
+    return short.unionByName(long)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
@@ -375,19 +436,17 @@ def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs."""
     found = materialise(digests(docs), "digests")
     n_docs = found.count()
-    sets = found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sets = found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
     sets = materialise(sets, "distinct")
-    owners, marks = sets.select("sid", "doc_id"), sets.select("sid", "n", "bits")
+    owners, marks = sets.select("sid", "doc_id"), sets.select("sid", "n", "low", "bits")
     lists = materialise(meeting_lists(docs, n_docs), "lists")
-    keys, schema = ["list", "b1", "b2"], "a long, b long"
-    first = in_blocks(lists, marks.withColumn("grp", F.lit(0).cast("long")))
-    pairs = materialise(first.groupBy(keys).applyInPandas(spanning_pairs, schema).distinct(), "pairs")
+    pairs = materialise(proposals(in_blocks(lists, marks.withColumn("grp", F.col("sid"))), True), "pairs")
     links = materialise(verify(pairs, docs, owners), "links")
     groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = marks.join(groups.withColumnRenamed("id", "sid"), "sid", "left").withColumn("grp", F.coalesce("component", "sid")).drop("component")
     open_lists = lists.join(named.select("sid", "grp"), "sid").groupBy("list").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("list")
     second = in_blocks(lists.join(open_lists, "list", "left_semi"), named)
-    more = second.groupBy(keys).applyInPandas(tree_pairs, schema).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = proposals(second, False).join(pairs, ["a", "b"], "left_anti")
     more = materialise(more, "pairs")
     if more.limit(1).count():
         links = links.unionByName(verify(more, docs, owners))

@@ -272,6 +272,21 @@ def test_op7_second_round_and_awkward_rows(spark, odd):
     assert jaccard.components(odd.where("false")).count() == 0
 
 
+def test_op7_hot_shingles_and_long_lists(spark, monkeypatch):
+    """A passage in all documents that fills most of each: its shingles are frequent, its lists are cut into blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    monkeypatch.setattr(jaccard, "STREAM_ROWS", 64)
+    rng = np.random.default_rng(6)
+    texts = []
+    for k in range(700):
+        base = 14 + 12 * (k % 7)  # sizes of the shared passage; neighbours in size may be similar
+        texts.append(" ".join([*[f"c{j}" for j in range(base)], *[f"u{k}_{j}" for j in range(int(rng.integers(0, base)))]]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert jaccard.meeting_lists(rows, 700).groupBy("list").count().agg(F.max("count")).first()[0] > 4 * 50
+    got = [r["component_id"] for r in jaccard.components(rows).orderBy("doc_id").collect()]
+    assert got == find_components(700, brute_jaccard(texts)[1]) and len(set(got)) > 20
+
+
 def test_op8_packs_every_token_once(spark, sf_dir, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
