@@ -2,13 +2,13 @@
 
 1. Each distinct shingle set gets an id (a 64-bit hash of the set), its size and a bitmap of about BITS bits a shingle.
 2. Which sets can meet: two similar sets share a shingle among the first quarter of each in any fixed order. Sets
-   that share such a shingle make a list; equal lists count once. The order puts shingles last that are frequent in a
+   that share such a shingle make a list; lists with the same smallest id are joined to one. The order puts shingles last that are frequent in a
    sample of documents, which makes lists short; the result is the same under any order.
 3. A signature tree stands over each list (side by side in numpy arrays, so that a task works on thousands of lists at once). Its
    nodes hold the OR of their members' bitmaps, their size range and group range; a dual traversal drops node pairs whose largest possible
    overlap is too small, whose sizes differ too much, or which lie in one group. Every pair left is verified on the full sets.
-4. So that large groups of near copies don't give all their pairs, neighbouring leaves are compared first, in order of the sets' smallest
-   hash; the links found make groups, and the traversal of the lists that still span several groups finds the rest.
+4. So that large groups of near copies don't give all their pairs, the first traversal hands on only a spanning forest of the pairs
+   it finds, those with the most common bits; the links found make groups, and a second one, over lists that still span several groups, hands on all pairs between these.
 Links of both rounds together give the components. Nothing is capped: long lists are cut into blocks of BLOCK members
 in order of size, and every pair of blocks whose sizes allow a link is visited.
 Sets with one 64-bit id are taken as equal: among a billion distinct sets some pair collides with chance 0.03. Collisions of
@@ -21,6 +21,8 @@ its own row; a row with a null id takes part and has a null component only if it
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,6 +36,8 @@ BLOCK = 4096
 FAN_OUT = 8
 #: Rows of lists that a partition takes up at a time (and more only for one pair of blocks).
 STREAM_ROWS = 8192
+#: Pairs that are held to drop repeated ones before they are handed on.
+STREAM_PAIRS = 500_000
 #: Documents sampled for the shingle order, and the number of them from which a shingle counts as frequent.
 SAMPLE, FREQUENT = 4000, 12
 #: Sets whose shingles one bucket of the candidate search holds on average.
@@ -176,7 +180,9 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def meeting_lists(docs: DataFrame, n_docs: int) -> DataFrame:
-    """(list, sid): sets that share a prefix shingle, each distinct list of two or more once.
+    """(list, sid): sets that share a prefix shingle with others, under the smallest id among them.
+
+    The lists of shingles with one smallest id are joined to one: it holds all their pairs, and each pair in few lists.
 
     Shingles go to buckets of bounded size; the sets of a frequent shingle are spread over all buckets and meet as rows.
     """
@@ -213,28 +219,20 @@ def meeting_lists(docs: DataFrame, n_docs: int) -> DataFrame:
         grams, sids = grams[order], sids[order]
         new = np.concatenate(([True], (grams[1:] != grams[:-1]) | (sids[1:] != sids[:-1])))
         grams, sids = grams[new], sids[new]
-        hot = is_in(frequent.value, grams)
-        part = pd.DataFrame({"list": grams[hot].view(np.int64), "sid": sids[hot]})
-        grams, sids = grams[~hot], sids[~hot]
         cuts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(cuts, len(grams)))
-        full = np.repeat(sizes > 1, sizes)
-        if not full.any():
-            return part
-        sids, sizes = sids[full], sizes[sizes > 1]
-        cuts = np.cumsum(sizes) - sizes
-        keys = mix(np.add.reduceat(mix(sids.view(np.uint64)), cuts) + sizes.astype(np.uint64)).view(np.int64)
-        once = np.zeros(len(keys), bool)
-        once[np.unique(keys, return_index=True)[1]] = True
-        keep = np.repeat(once, sizes)
-        return pd.concat((part, pd.DataFrame({"list": np.repeat(keys, sizes)[keep], "sid": sids[keep]})))
+        spread = np.repeat(is_in(frequent.value, grams[cuts]), sizes)
+        lead = np.repeat(sids[cuts], sizes)  # the smallest, as they are sorted
+        plain = ~spread & np.repeat(sizes > 1, sizes)
+        rows = pd.DataFrame({"list": lead[plain], "sid": sids[plain], "hot": False}).drop_duplicates()
+        return pd.concat((rows, pd.DataFrame({"list": grams[spread].view(np.int64), "sid": sids[spread], "hot": True})))
 
     dealt = docs.select("text").mapInArrow(deal, "bucket long, grams binary, sids binary")
-    lists = dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "list long, sid long").distinct()
-    lists = materialise(lists, "lists")
-    sign = lists.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("sid", F.lit(1)).cast("decimal(38,0)")).alias("y"))
-    once = sign.where("m > 1").groupBy("m", "x", "y").agg(F.min("list").alias("list"))
-    return lists.join(once.select("list"), "list", "left_semi")
+    lists = materialise(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "list long, sid long, hot boolean"), "lists")
+    hot = lists.where("hot").select(F.col("list").alias("gram"), "sid")
+    lead = hot.groupBy("gram").agg(F.min("sid").alias("list"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    hot = hot.join(small_or_plain(materialise(lead, "leads")), "gram")  # no more rows than the driver sent out as frequent
+    return lists.where("not hot").select("list", "sid").unionByName(hot.select("list", "sid")).distinct()
 
 
 def overlap_needed(n1, n2):
@@ -304,11 +302,44 @@ def traverse(forest: Forest, left: np.ndarray, right: np.ndarray):
         todo += [(d - 1, i[k : k + chunk], j[k : k + chunk]) for k in range(0, len(i), chunk)]
 
 
-def neighbours(forest: Forest, tree: np.ndarray):
-    """Pairs of members next to each other in a tree that may be similar."""
-    x = np.flatnonzero(tree[1:] == tree[:-1])
-    ok = fits(forest.levels[0], x, x + 1)
-    yield x[ok], x[ok] + 1
+def spanning(i: np.ndarray, j: np.ndarray, weight: np.ndarray, m: int) -> np.ndarray:
+    """Numbers of the pairs of a heaviest spanning forest over m members: each round every tree takes its heaviest pair to another."""
+    order = np.argsort(-weight, kind="stable")
+    i, j = i[order], j[order]
+    root, taken, open_ = np.arange(m), [], np.arange(len(i))
+    while len(open_):
+        best = np.full(m, len(i))
+        np.minimum.at(best, root[i[open_]], open_)
+        np.minimum.at(best, root[j[open_]], open_)
+        new = np.unique(best[best < len(i)])
+        taken.append(new)
+        while True:
+            x, y = root[i[new]], root[j[new]]
+            if (x == y).all():
+                break
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        open_ = open_[root[i[open_]] != root[j[open_]]]
+    return order[np.concatenate(taken)] if taken else order
+
+
+def forest_pairs(forest: Forest, left: np.ndarray, right: np.ndarray):
+    """Of traverse's pairs a heaviest spanning forest, by the share of common bits."""
+    bits, m = forest.levels[0][0], len(forest.levels[0][1])
+    held, n = [], 0
+    for pair in chain(traverse(forest, left, right), [None]):
+        if pair is not None:
+            i, j = pair
+            both = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+            held.append((i, j, both / np.bitwise_count(bits[i] | bits[j]).sum(axis=1, dtype=np.int64)))
+            n += len(i)
+        if n > STREAM_PAIRS or (pair is None and n):
+            i, j, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            keep = spanning(i, j, w, m)
+            held, n = [(i[keep], j[keep], w[keep])], 0
+    for i, j, _ in held:
+        yield i, j
 
 
 def list_pairs(cols: dict, near: bool):
@@ -316,7 +347,7 @@ def list_pairs(cols: dict, near: bool):
 
     cols: key (number of the list or pair of blocks), two (whether it has two blocks), side, sid, n, low, grp, bits (a list
     of bytes). A tree stands over each bitmap width of each side, with the bitmaps of twice the width folded in.
-    near: only neighbours in order of smallest hash, else everything.
+    near: only a spanning forest of them, else everything.
     """
     words = np.array([len(x) for x in cols["bits"]]) // 8
     group = np.unique(cols["grp"], return_inverse=True)[1]
@@ -330,14 +361,11 @@ def list_pairs(cols: dict, near: bool):
         order = np.lexsort((cols["n"][at], cols["low"][at] if near else group[at], tree))
         at, own, bits, tree = at[order], own[order], bits[order], tree[order]
         forest = Forest(tree, bits, cols["n"][at], group[at])
-        if near:
-            found = neighbours(forest, tree)
-        else:
-            roots, first = np.unique(tree, return_index=True)
-            two = cols["two"][at[first]]
-            single = np.flatnonzero(~two)
-            both = np.flatnonzero(two[1:] & (roots[1:] == roots[:-1] + 1) & (roots[:-1] % 2 == 0)) if len(roots) > 1 else single[:0]
-            found = traverse(forest, np.append(single, both), np.append(single, both + 1))
+        roots, first = np.unique(tree, return_index=True)
+        two = cols["two"][at[first]]
+        both = np.flatnonzero(two[1:] & (roots[1:] == roots[:-1] + 1) & (roots[:-1] % 2 == 0))
+        left = np.append(np.flatnonzero(~two), both)
+        found = (forest_pairs if near else traverse)(forest, left, np.append(left[: len(left) - len(both)], both + 1))
         for i, j in found:
             ok = own[i] | own[j]  # two folded members meet at their own width
             a, b = cols["sid"][at[i[ok]]], cols["sid"][at[j[ok]]]
@@ -353,10 +381,15 @@ def proposals(rows: DataFrame, near: bool) -> DataFrame:
         new = np.ones(t.num_rows, bool)
         new[1:] = (of["list"][1:] != of["list"][:-1]) | (of["b1"][1:] != of["b1"][:-1]) | (of["b2"][1:] != of["b2"][:-1])
         cols = of | {"key": np.cumsum(new), "two": of["b1"] != of["b2"], "side": (of["blk"] != of["b1"]).astype(np.int64), "bits": t.column("bits").to_pylist()}
-        for a, b in list_pairs(cols, near):
-            ab = np.unique(np.stack((a, b), axis=1), axis=0)
-            for k in range(0, len(ab), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(ab[k : k + 100_000, 0]), pa.array(ab[k : k + 100_000, 1])], names=["a", "b"])
+        held, n = [], 0
+        for ab in chain(list_pairs(cols, near), [None]):
+            if ab is not None:
+                held.append(np.stack(ab, axis=1))
+                n += len(held[-1])
+            if n >= STREAM_PAIRS or (ab is None and n):
+                found = np.unique(np.concatenate(held), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                held, n = [], 0
 
     def run(batches):
         held, n = [], 0

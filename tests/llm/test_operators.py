@@ -284,7 +284,7 @@ def test_op7_hot_shingles_and_long_lists(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert jaccard.meeting_lists(rows, 700).groupBy("list").count().agg(F.max("count")).first()[0] > 4 * 50
     got = [r["component_id"] for r in jaccard.components(rows).orderBy("doc_id").collect()]
-    assert got == find_components(700, brute_jaccard(texts)[1]) and len(set(got)) > 20
+    assert got == find_components(700, brute_jaccard(texts)[1]) and len(set(got)) > 5
 
 
 def test_op8_packs_every_token_once(spark, sf_dir, docs):
