@@ -8,7 +8,7 @@
    nodes hold the OR of their members' bitmaps, their size range and group range; a dual traversal drops node pairs whose largest possible
    overlap is too small, whose sizes differ too much, or which lie in one group. Every pair left is verified on the full sets.
 4. So that large groups of near copies don't give all their pairs, the first traversal hands on only a spanning forest of the pairs
-   it finds, those with the most common bits; the links found make groups, and a second one, over lists that still span several groups, hands on all pairs between these.
+   it finds, those with the most common bits; the links found make groups, and a second one, over lists that had more pairs and still span several groups, hands on all pairs between these.
 Links of both rounds together give the components. Nothing is capped: long lists are cut into blocks of BLOCK members
 in order of size, and every pair of blocks whose sizes allow a link is visited.
 Sets with one 64-bit id are taken as equal: among a billion distinct sets some pair collides with chance 0.03. Collisions of
@@ -42,6 +42,8 @@ STREAM_PAIRS = 500_000
 SAMPLE, FREQUENT = 4000, 12
 #: Sets whose shingles one bucket of the candidate search holds on average.
 BUCKET_DOCS = 4000
+#: Steps in which the place of a shingle in its set's order is kept (a prefix is a quarter of them, 256 at most).
+PLACES = 1020
 
 U = np.uint64
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -179,6 +181,20 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return s[:n]
 
 
+def partnered(grams: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which entries of shingle lists (in order of grams) have another of their list that they may be similar to.
+
+    Two similar sets meet under their first common shingle, and there the overlap is at most what is left of either from that place on:
+    with r left of n a partner has at most r * (NUM + DEN) / NUM - n shingles, and any partner has at least n * NUM / DEN.
+    """
+    most = np.floor((n - place * n / PLACES) * (NUM + DEN) / NUM - n + 1e-6).astype(np.int64)
+    least = -(-n * NUM // DEN)
+    row = np.cumsum(np.concatenate(([0], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
+    key = np.sort((row << 32) + n)
+    found = np.searchsorted(key, (row << 32) + np.maximum(most, least - 1), "right") - np.searchsorted(key, (row << 32) + least)
+    return found - (n <= most) > 0
+
+
 def meeting_lists(docs: DataFrame, n_docs: int) -> DataFrame:
     """(list, sid): sets that share a prefix shingle with others, under the smallest id among them.
 
@@ -196,29 +212,33 @@ def meeting_lists(docs: DataFrame, n_docs: int) -> DataFrame:
             own: dict[int, np.ndarray] = {}
             for s in shingle_sets(utf8(b.column(0))):
                 if len(s):
-                    own.setdefault(set_id(s), prefix(s, late))
+                    own.setdefault(set_id(s), (len(s), prefix(s, late)))
             if not own:
                 continue
-            grams = np.concatenate(list(own.values()))
-            sids = np.repeat(np.array(list(own), np.int64), [len(p) for p in own.values()])
+            sizes = [len(p) for _, p in own.values()]
+            grams = np.concatenate([p for _, p in own.values()])
+            sids, n = np.repeat(np.array(list(own), np.int64), sizes), np.repeat(np.array([n for n, _ in own.values()], np.int64), sizes)
+            place = (np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) * PLACES // n
             spread = np.where(is_in(late, grams), sids.view(np.uint64) >> U(20), U(0))
             to = (((grams >> U(20)) + spread) % U(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            to, grams, sids = to[order], grams[order], sids[order]
+            to = to[order]
             cuts = np.flatnonzero(np.diff(to, prepend=-1))
             stops = np.append(cuts[1:], len(to))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to[cuts]), pa.array([grams[a:z].tobytes() for a, z in zip(cuts, stops, strict=True)], pa.binary()), pa.array([sids[a:z].tobytes() for a, z in zip(cuts, stops, strict=True)], pa.binary())],
-                names=["bucket", "grams", "sids"],
-            )
+            packed = [[x[a:z].tobytes() for a, z in zip(cuts, stops, strict=True)] for x in (grams[order], sids[order], n[order].astype(np.int32), place[order].astype(np.uint8))]
+            yield pa.RecordBatch.from_arrays([pa.array(to[cuts]), *[pa.array(x, pa.binary()) for x in packed]], names=["bucket", "grams", "sids", "n", "place"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         grams = np.frombuffer(b"".join(pdf["grams"]), np.uint64)
         sids = np.frombuffer(b"".join(pdf["sids"]), np.int64)
+        n, place = np.frombuffer(b"".join(pdf["n"]), np.int32).astype(np.int64), np.frombuffer(b"".join(pdf["place"]), np.uint8)
         order = np.lexsort((sids, grams))
-        grams, sids = grams[order], sids[order]
+        grams, sids, n, place = grams[order], sids[order], n[order], place[order]
         new = np.concatenate(([True], (grams[1:] != grams[:-1]) | (sids[1:] != sids[:-1])))
-        grams, sids = grams[new], sids[new]
+        grams, sids, n, place = grams[new], sids[new], n[new], place[new]
+        keep = is_in(frequent.value, grams)
+        keep |= partnered(grams, n, place)
+        grams, sids = grams[keep], sids[keep]
         cuts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(cuts, len(grams)))
         spread = np.repeat(is_in(frequent.value, grams[cuts]), sizes)
@@ -227,7 +247,7 @@ def meeting_lists(docs: DataFrame, n_docs: int) -> DataFrame:
         rows = pd.DataFrame({"list": lead[plain], "sid": sids[plain], "hot": False}).drop_duplicates()
         return pd.concat((rows, pd.DataFrame({"list": grams[spread].view(np.int64), "sid": sids[spread], "hot": True})))
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket long, grams binary, sids binary")
+    dealt = docs.select("text").mapInArrow(deal, "bucket long, grams binary, sids binary, n binary, place binary")
     lists = materialise(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "list long, sid long, hot boolean"), "lists")
     hot = lists.where("hot").select(F.col("list").alias("gram"), "sid")
     lead = hot.groupBy("gram").agg(F.min("sid").alias("list"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -324,8 +344,8 @@ def spanning(i: np.ndarray, j: np.ndarray, weight: np.ndarray, m: int) -> np.nda
     return order[np.concatenate(taken)] if taken else order
 
 
-def forest_pairs(forest: Forest, left: np.ndarray, right: np.ndarray):
-    """Of traverse's pairs a heaviest spanning forest, by the share of common bits."""
+def forest_pairs(forest: Forest, left: np.ndarray, right: np.ndarray, left_over: np.ndarray):
+    """Of traverse's pairs a heaviest spanning forest, by the share of common bits; left_over marks members with pairs that are not in it."""
     bits, m = forest.levels[0][0], len(forest.levels[0][1])
     held, n = [], 0
     for pair in chain(traverse(forest, left, right), [None]):
@@ -337,17 +357,18 @@ def forest_pairs(forest: Forest, left: np.ndarray, right: np.ndarray):
         if n > STREAM_PAIRS or (pair is None and n):
             i, j, w = (np.concatenate(x) for x in zip(*held, strict=True))
             keep = spanning(i, j, w, m)
+            left_over[np.delete(i, keep)] = True
             held, n = [(i[keep], j[keep], w[keep])], 0
     for i, j, _ in held:
         yield i, j
 
 
-def list_pairs(cols: dict, near: bool):
+def list_pairs(cols: dict, near: bool, more: np.ndarray):
     """(a, b) of set ids that may be similar and lie in different groups, of whole lists (or pairs of their blocks).
 
     cols: key (number of the list or pair of blocks), two (whether it has two blocks), side, sid, n, low, grp, bits (a list
     of bytes). A tree stands over each bitmap width of each side, with the bitmaps of twice the width folded in.
-    near: only a spanning forest of them, else everything.
+    near: only a spanning forest of them, else everything; more marks the rows whose list has pairs that were held back.
     """
     words = np.array([len(x) for x in cols["bits"]]) // 8
     group = np.unique(cols["grp"], return_inverse=True)[1]
@@ -365,15 +386,17 @@ def list_pairs(cols: dict, near: bool):
         two = cols["two"][at[first]]
         both = np.flatnonzero(two[1:] & (roots[1:] == roots[:-1] + 1) & (roots[:-1] % 2 == 0))
         left = np.append(np.flatnonzero(~two), both)
-        found = (forest_pairs if near else traverse)(forest, left, np.append(left[: len(left) - len(both)], both + 1))
+        right, left_over = np.append(left[: len(left) - len(both)], both + 1), np.zeros(len(at), bool)
+        found = forest_pairs(forest, left, right, left_over) if near else traverse(forest, left, right)
         for i, j in found:
             ok = own[i] | own[j]  # two folded members meet at their own width
             a, b = cols["sid"][at[i[ok]]], cols["sid"][at[j[ok]]]
             yield np.minimum(a, b), np.maximum(a, b)
+        more[at[left_over]] = True
 
 
 def proposals(rows: DataFrame, near: bool) -> DataFrame:
-    """list_pairs over rows of in_blocks: each partition streams its sorted lists and works on whole lists of some thousand rows at a time."""
+    """(a, b, null) pairs and (null, null, more) lists with pairs held back, by list_pairs over rows of in_blocks: each partition streams its sorted lists and works on whole lists of some thousand rows at a time."""
     names = ["list", "b1", "b2", "blk", "sid", "n", "low", "grp", "bits"]
 
     def work(t: pa.Table):
@@ -381,15 +404,17 @@ def proposals(rows: DataFrame, near: bool) -> DataFrame:
         new = np.ones(t.num_rows, bool)
         new[1:] = (of["list"][1:] != of["list"][:-1]) | (of["b1"][1:] != of["b1"][:-1]) | (of["b2"][1:] != of["b2"][:-1])
         cols = of | {"key": np.cumsum(new), "two": of["b1"] != of["b2"], "side": (of["blk"] != of["b1"]).astype(np.int64), "bits": t.column("bits").to_pylist()}
-        held, n = [], 0
-        for ab in chain(list_pairs(cols, near), [None]):
+        held, n, more = [], 0, np.zeros(t.num_rows, bool)
+        for ab in chain(list_pairs(cols, near, more), [None]):
             if ab is not None:
                 held.append(np.stack(ab, axis=1))
                 n += len(held[-1])
             if n >= STREAM_PAIRS or (ab is None and n):
                 found = np.unique(np.concatenate(held), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(found), pa.int64())], names=["a", "b", "more"])
                 held, n = [], 0
+        lists = np.unique(of["list"][more])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(lists), pa.int64()), pa.nulls(len(lists), pa.int64()), pa.array(lists)], names=["a", "b", "more"])
 
     def run(batches):
         held, n = [], 0
@@ -409,7 +434,7 @@ def proposals(rows: DataFrame, near: bool) -> DataFrame:
             yield from work(pa.Table.from_batches(held))
 
     dealt = rows.select(names).repartition("list", "b1", "b2").sortWithinPartitions("list", "b1", "b2")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, more long").distinct()
 
 
 def in_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -473,13 +498,15 @@ def components(docs: DataFrame) -> DataFrame:
     sets = materialise(sets, "distinct")
     owners, marks = sets.select("sid", "doc_id"), sets.select("sid", "n", "low", "bits")
     lists = materialise(meeting_lists(docs, n_docs), "lists")
-    pairs = materialise(proposals(in_blocks(lists, marks.withColumn("grp", F.col("sid"))), True), "pairs")
+    found_pairs = materialise(proposals(in_blocks(lists, marks.withColumn("grp", F.col("sid"))), True), "pairs")
+    pairs = found_pairs.where("more is null").select("a", "b")
     links = materialise(verify(pairs, docs, owners), "links")
     groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = marks.join(groups.withColumnRenamed("id", "sid"), "sid", "left").withColumn("grp", F.coalesce("component", "sid")).drop("component")
-    open_lists = lists.join(named.select("sid", "grp"), "sid").groupBy("list").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("list")
-    second = in_blocks(lists.join(open_lists, "list", "left_semi"), named)
-    more = proposals(second, False).join(pairs, ["a", "b"], "left_anti")
+    left_over = materialise(lists.join(small_or_plain(found_pairs.where("more is not null").select(F.col("more").alias("list")).distinct()), "list", "left_semi"), "lists")
+    open_lists = left_over.join(named.select("sid", "grp"), "sid").groupBy("list").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("list")
+    second = in_blocks(left_over.join(open_lists, "list", "left_semi"), named)
+    more = proposals(second, False).where("more is null").select("a", "b").join(pairs, ["a", "b"], "left_anti")
     more = materialise(more, "pairs")
     if more.limit(1).count():
         links = links.unionByName(verify(more, docs, owners))
