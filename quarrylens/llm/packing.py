@@ -6,10 +6,12 @@ a bounded memory: the same ids as for the whole text (tested), several times fas
 
 Packing: pieces are dealt to partitions of bounded size; each packs its pieces best-fit, largest first, sends out the
 nearly full bins, and the underfull bins become items of the next round, in which FAN_IN partitions meet in
-one, until one partition is left. A partition hands on few underfull bins, so a merge stays small.
+one, until one partition is left. Best fit leaves at most one bin that is half empty or emptier in a partition (two would have been
+one), so a merge of FAN_IN partitions can place at most FAN_IN items in bins of any one fill. A partition hands on no more than
+that for each level to come, of each fill: a merge is bounded however many bins stay underfull, and nothing is lost by it.
 
 Defined cases: null text is empty and gives one piece that holds the end id only; repeated rows are packed one by one;
-special-token strings inside a text are ordinary text; other columns are ignored.
+a special-token string inside a text gets its own id, as the tokenizer gives it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ PIECES, FAN_IN, SLACK = 40_000, 8, 4
 
 CUT = re.compile(r" (?=\S)")
 LOOSE = re.compile(r" (?:\s|\Z)")
-#: White space for Python that is none for the tokenizer; such texts are encoded whole.
+#: White space for Python that is none for the tokenizer; such texts, and those with special tokens, are encoded whole.
 ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -46,7 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -54,7 +56,7 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
     def ids(self, text: str) -> bytes:
-        if ODD.search(text):
+        if ODD.search(text) or self.special.search(text):
             return self.encode([text])[0]
         parts = CUT.split(text) if LOOSE.search(text) else text.split(" ")
         head = self.encode(parts[:1])[0] if parts[0] else b""
@@ -124,6 +126,15 @@ def best_fit(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bins, offsets, np.array(fill, np.int64)
 
 
+def handed_on(fill: np.ndarray, most: int) -> np.ndarray:
+    """Whether each bin goes to the next round: underfull, and among the first bins of its fill."""
+    order = np.argsort(fill, kind="stable")
+    of = fill[order]
+    rank = np.empty(len(fill), np.int64)
+    rank[order] = np.arange(len(fill)) - np.searchsorted(of, of)
+    return (fill < LENGTH - SLACK) & (rank < most)
+
+
 def pack(pieces: DataFrame, n_rows: int | None = None) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32), materialised -> the same with sequence_id and offset.
 
@@ -133,22 +144,23 @@ def pack(pieces: DataFrame, n_rows: int | None = None) -> DataFrame:
     n = pieces.count() if n_rows is None else n_rows
     groups = max(1, -(-n // PIECES))
     salted = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups))
-    level = 0
+    levels = next(k for k in range(64) if FAN_IN**k >= groups)
+    most, level = FAN_IN * (levels + 1), 0
     full = pieces.where(F.col("length") == LENGTH).withColumns({"sequence_id": F.monotonically_increasing_id() + (F.lit(1).cast("long") * (1 << 62)), "offset": F.lit(0).cast("long")})
     items = pieces.where(F.col("length") < LENGTH).withColumns({"grp": salted, "size": F.col("length")})
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, bin long, at long, fill long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, bin long, at long, fill long, more boolean"
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "piece", "start"], kind="stable", ascending=[False, True, True, True]).reset_index(drop=True)
         bins, offsets, fill = best_fit(pdf["size"].to_numpy())
         out = pdf[["doc_id", "piece", "start", "length", "ids_crc32", "grp"]].copy()
-        out["bin"], out["at"], out["fill"] = bins, offsets, fill[bins]
+        out["bin"], out["at"], out["fill"], out["more"] = bins, offsets, fill[bins], handed_on(fill, most)[bins]
         return out
 
     placed = materialise(items.groupBy("grp").applyInPandas(local, schema), "packed")
     placed = placed.withColumns({"sequence_id": F.col("grp") * (1 << 24) + F.col("bin"), "offset": F.col("at")}).drop("bin", "at", "grp")
     # Later rounds move whole bins: (sequence_id, fill) of the underfull ones, a few per group.
-    bins = placed.where(F.col("fill") < LENGTH - SLACK).select("sequence_id", F.col("fill").alias("size")).distinct()
+    bins = placed.where("more").select("sequence_id", F.col("fill").alias("size")).distinct()
     bins = bins.withColumn("grp", F.expr(f"sequence_id div {1 << 24}"))
     moves = None
 
@@ -156,18 +168,18 @@ def pack(pieces: DataFrame, n_rows: int | None = None) -> DataFrame:
         pdf = pdf.sort_values(["size", "root"], kind="stable", ascending=[False, True]).reset_index(drop=True)
         b, offsets, fill = best_fit(pdf["size"].to_numpy())
         heads = pdf["root"].to_numpy()[np.unique(b, return_index=True)[1]]
-        return pd.DataFrame({"root": pdf["root"], "to": heads[b], "by": offsets, "fill": fill[b], "grp": pdf["grp"]})
+        return pd.DataFrame({"root": pdf["root"], "to": heads[b], "by": offsets, "fill": fill[b], "grp": pdf["grp"], "more": handed_on(fill, most)[b]})
 
     bins = materialise(bins.select(F.col("sequence_id").alias("root"), "size", "grp"), "bins")
     while groups > 1:
         groups, level = -(-groups // FAN_IN), level + 1
-        step = bins.withColumn("grp", F.expr(f"grp div {FAN_IN}")).groupBy("grp").applyInPandas(merge, "root long, to long, by long, fill long, grp long")
+        step = bins.withColumn("grp", F.expr(f"grp div {FAN_IN}")).groupBy("grp").applyInPandas(merge, "root long, to long, by long, fill long, grp long, more boolean")
         step = materialise(step, "merge")
         moves = step.select(F.col("root").alias("own"), "to", "by") if moves is None else (
             moves.join(step.select(F.col("root").alias("to"), F.col("to").alias("next"), F.col("by").alias("more")), "to", "left")
             .select("own", F.coalesce("next", "to").alias("to"), (F.col("by") + F.coalesce("more", F.lit(0))).alias("by")))
         moves = materialise(moves, "moves")
-        bins = step.where((F.col("root") == F.col("to")) & (F.col("fill") < LENGTH - SLACK)).select("root", F.col("fill").alias("size"), "grp")
+        bins = step.where((F.col("root") == F.col("to")) & F.col("more")).select("root", F.col("fill").alias("size"), "grp")
     if moves is not None:
         placed = placed.join(moves, placed["sequence_id"] == moves["own"], "left")
         placed = placed.withColumns({"sequence_id": F.coalesce("to", "sequence_id"), "offset": F.col("offset") + F.coalesce("by", F.lit(0))})
