@@ -27,6 +27,8 @@ from quarrylens.llm.common import chunks, held_out, table, sample_per_class
 
 FIT_DOCS = 2000
 FIT_CHARS = 20_000
+#: Characters of the sample that are in work at a time while fitting.
+FIT_CHUNK = 1_000_000
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
 #: Letters of a word's beginning, and sketch values by which documents of the sample count as one group of copies.
@@ -134,6 +136,16 @@ def marginals(ids: np.ndarray, first: np.ndarray, emit: np.ndarray, trans: np.nd
     return alpha, beta, gamma / gamma.sum(axis=1, keepdims=True)
 
 
+def expected(ids: np.ndarray, first: np.ndarray, params: list[np.ndarray]) -> list[np.ndarray]:
+    """Expected numbers of (word, state), (state, next state) and first states."""
+    alpha, beta, gamma = marginals(ids, first, *params)
+    inner = np.flatnonzero(~first)
+    pot = np.exp(params[0] - params[0].max(axis=1, keepdims=True))[ids[inner]]
+    pair = alpha[inner - 1][:, :, None] * np.exp(params[1])[None] * (pot * beta[inner])[:, None, :]
+    words = np.stack([np.bincount(ids, gamma[:, j], len(params[0])) for j in (0, 1)], axis=1)
+    return [words, (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0), gamma[first].sum(axis=0)]
+
+
 def lay_out(texts: list[str], ids: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word ids of all texts end to end, marks of first tokens, and each text's number of tokens."""
     flat: list[int] = []
@@ -216,32 +228,36 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60) -> Crf:
     kept = [w for w in known if w in marks or w in common]
     toxic_word = np.array([False] + [w in marks for w in kept])
     words = {w: k + 1 for k, w in enumerate(kept)}
-    ids, first, counts = lay_out(texts, WordIds(words))
-    if not len(ids):
-        return empty
-    tag = (toxic_word[ids] & np.repeat(y == 1, counts)).astype(int)
     emit, trans, start = np.zeros((len(words) + 1, 2)), np.zeros((2, 2)), np.zeros(2)
-    inner = np.flatnonzero(~first)
-    want = [np.zeros_like(emit), np.zeros_like(trans), np.zeros_like(start)]
-    np.add.at(want[0], (ids, tag), 1)
-    np.add.at(want[1], (tag[inner - 1], tag[inner]), 1)
-    np.add.at(want[2], (tag[first],), 1)
-    freq = np.maximum(np.bincount(ids, minlength=len(words) + 1), 1)[:, None]
     params = [emit, trans, start]
+    want, freq, n_inner, n_first = [np.zeros_like(p) for p in params], np.zeros(len(words) + 1), 0, 0
+    known_ids, parts = WordIds(words), []
+    for i, j in chunks(texts, FIT_CHUNK):  # documents are independent, so the sample goes through in parts of bounded size
+        ids, first, counts = lay_out(texts[i:j], known_ids)
+        parts.append((ids, first, counts))
+        tag = (toxic_word[ids] & np.repeat(y[i:j] == 1, counts)).astype(int)
+        inner = np.flatnonzero(~first)
+        np.add.at(want[0], (ids, tag), 1)
+        np.add.at(want[1], (tag[inner - 1], tag[inner]), 1)
+        np.add.at(want[2], (tag[first],), 1)
+        freq += np.bincount(ids, minlength=len(freq))
+        n_inner, n_first = n_inner + len(inner), n_first + int(first.sum())
+    if not n_first:
+        return empty
+    scale = [np.maximum(freq, 1)[:, None] + 5.0, max(1, n_inner), max(1, n_first)]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for k in range(1, rounds + 1):
-        alpha, beta, gamma = marginals(ids, first, *params)
-        got = [np.stack([np.bincount(ids, gamma[:, j], len(words) + 1) for j in (0, 1)], axis=1)]
-        pot = np.exp(params[0] - params[0].max(axis=1, keepdims=True))[ids[inner]]
-        pair = alpha[inner - 1][:, :, None] * np.exp(params[1])[None] * (pot * beta[inner])[:, None, :]
-        got += [(pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0), gamma[first].sum(axis=0)]
-        scale = [freq + 5.0, max(1, len(inner)), max(1, int(first.sum()))]
+        got = [np.zeros_like(p) for p in params]
+        for ids, first, _ in parts:
+            if len(ids):
+                for total, part in zip(got, expected(ids, first, params), strict=True):
+                    total += part
         for q in range(3):
             g = (want[q] - got[q]) / scale[q] - 1e-3 * params[q]
             m1[q] = 0.8 * m1[q] + 0.2 * g
             m2[q] = 0.95 * m2[q] + 0.05 * g * g
             params[q] += 0.2 * (m1[q] / (1 - 0.8**k)) / (np.sqrt(m2[q] / (1 - 0.95**k)) + 1e-6)
-    x = evidence(marginals(ids, first, *params)[2], counts)
+    x = np.concatenate([evidence(marginals(ids, first, *params)[2] if len(ids) else np.zeros((0, 2)), counts) for ids, first, counts in parts])
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     calib = np.zeros(4)
     for _ in range(60):  # Newton steps of a weighted logistic regression with a slight ridge

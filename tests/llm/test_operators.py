@@ -323,12 +323,28 @@ def test_op8_merges_rounds_and_awkward_rows(spark, odd, monkeypatch):
     assert len(out[out["doc_id"].isin([1, 2])]) == 2 and packing.pack_documents(odd.where("false")).count() == 0
 
 
+def test_op8_bins_that_nothing_completes(spark, monkeypatch):
+    """No two of the long pieces fit together: they stay alone, few of them travel, and the short ones still find a place."""
+    rng = np.random.default_rng(4)
+    sizes = [*rng.integers(520, 1000, 3000), *[20] * 150]
+    rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(sizes)]
+    monkeypatch.setattr(packing, "PIECES", 30)  # 105 groups, so three rounds of merging
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")).toPandas()
+    assert sorted(got["doc_id"]) == list(range(len(sizes)))
+    check_bins(got)
+    assert got["sequence_id"].nunique() == 3000
+    fill = rng.integers(520, 1000, 40_000)
+    assert packing.handed_on(fill, 16).sum() == 16 * len(np.unique(fill))
+
+
 def test_op8_chunked_tokens_equal_whole_ones():
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    enc = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    for t in ["", " ", "  a", "a  b", " a b ", "x\n y", "x \n\n  y  ", "don't we'll", "é  　z", "a\x1cb c", "tab\t x", "<|endoftext|> </s> <s>", "\U0001f600 \U0001f600", "1 000 000", "a" * 3000]:
-        assert enc.ids(t) == enc.encode([t])[0], repr(t)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, fresh = packing.Encoder(path), Tokenizer.from_file(path)
+    for t in ["", " ", "  a", "a  b", " a b ", "x\n y", "x \n\n  y  ", "don't we'll", "é  　z", "a\x1cb c", "tab\t x", "<|endoftext|> </s> <s>", "one two <|endoftext|> three<|endoftext|>", "<|endof text|>", "\U0001f600 \U0001f600", "1 000 000", "a" * 3000]:
+        assert enc.ids(t) == np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
 def test_op9_inherits_from_the_nearest_directory(spark, sf_dir):
@@ -359,6 +375,43 @@ def test_op9_whole_texts_and_wrapped_headers(spark):
     assert {r["path"]: r["license"] for r in got.collect()} == {p: want for p, (_, want) in files.items()}
 
 
+def test_op10_marginals_equal_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    emit, trans, start = rng.standard_normal((5, 2)), rng.standard_normal((2, 2)), rng.standard_normal(2)
+    lengths = [1, 7, 3, 1, 9]
+    ids = rng.integers(0, 5, sum(lengths))
+    first = np.zeros(len(ids), bool)
+    first[np.cumsum(lengths) - lengths] = True
+    want = np.zeros((len(ids), 2))
+    words, pairs, starts = np.zeros((5, 2)), np.zeros((2, 2)), np.zeros(2)
+    for a, n in zip(np.cumsum(lengths) - lengths, lengths, strict=True):
+        paths = list(product((0, 1), repeat=n))
+        p = np.exp([start[s[0]] + sum(emit[ids[a + t], s[t]] for t in range(n)) + sum(trans[s[t - 1], s[t]] for t in range(1, n)) for s in paths])
+        for s, q in zip(paths, p / p.sum(), strict=True):
+            starts[s[0]] += q
+            for t in range(n):
+                want[a + t, s[t]] += q
+                words[ids[a + t], s[t]] += q
+                if t:
+                    pairs[s[t - 1], s[t]] += q
+    assert np.allclose(toxicity.marginals(ids, first, emit, trans, start)[2], want)
+    for got, right in zip(toxicity.expected(ids, first, [emit, trans, start]), (words, pairs, starts), strict=True):
+        assert np.allclose(got, right)
+
+
+def test_op10_awkward_rows_with_a_fitted_model(spark, odd):
+    texts = [f"plain words number {k} here and there" for k in range(80)]
+    model = toxicity.fit([t + " scumbag" * (k % 2) for k, t in enumerate(texts)], [k % 2 for k in range(80)])
+    assert model.words
+    rows = toxicity.score(odd.unionByName(spark.createDataFrame([(9, "a scumbag here")], "doc_id long, text string"), allowMissingColumns=True), model).collect()
+    assert len(rows) == 11 and all(0 <= r["toxicity"] <= 1 for r in rows)
+    by = {r["doc_id"]: r for r in rows}
+    assert [(s["start"], s["end"]) for s in by[9]["toxic_spans"]] == [(2, 9)] and by[9]["toxicity"] > 0.7 > by[5]["toxicity"]
+    assert by[1]["toxicity"] == by[2]["toxicity"] == by[3]["toxicity"] < 0.7
+
+
 def test_op10_toxicity(spark, sf_dir, docs, odd):
     got = run(spark, "op10", sf_dir).set_index("doc_id")
     labels = pd.read_parquet(f"{sf_dir}/labels.parquet").drop_duplicates("doc_id").set_index("doc_id")["toxic"]
