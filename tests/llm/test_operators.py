@@ -185,7 +185,7 @@ def test_op4_base_spans(spark, sf_dir, docs):
 
 def test_op4_awkward_rows(spark, odd):
     rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(HARD)], "doc_id long, text string, spans int")
-    out = pii.with_spans(rows, ([], 0.0))
+    out = pii.with_spans(rows, ([], []))
     for r in out.select("text", pii.names_of("base_spans").alias("s")).collect():
         assert r["s"] == ",".join(base_spans(r["text"])), r["text"]
     assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == odd.count()
@@ -194,6 +194,36 @@ def test_op4_awkward_rows(spark, odd):
     assert clean[8] == "<p>5 4111 1111 1111 1111 [EMAIL]" or clean[8] == "<p>5 [CARD] [EMAIL]"
 
 
+def test_op4_trees_thresholds_and_added_spans(spark):
+    """Secrets set to a name teach the trees; the others of the same form are found, ordinary long words are left alone."""
+    rng = np.random.default_rng(8)
+    code = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    named = [f'text {k} token = "{code()}" end' for k in range(200)]
+    plain = [f"text {k} see {code()} there" for k in range(3)]
+    clean = [f"text {k} the verylongcompoundword{k} and version-{k}-of-the-file there" for k in range(300)]
+    rows = spark.createDataFrame(list(enumerate([*named, *plain, *clean])), "doc_id long, text string")
+    model = pii.fit(rows)
+    out = {r["doc_id"]: r["s"] for r in pii.with_spans(rows, model).select("doc_id", pii.names_of("pii_spans").alias("s")).collect()}
+    for k, t in enumerate([*named, *plain]):
+        m = re.search("[0-9a-f]{40}", t)
+        assert f"secret:{m.start()}:{m.end()}" in out[k].split(","), t
+    assert not any(out[k] for k in range(203, 503))
+    # The expression in the query scores as the trees do.
+    trees, limits = model
+    cells = pii.with_proposals(pii.with_base(rows)).select(F.explode("__props").alias("p")).select("p.f.*", pii.score_of(trees, F.col("p.f")).alias("score")).collect()
+    for r in cells:
+        assert abs(r["score"] - sum(pii.value(t, tuple(r[n] for n in pii.LEVELS)) for t in trees)) < 1e-9
+    assert limits[4] < max(r["score"] for r in cells if r["kind"] == 4)
+
+
+def test_op4_redacts_nested_spans_and_keeps_clashing_columns(spark):
+    local = "-".join(f"10.0.0.{k}" for k in range(40))
+    rows = spark.createDataFrame([(1, f"mail {local}@x.org, bye", 7, "p", [1])], "doc_id long, text string, __t int, __new string, pii_spans array<int>")
+    out = pii.redact(rows, ([], []))
+    assert out.columns == rows.columns
+    assert out.first() == (1, "mail [EMAIL], bye", 7, "p", [1])
+
+
 def test_op5_recall_and_precision(spark, sf_dir):
     rows = pd.read_parquet(f"{sf_dir}/embeddings.parquet").sort_values("vec_id", ignore_index=True)
     x = np.stack(rows["embedding"].to_numpy()).astype(float)
