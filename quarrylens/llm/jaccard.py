@@ -37,7 +37,7 @@ FAN_OUT = 8
 #: Rows of lists that a partition takes up at a time (and more only for one pair of blocks).
 STREAM_ROWS = 8192
 #: Pairs that are held to drop repeated ones before they are handed on.
-STREAM_PAIRS = 500_000
+STREAM_PAIRS = 100_000
 #: Documents sampled for the shingle order, and the number of them from which a shingle counts as frequent.
 SAMPLE, FREQUENT = 4000, 12
 #: Sets whose shingles one bucket of the candidate search holds on average.
@@ -300,7 +300,7 @@ def fits(level: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def traverse(forest: Forest, left: np.ndarray, right: np.ndarray):
     """Member pairs (i, j) of different groups below the root pairs (left, right) that may be similar; below a tree and itself i < j."""
-    chunk = max(1000, 4_000_000 // forest.levels[0][0].shape[1])
+    chunk = min(8000, max(200, 400_000 // forest.levels[0][0].shape[1]))  # a pair has up to FAN_OUT ** 2 pairs of children
     todo = [(len(forest.levels) - 1, left[k : k + chunk], right[k : k + chunk]) for k in range(0, len(left), chunk)]
     while todo:
         d, x, y = todo.pop()
