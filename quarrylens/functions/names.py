@@ -49,6 +49,16 @@ def safe_class_name(class_name: Column) -> Column:
     return ~class_name.rlike(r"(^|/)(\.{0,2})(/|$)|\\|\x00") & (F.length(class_name) > 0)
 
 
+def valid_identifier(name: Column) -> Column:
+    """A letter, underscore or dollar sign, then also digits; no reserved word."""
+    return name.rlike(r"\A[\p{L}_$][\p{L}\p{N}_$]*\z") & ~name.isin(*sorted(RESERVED))
+
+
+def prefix_or_part(name: Column, text: str) -> Column:
+    """2 where a name begins with the text, 1 where it holds it elsewhere, else 0."""
+    return F.when(name.startswith(text), 2).when(name.contains(text), 1).otherwise(0)
+
+
 def method_id(class_desc: Column, name: Column, descriptor: Column) -> Column:
     return F.concat(class_desc, F.lit("->"), name, descriptor)
 
@@ -121,9 +131,9 @@ def path_stem(text: Column) -> Column:
 
 
 def java_hash(text: Column) -> Column:
-    """String.hashCode over code points below 65536: h * 31 + c in 32 bits, signed."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long"))
-    h = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """String.hashCode: h * 31 + c over UTF-16 units in 32 bits, signed."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    h = F.aggregate(units, F.lit(0).cast("long"), lambda a, c: (a * 31 + F.conv(c, 16, 10).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
 
 
@@ -136,3 +146,52 @@ def fnv1a(text: Column) -> Column:
 def wrap32(value: Column) -> Column:
     """A long as the signed 32-bit value its low bits give."""
     return F.shiftright(F.shiftleft(value, 32), 32)
+
+
+def fold_int(op: str, a: Column, b: Column) -> Column:
+    """A 32-bit operation on two ints held as longs, as the JVM does it; null where division by zero leaves it unfolded."""
+    by = b.bitwiseAND(F.lit(31)).cast("int")
+    low = a.bitwiseAND(F.lit(0xFFFFFFFF))
+    sign = F.when((a < 0) != (b < 0), -1).otherwise(1)
+    quotient = F.when(b != 0, sign * F.floor(F.abs(a) / F.when(b != 0, F.abs(b))))  # towards zero; exact, as both have 32 bits
+    ops = {
+        "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: quotient, "%": lambda: a - quotient * b, "&": lambda: a.bitwiseAND(b), "|": lambda: a.bitwiseOR(b),
+        "^": lambda: a.bitwiseXOR(b), "<<": lambda: _by_amount(a, by, F.shiftleft), ">>": lambda: _by_amount(a, by, F.shiftright), ">>>": lambda: _by_amount(low, by, F.shiftright),
+    }
+    return wrap32(ops[op]().cast("long"))
+
+
+def _by_amount(value: Column, by: Column, shift) -> Column:
+    """shift(value, by) for a column of amounts from 0 to 31."""
+    return F.element_at(F.array(*[shift(value, k) for k in range(32)]), by + 1)
+
+
+def leb128(data: Column, signed: bool = False) -> Column:
+    """The number that the first bytes of a binary hold in LEB128 (up to five bytes); null if it does not end there."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.substring(data, 1, 5)), F.lit("(..)"), F.lit(1)), lambda c: F.conv(c, 16, 10).cast("long"))
+    last = F.array_position(F.transform(units, lambda u: u < 128), True).cast("int")
+    used = F.slice(units, F.lit(1), F.greatest(last, F.lit(1)))
+    value = F.aggregate(F.reverse(used), F.lit(0).cast("long"), lambda acc, u: acc * 128 + u.bitwiseAND(F.lit(127)))
+    if signed:
+        value = F.when(F.element_at(used, -1).bitwiseAND(F.lit(64)) > 0, value - F.pow(F.lit(128.0), F.size(used)).cast("long")).otherwise(value)
+    return F.when(last > 0, value)
+
+
+def xor_decode(codes: Column, keys: list[int]) -> Column:
+    """struct<quality, key, text>: an array of byte values decoded with the key that gives the largest share of letters, digits and blanks
+    (the first in order on a tie); null where no key gives printable text alone."""
+    def tried(k: int, key: int) -> Column:
+        plain = F.transform(codes, lambda c: c.bitwiseXOR(F.lit(key)))
+        text = F.array_join(F.transform(plain, lambda c: F.char(c)), "")
+        usual = F.length(F.regexp_replace(text, "[^A-Za-z0-9 ]", "")) / F.length(text)
+        return F.when((F.size(codes) > 0) & F.forall(plain, lambda c: c.between(32, 126)), F.struct(usual.alias("quality"), F.lit(-k).alias("order"), F.lit(key).alias("key"), text.alias("text")))
+
+    best = F.array_max(F.array_compact(F.array(*[tried(k, key) for k, key in enumerate(keys)])))
+    return F.when(best.isNotNull(), F.struct(best["quality"].alias("quality"), best["key"].alias("key"), best["text"].alias("text")))
+
+
+def hex_rows(data: Column, width: int = 16) -> Column:
+    """array<struct<off, hex, text>>: a binary in rows of width bytes, with dots for what is not printable."""
+    starts = F.when(F.length(data) > 0, F.sequence(F.lit(0), F.length(data) - 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
+    part = lambda o: F.substring(data, o + 1, F.lit(width))
+    return F.transform(starts, lambda o: F.struct(o.alias("off"), F.hex(part(o)).alias("hex"), F.regexp_replace(F.decode(part(o), "ISO-8859-1"), r"[^\x20-\x7E]", ".").alias("text")))

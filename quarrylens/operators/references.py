@@ -16,20 +16,24 @@ def decode_references(index: DataFrame) -> DataFrame:
     """
     legacy = index.where("ref_targets is null").select("name", F.explode(F.from_json("refs", REFS_LEGACY)).alias("r"))
     legacy = legacy.select(F.col("name").alias("class"), "r.from", "r.target", "r.offset", F.coalesce("r.kind", F.lit("bytecode")).alias("kind"))
-    groups = index.where("ref_targets is not null").select("name", "ref_targets", F.explode(F.from_json("refs", REFS_COMPACT)).alias("from", "rows"))
-    rows = groups.select(F.col("name").alias("class"), "from", "ref_targets", F.explode("rows").alias("r"))
-    at = F.get("r", 0).try_cast("int")
-    target = F.when(at.isNull(), F.get("r", 0)).otherwise(F.when(at >= 0, F.get("ref_targets", at)))
-    rows = rows.select("class", "from", target.alias("target"), F.get("r", 1).try_cast("int").alias("offset"), F.coalesce(F.get("r", 2), F.lit("bytecode")).alias("kind"))
+    # Targets are looked up inside the row, so that its dictionary goes through no explode.
+    at = lambda r: F.get(r, 0).try_cast("int")
+    target = lambda r: F.when(at(r).isNull(), F.get(r, 0)).otherwise(F.when(at(r) >= 0, F.get(F.col("ref_targets"), at(r))))
+    named = F.transform_values(F.from_json("refs", REFS_COMPACT), lambda _, rows: F.transform(rows, lambda r: F.struct(target(r).alias("target"), r.alias("r"))))
+    groups = index.where("ref_targets is not null").select("name", F.explode(named).alias("from", "rows"))
+    rows = groups.select(F.col("name").alias("class"), "from", F.explode("rows").alias("x")).select("class", "from", "x.target", "x.r")
+    rows = rows.select("class", "from", "target", F.get("r", 1).try_cast("int").alias("offset"), F.coalesce(F.get("r", 2), F.lit("bytecode")).alias("kind"))
     return legacy.unionByName(rows).where("target is not null and target <> ''")
 
 
 def encode_references(refs: DataFrame) -> DataFrame:
     """(class, refs, ref_targets): the compact encoding of (class, from, target, offset, kind)."""
     targets = refs.groupBy("class").agg(F.sort_array(F.collect_set("target")).alias("ref_targets"))
-    rows = refs.join(targets, "class").select("class", "ref_targets", "from", F.array(((F.array_position("ref_targets", F.col("target"))) - 1).cast("string"), F.col("offset").cast("string"), F.col("kind")).alias("r"))
-    lists = rows.groupBy("class", "ref_targets", "from").agg(F.sort_array(F.collect_list("r")).alias("l"))
-    return lists.groupBy("class", "ref_targets").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("from", "l"))))).alias("refs")).select("class", "refs", "ref_targets")
+    numbers = targets.select(F.col("class"), F.posexplode("ref_targets").alias("at", "target"))
+    rows = refs.join(numbers, ["class", "target"]).select("class", "from", F.array(F.col("at").cast("string"), F.col("offset").cast("string"), F.col("kind")).alias("r"))
+    lists = rows.groupBy("class", "from").agg(F.sort_array(F.collect_list("r")).alias("l"))
+    packed = lists.groupBy("class").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("from", "l"))))).alias("refs"))
+    return packed.join(targets, "class").select("class", "refs", "ref_targets")
 
 
 def symbols(index: DataFrame) -> DataFrame:
