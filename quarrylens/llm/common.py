@@ -1,12 +1,12 @@
-"""Helpers that the training-data operators share: shared folder, checked broadcasts, sampling, components."""
+"""Helpers that the training-data operators share: checked broadcasts, sampling, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quarrylens.storage import materialise
+
+__all__ = ["chunks", "connected_components", "held_out", "keep_without", "materialise", "sample_per_class", "sliced", "small_or_plain", "table"]
 #: Ids up to this many rows may be broadcast (16 bytes each); beyond it the joins shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -15,24 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset (tests, local runs)."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        path = sc.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only if df, a materialised narrow table, has at most limit rows."""
     return F.broadcast(df) if df.count() <= limit else df
@@ -93,3 +75,10 @@ def chunks(texts: list[str], size: int = 2_000_000):
             i, total = j + 1, 0
     if i < len(texts):
         yield i, len(texts)
+
+
+def sliced(batches, rows: int = 1024):
+    """Arrow batches in slices of so many rows, so that what a task builds from one stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)

@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarrylens.llm.common import connected_components, materialise, small_or_plain, table
+from quarrylens.llm.common import connected_components, materialise, sliced, small_or_plain, table
 
 WORDS, NUM, DEN = 5, 3, 4  # shingle length; similarity >= NUM / DEN
 BITS = 4
@@ -141,7 +141,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, sid, n, low, bits) of each row: id, size, smallest hash in another order and bitmap of its set; sid is null where the set is empty."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(utf8(b.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(mix(s ^ MIX1).min().view(np.int64)) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary())],
@@ -156,7 +156,7 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
     share = max(1, n_docs // SAMPLE)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             sets = [s for s in shingle_sets(utf8(b.column(0))) if len(s)]
             found = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1].astype(np.int64))], names=["h", "c"])
@@ -208,7 +208,7 @@ def meeting_lists(docs: DataFrame, n_docs: int) -> DataFrame:
 
     def deal(batches):
         late = frequent.value
-        for b in batches:
+        for b in sliced(batches, 4096):
             own: dict[int, np.ndarray] = {}
             for s in shingle_sets(utf8(b.column(0))):
                 if len(s):
@@ -468,7 +468,7 @@ def verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
     need = materialise(owners.join(need, "sid").select("sid", F.col("doc_id").alias("own_id")), "need")
 
     def load(batches):
-        for b in batches:
+        for b in sliced(batches):
             own = [(k, s) for k, s in zip(b.column(0).to_pylist(), shingle_sets(utf8(b.column(1))), strict=True) if len(s) and set_id(s) == k]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["sid", "grams"])
 
@@ -476,7 +476,7 @@ def verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
     sets = materialise(rows.mapInArrow(load, "sid long, grams binary").dropDuplicates(["sid"]), "sets")
 
     def similar(batches):
-        for b in batches:
+        for b in sliced(batches):
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

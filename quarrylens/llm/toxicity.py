@@ -23,11 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarrylens.llm.common import chunks, held_out, table, sample_per_class
+from quarrylens.llm.common import chunks, held_out, sample_per_class, sliced, table
 
 FIT_DOCS = 2000
 FIT_CHARS = 20_000
-#: Characters of the sample that are in work at a time while fitting.
+#: Characters that are in work at a time while fitting and scoring.
 FIT_CHUNK = 1_000_000
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
@@ -276,7 +276,7 @@ def score_texts(texts: list[str], model: Crf, ids: WordIds) -> tuple[np.ndarray,
     scores, spans = np.full(len(texts), model.prior), [[] for _ in texts]
     if not model.words:
         return scores, spans
-    for i, j in chunks(texts):
+    for i, j in chunks(texts, FIT_CHUNK):
         flat, first, counts = lay_out(texts[i:j], ids)
         if not len(flat):
             scores[i:j] = sigmoid(evidence(np.zeros((0, 2)), counts) @ model.calib)
@@ -314,7 +314,7 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
     def run(batches):
         own = Crf(*shared.value)
         ids = WordIds(own.words)
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             scores, spans = score_texts(texts, own, ids)
             found = pa.array([[{"start": s, "end": e, "p": p} for s, e, p in x] for x in spans], arrow_span)
