@@ -87,7 +87,16 @@ def test_op2_html(spark, sf_dir):
         "<pre>a\n  b</pre>": "a\n  b",
         "5 < 6 <": "5 < 6 <",
         "": "",
-        "<div>" * 3000 + "deep": "deep",
+        "<div>" * 30_000 + "deep": "deep",
+        "<p class='a hidden b'>x</p><p title='please show hidden field'>y</p><a data-x='type=hiddenish' aria-hidden=true>z</a>": "x\n\ny\n\nz",
+        "<p style='visibility:hidden'>no<b style='VISIBILITY : visible'>yes</b></p><i style='display : none'>no</i><dialog>no</dialog>": "yes",
+        "a <select><option>x<option selected>y</select> b<textarea>c\n d</textarea><input value=e><input type=hidden value=no>": "a y b\nc\n d\ne",
+        "<select multiple><option>x<option>y</select>": "x\ny",
+        "<table><tr><td colspan=2>wide<td>c<tr><td>a<td>b<td>d</table>": "wide  | c\na | b | d",
+        "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a | b\n  | c",
+        "<table><tr><td>a<br>bb<td>c<tr><td>d<td>e</table>": "a  | c\nbb |\nd  | e",
+        "<table><tr><td><table><tr><td>a<td>b<tr><td>c<td>d</table><td>e</table>": "a | b | e\nc | d |",
+        "<svg><title>no</title><text>yes</text></svg>": "yes",
     }
     rows = spark.createDataFrame([(i, h, "t") for i, h in enumerate([*cases, None])], "id long, html string, page_text string")
     got = [r["page_text"] for r in html_text.extract(rows).orderBy("id").collect()]
