@@ -1,9 +1,11 @@
 """Quality classifier by co-training: one view is the text, the other the page's metadata.
 
-Both views become vectors of fixed size on the executors. A bounded sample of labelled rows (about FIT_ROWS of each class) and of
+The text view holds hashed words and character trigrams (their shares) beside shares and moments of words, lines and characters; the other one
+holds language, source and length class. Both views become vectors of fixed size on the executors. A bounded sample of labelled rows (about FIT_ROWS of each class) and of
 unlabelled rows (about POOL) comes to the driver as such vectors. Each round, the logistic regression of either view labels the pool's
 documents of which it is surest, in the classes' proportion, for the other view. Then both views' scores are
-calibrated and combined on the labelled sample by a last logistic regression, and all documents are scored.
+calibrated and combined by a last logistic regression on scores of labelled rows that come from a co-training without
+their fold (FOLDS by place in the sample), and all documents are scored.
 
 Defined cases: null or empty text and null metadata have vectors of their own and are scored; with labels of one class only or none every score is
 the share of label 1 (0.5 without labels); repeated rows are scored one by one; other columns are kept.
@@ -12,29 +14,36 @@ the share of label 1 (0.5 without labels); repeated rows are scored one by one;
 from __future__ import annotations
 
 import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarrylens.llm.common import held_out, sample_per_class, table
+from quarrylens.llm.common import held_out, sample_per_class, sliced, table
 
 FIT_ROWS, POOL, ROUNDS, GROWTH, SLOTS = 1500, 4000, 5, 0.05, 64
+WORD_SLOTS, GRAM_SLOTS, FOLDS = 192, 64, 3
 MARKS = ".,;:!?\"'()-#$%&*@/=_<>[]{}|~^+"
 UPPER = re.compile(r"[A-Z]")
 
 
 def text_view(t: str) -> list[float]:
-    """Shares and moments of a text's words, lines and characters."""
+    """Shares and moments of a text's words, lines and characters, then hashed words and character trigrams."""
     n = max(1, len(t))
     words = t.split()
     m = max(1, len(words))
     lines = [x for x in t.split("\n") if x]
-    kinds = len(set(words))
+    bag = Counter(words)
+    kinds = len(bag)
+    slots = np.bincount([crc32(w.encode()) % WORD_SLOTS for w in bag], np.sqrt(list(bag.values())), WORD_SLOTS) / np.sqrt(m) if bag else np.zeros(WORD_SLOTS)
+    c = np.frombuffer(t.encode(), np.uint8).astype(np.uint32)
+    grams = np.bincount((c[:-2] * 2654435761 + c[1:-1] * 40503 + c[2:] * 977 >> 16) % GRAM_SLOTS, minlength=GRAM_SLOTS) / len(c) if len(c) > 2 else np.zeros(GRAM_SLOTS)
     return [
         np.log1p(len(words)), np.log1p(n / m), kinds / m, kinds / np.sqrt(m), len(set(lines)) / max(1, len(lines)), np.log1p(len(lines)),
         len(UPPER.findall(t)) / n, t.count(" ") / n, t.count("\n") / n, sum(map(t.count, "0123456789")) / n, *[min(1.0, 20 * t.count(c) / n) for c in MARKS],
+        *slots, *grams,
     ]
 
 
@@ -55,13 +64,17 @@ def views(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.array([text_view(t or "") for t in cols[0]]).reshape(-1, N_TEXT), np.array([meta_view(*m) for m in zip(*cols[1:], strict=True)]).reshape(-1, N_META)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps of a weighted ridge logistic regression; x has a constant column."""
-    beta = np.zeros(x.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray | None = None, centre: np.ndarray | float = 0.0) -> np.ndarray:
+    """Newton steps of a weighted ridge logistic regression, from beta if given; x has a constant column.
+
+    The ridge pulls towards centre with the weight of three rows (3 / n, 1e-3 at least), so that few rows can't fit many features.
+    """
+    beta = np.zeros(x.shape[1]) if beta is None else beta.copy()
+    ridge = max(1e-3, 3 / len(y))
     for _ in range(40):
         p = sigmoid(x @ beta)
-        hess = (x * (w * p * (1 - p))[:, None]).T @ x / w.sum() + ridge * np.eye(len(beta)) / 10
-        step = np.linalg.solve(hess, x.T @ (w * (y - p)) / w.sum() - ridge * beta / 10)
+        hess = (x * (w * p * (1 - p))[:, None]).T @ x / w.sum() + ridge * np.eye(len(beta))
+        step = np.linalg.solve(hess, x.T @ (w * (y - p)) / w.sum() - ridge * (beta - centre))
         beta += step
         if np.abs(step).max() < 1e-7:
             break
@@ -81,14 +94,8 @@ def with_one(x: np.ndarray) -> np.ndarray:
     return np.concatenate((x, np.ones((len(x), 1))), axis=1)
 
 
-def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> dict:
-    """Co-train on labelled (x, y) and the unlabelled pool; views are (text, metadata)."""
-    share = float(y.mean()) if len(y) else 0.5
-    if not len(y) or share in (0.0, 1.0):
-        return {"share": share}
-    mean, std = x[0].mean(axis=0), x[0].std(axis=0) + 1e-6
-    lab = [with_one(np.clip((x[0] - mean) / std, -8, 8)), with_one(x[1])]
-    free = [with_one(np.clip((pool[0] - mean) / std, -8, 8)), with_one(pool[1])]
+def cotrain(lab: list[np.ndarray], y: np.ndarray, free: list[np.ndarray], share: float) -> list[np.ndarray]:
+    """Coefficients of both views after ROUNDS of labels exchanged over the free rows."""
     given = [dict[int, int](), dict[int, int]()]  # pseudo-labels that each view has been given by the other
     beta = [None, None]
     for r in range(ROUNDS + 1):
@@ -96,7 +103,7 @@ def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray,
             at = np.array(sorted(given[v]), int)
             xs = np.concatenate((lab[v], free[v][at]))
             ys = np.concatenate((y, [given[v][i] for i in at]))
-            beta[v] = logistic(xs, ys, balanced(ys))
+            beta[v] = logistic(xs, ys, balanced(ys), beta=beta[v])
         if r == ROUNDS or not len(free[0]):
             break
         for v in (0, 1):
@@ -106,8 +113,25 @@ def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray,
             sure = [(i, 1) for i in order[::-1][: max(1, round(n * share))] if p[i] > 0.9] + [(i, 0) for i in order[: max(1, round(n * (1 - share)))] if p[i] < 0.1]
             for i, k in sure:
                 given[1 - v].setdefault(int(i), k)
-    both = with_one(np.stack([np.clip(lab[v] @ beta[v], -8, 8) for v in (0, 1)], axis=1))
-    return {"share": share, "mean": mean, "std": std, "beta": beta, "mix": logistic(both, y, np.ones(len(y)) / len(y), 1e-3)}
+    return beta
+
+
+def fit(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> dict:
+    """Co-train on labelled (x, y) and the unlabelled pool; views are (text, metadata)."""
+    share = float(y.mean()) if len(y) else 0.5
+    if not len(y) or share in (0.0, 1.0):
+        return {"share": share}
+    mean, std = x[0].mean(axis=0), x[0].std(axis=0) + 1e-6
+    lab = [with_one(np.clip((x[0] - mean) / std, -8, 8)), with_one(x[1])]
+    free = [with_one(np.clip((pool[0] - mean) / std, -8, 8)), with_one(pool[1])]
+    beta = cotrain(lab, y, free, share)
+    raw = np.stack([lab[v] @ beta[v] for v in (0, 1)], axis=1)
+    for f in range(FOLDS):
+        out = np.arange(len(y)) % FOLDS == f
+        if 0 < y[~out].sum() < (~out).sum():
+            part = cotrain([z[~out] for z in lab], y[~out], free, share)
+            raw[out] = np.stack([lab[v][out] @ part[v] for v in (0, 1)], axis=1)
+    return {"share": share, "mean": mean, "std": std, "beta": beta, "mix": logistic(with_one(np.clip(raw, -8, 8)), y, np.ones(len(y)) / len(y), centre=np.array([0.5, 0.5, 0.0]))}
 
 
 def predict(model: dict, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +147,7 @@ def vectors(docs: DataFrame) -> DataFrame:
     """(doc_id, label, text_view, meta_view) of docs (doc_id, __label, text, lang, source, n_chars)."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             x, z = views(b)
             kind = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), kind), pa.array(list(z), kind)], names=["doc_id", "label", "x", "z"])
@@ -152,7 +176,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name not in more]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = predict(shared.value, *views(b))
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.names.index(f.name)) for f in kept], *[pa.array(o, pa.float64()) for o in out]], names=[*[f.name for f in kept], *more])
 

@@ -276,6 +276,17 @@ def test_op6_quality(spark, sf_dir, odd):
     assert {r["quality"] for r in quality.score(odd, none).collect()} == {0.5}
 
 
+def test_op6_content_words_decide_and_awkward_rows_are_scored(spark, odd):
+    texts = [f"w{k} and {'splendid' if k % 2 else 'dreadful'} x{k}" for k in range(200)]
+    rows = spark.createDataFrame([(k, t, "en", "s", 20, k % 2) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, quality int")
+    model = quality.fit_on(rows, rows.select("doc_id", "quality").where("doc_id < 150"), F.lit(True))
+    got = {r["doc_id"]: r["quality"] for r in quality.score(rows, model).where("doc_id >= 150").collect()}
+    assert sum((q >= 0.5) == (k % 2 == 1) for k, q in got.items()) >= 47
+    scored = quality.score(odd, model)
+    assert scored.count() == odd.count() and scored.where("quality between 0 and 1").count() == odd.count()
+    assert quality.score(odd.where("false"), model).count() == 0
+
+
 def brute_jaccard(texts):
     sets = [set(shingles(words(t))) for t in texts]
     at = defaultdict(list)
