@@ -25,10 +25,10 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def keep_without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in ids (one column doc_id, materialised)."""
+def keep_without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is not in ids (one column doc_id, materialised)."""
     gone = ids.select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(small_or_plain(gone), docs["doc_id"] == F.col("__gone_id"), "left_anti")
+    return docs.join(small_or_plain(gone), docs[key] == F.col("__gone_id"), "left_anti")
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
