@@ -13,7 +13,7 @@ MAX_ENTRIES, MAX_DEPTH = 200_000, 4
 
 
 def binary_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, length, content) of files, with kind."""
+    """(path, length, content) of files, with kind; files without bytes give no row."""
     rows = spark.read.format("binaryFile").load(path)
     return rows.select("path", "length", "content").withColumn("kind", file_kind(F.col("path"), F.col("content")))
 
@@ -29,7 +29,8 @@ def file_kind(path: Column, content: Column) -> Column:
 def entries(files: DataFrame, nested: bool = True) -> DataFrame:
     """(source_path, name, size, content, error): entries of zip archives, nested archives as outer!inner.
 
-    A broken archive gives one row with its error and does not stop the others.
+    A broken archive gives one row with its error and does not stop the others; an archive nested deeper than MAX_DEPTH is listed
+    with an error and not opened.
     """
 
     def walk(prefix: str, blob: bytes, depth: int):
@@ -40,8 +41,9 @@ def entries(files: DataFrame, nested: bool = True) -> DataFrame:
                 if info.is_dir():
                     continue
                 data = z.read(info)
-                yield prefix + info.filename, len(data), data
-                if nested and depth < MAX_DEPTH and data[:4] == b"PK\x03\x04":
+                inner = nested and data[:4] == b"PK\x03\x04"
+                yield prefix + info.filename, len(data), data, "nested too deep" if inner and depth >= MAX_DEPTH else None
+                if inner and depth < MAX_DEPTH:
                     yield from walk(f"{prefix}{info.filename}!", data, depth + 1)
 
     def run(frames):
@@ -49,8 +51,8 @@ def entries(files: DataFrame, nested: bool = True) -> DataFrame:
             for path, blob in zip(pdf["path"], pdf["content"], strict=True):
                 rows, error = [], None
                 try:
-                    for name, size, data in walk("", bytes(blob), 0):
-                        rows.append((path, name, size, data, None))
+                    for entry in walk("", bytes(blob), 0):
+                        rows.append((path, *entry))
                         if len(rows) >= 256:
                             yield pd.DataFrame(rows, columns=["source_path", "name", "size", "content", "error"])
                             rows = []
