@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrylens.functions import names
 from quarrylens.schemas import REFS_COMPACT, REFS_LEGACY
+from quarrylens.storage import small_or_plain
 
 
 def decode_references(index: DataFrame) -> DataFrame:
@@ -130,9 +131,16 @@ def deobfuscate(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def alias_version(aliases: DataFrame) -> DataFrame:
-    """One row: SHA-256 over all entries' own digests in order of id; equal tables have equal versions."""
-    entry = F.sha2(F.concat_ws("\x1f", "id", "alias", F.coalesce("reason", F.lit(""))), 256)
-    return aliases.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("id", F.lit("\x1f"), entry))), "\x1e"), 256).alias("version"))
+    """One row: SHA-256 over all entries in order of id; equal tables have equal versions, other ones do not.
+
+    Each entry's fields go with their lengths. Entries meet in 65536 groups by the digest of their id, so that no task holds all of
+    them; the last digest is over the groups.
+    """
+    field = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    entry = F.concat(field(F.col("id")), field(F.coalesce("alias", F.lit(""))), field(F.coalesce("reason", F.lit(""))))
+    key = F.sha2("id", 256)
+    groups = aliases.groupBy(F.substring(key, 1, 4).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat(key, F.sha2(entry, 256)))), ","), 256).alias("digest"))
+    return groups.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("part", "digest"))), ","), 256).alias("version"))
 
 
 def resolve_tokens(tokens: DataFrame, rows: DataFrame) -> DataFrame:
@@ -143,18 +151,37 @@ def resolve_tokens(tokens: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select("token", "package", F.when(F.col("n") == 1, F.col("only")).when(F.col("m") == 1, F.col("here")).alias("id"))
 
 
-def outer_class(classes: DataFrame, depth: int = 16) -> DataFrame:
-    """(name, outer): the outermost known class of each class, by cutting after the last $ as long as the rest is known."""
+def outer_class(classes: DataFrame) -> DataFrame:
+    """(name, outer): the outermost known class of each class, by cutting after the last $ as long as the rest is known.
+
+    All cuts of a name are looked up by one join, so nesting of any depth takes one pass.
+    """
     known = classes.select(F.col("name").alias("up")).distinct()
-    out = classes.select("name", F.col("name").alias("outer"))
-    for _ in range(depth):
-        cut = F.regexp_replace("outer", r"\$[^$]*$", "")
-        step = out.withColumn("up", cut).join(known.withColumn("hit", F.lit(True)), "up", "left")
-        moved = step.where("hit and up <> outer")
-        out = step.select("name", F.when(F.col("hit") & (F.col("up") != F.col("outer")), F.col("up")).otherwise(F.col("outer")).alias("outer"))
-        if not moved.limit(1).count():
-            break
-    return out
+    parts = F.size(F.split("name", r"\$"))
+    cuts = known.select(F.col("up").alias("name")).withColumn("left", F.explode(F.when(parts > 1, F.sequence(F.lit(1), parts - 1))))
+    cuts = cuts.withColumn("up", F.expr("substring_index(name, '$', left)"))
+    found = cuts.join(known.withColumn("hit", F.lit(True)), "up", "left")
+    reach = found.groupBy("name").agg(F.max(F.when(F.col("hit").isNull(), F.col("left"))).alias("miss"), F.max("left").alias("most"))
+    outer = reach.where("miss is null or miss < most").select("name", F.expr("substring_index(name, '$', coalesce(miss, 0) + 1)").alias("outer"))
+    return classes.select("name").join(outer, "name", "left").select("name", F.coalesce("outer", "name").alias("outer"))
+
+
+def names_containing(rows: DataFrame, name: str, keys: DataFrame, key: str) -> DataFrame:
+    """rows joined with keys whose text the name contains, once for each pair of rows; empty and null keys and names meet nothing.
+
+    The names' substrings of the keys' lengths meet the keys by equality, so no nested loop runs.
+    """
+    keys = keys.where(F.length(key) > 0)
+    lengths = sorted(r[0] for r in keys.select(F.length(key)).distinct().collect())  # at most the longest key's length
+
+    def parts_of(k: int) -> Column:
+        at = F.sequence(F.lit(1), F.length(name) - k + 1)
+        return F.when(F.length(name) >= k, F.transform(at, lambda i: F.substring(F.col(name), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    if not lengths:
+        return rows.join(keys, F.lit(False))
+    parts = rows.withColumn("__part", F.explode(F.array_distinct(F.flatten(F.array(*map(parts_of, lengths))))))
+    return parts.join(keys, F.col("__part") == F.col(key)).drop("__part")
 
 
 def classify_api(nodes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -163,7 +190,7 @@ def classify_api(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     rules: (position, class_name, method_name, api_type). One row of each pair is left before the join.
     """
     first = rules.groupBy("class_name", "method_name").agg(F.min_by("api_type", "position").alias("api_type"))
-    return nodes.drop("api_type").join(F.broadcast(first), ["class_name", "method_name"], "left").withColumn("api_type", F.coalesce("api_type", F.lit(0)))
+    return nodes.drop("api_type").join(small_or_plain(first), ["class_name", "method_name"], "left").withColumn("api_type", F.coalesce("api_type", F.lit(0)))
 
 
 def string_marks(literals: DataFrame, marks: DataFrame) -> DataFrame:

@@ -118,11 +118,8 @@ def full_outer(t):
 
 @query("contains_bridge", "SELECT n_name, s_suppkey FROM supplier JOIN nation ON contains(s_name, CAST(n_nationkey AS VARCHAR)) WHERE n_nationkey >= 10")
 def contains_bridge(t):
-    """Names that contain a key: the names' substrings of the keys' lengths join by equality, so no nested loop runs."""
     keys = t.nation.where("n_nationkey >= 10").select("n_name", F.col("n_nationkey").cast("string").alias("key"))
-    at = F.explode(F.sequence(F.lit(1), F.length("s_name") - 1))
-    parts = t.supplier.where("length(s_name) > 1").select("s_suppkey", "s_name", at.alias("i")).select("s_suppkey", F.substring("s_name", F.col("i"), F.lit(2)).alias("key")).distinct()
-    return parts.join(F.broadcast(keys), "key").select("n_name", "s_suppkey")
+    return references.names_containing(t.supplier.select("s_suppkey", "s_name"), "s_name", keys, "key").select("n_name", "s_suppkey")
 
 
 @query("lateral_top", "SELECT c_custkey, o_orderkey FROM (SELECT o_custkey AS c_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 2")
