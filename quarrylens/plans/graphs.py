@@ -117,26 +117,23 @@ def concrete_descendants(t):
     return graph.concrete_descendants(classes, graph.closure(hierarchy(t)), "r/1").select("name")
 
 
-def copurchase(t, lines=None):
-    """Edges between parts that follow one another in an order, among lines (if none are given, those that the SQL of components takes)."""
+def copurchase(t):
+    """Edges between parts that follow one another in an order,."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    rows = (t.lineitem.where("l_quantity >= 47") if lines is None else lines).select("l_orderkey", "l_partkey", F.lead("l_partkey").over(w).alias("next"))
+    rows = t.lineitem.select("l_orderkey", "l_partkey", F.lead("l_partkey").over(w).alias("next"))
     return graph.distinct_edges(rows, "l_partkey", "next")
 
 
-NEXT = "SELECT DISTINCT l_partkey AS src_id, next AS dst_id FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS next FROM lineitem WHERE l_quantity >= 47) WHERE next IS NOT NULL"
-
-
-@query("components", f"WITH RECURSIVE e AS MATERIALIZED (SELECT src_id, dst_id FROM ({NEXT}) UNION SELECT dst_id, src_id FROM ({NEXT})), w(node_id, c) AS (SELECT DISTINCT src_id, src_id FROM e UNION SELECT dst_id, c FROM w JOIN e ON node_id = src_id WHERE c < dst_id) SELECT node_id, min(c) AS component FROM w GROUP BY node_id")
+@query("components")
 def components(t):
     return graph.components(copurchase(t))
 
 
 @query("strong_components")
 def strong_components(t):
-    return graph.strong_components(copurchase(t, t.lineitem))
+    return graph.strong_components(copurchase(t))
 
 
 @query("string_marks", "SELECT p_type AS str, bit_or(CASE WHEN l_returnflag = 'R' THEN 8 WHEN l_linestatus = 'O' THEN 32 ELSE 2 END) AS bits FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 45 GROUP BY p_type")

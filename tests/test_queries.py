@@ -170,3 +170,19 @@ def test_strong_components_of_the_whole_table(spark, sf_dir, con):
         left -= group
         want |= {k: n for k in group} if len(group) > 1 else {}
     assert {r[0]: r[1] for r in catalog.QUERIES["strong_components"](spark, sf_dir).collect()} == want
+
+
+def test_components_of_the_whole_table(spark, sf_dir, con):
+    sql = "SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS next FROM lineitem"
+    edges = con.execute(f"SELECT DISTINCT * FROM ({sql}) WHERE next IS NOT NULL").fetchall()
+    up = {n: n for e in edges for n in e}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    assert {tuple(r) for r in catalog.QUERIES["components"](spark, sf_dir).collect()} == {(n, root(n)) for n in up}
