@@ -6,6 +6,8 @@ the visited set are written out so that plans stay short. Nodes and edges never
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrylens.storage import materialise, small_or_plain
@@ -36,6 +38,27 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return part.join(F.broadcast(base), "__at").withColumn(name, F.col("__base") + inside).drop("__at", "__row", "__base")
 
 
+def one_id_space(inputs: list[tuple[DataFrame, DataFrame]], key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of several inputs, each (nodes (node_id, ...), edges (src_id, dst_id)), under common ids.
+
+    Nodes with one key are one node, numbered from 0 in order of the key; the rest of its columns come from the first input that has
+    it. Edges keep their multiplicity; one whose end is no node of its input is left out. Null parts of a key are equal.
+    """
+    tagged = [(F.lit(k), nodes, edges) for k, (nodes, edges) in enumerate(inputs)]
+    nodes = reduce(DataFrame.unionByName, [n.withColumn("__input", k) for k, n, _ in tagged])
+    edges = reduce(DataFrame.unionByName, [e.withColumn("__input", k) for k, _, e in tagged])
+    rest = [c for c in nodes.columns if c not in (*key, "node_id", "__input")]
+    first = nodes.groupBy(*key).agg(F.min_by(F.struct(F.lit(0).alias("__"), *rest), F.struct("__input", "node_id")).alias("__rest"))
+    merged = numbered(first, key, "node_id")
+    keys = merged.select(F.col("node_id").alias("__new"), *[F.col(c).alias(f"__{c}") for c in key])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])
+    ids = materialise(nodes.select("__input", "node_id", *key).join(keys, same).select("__input", "node_id", "__new"), "ids")
+    for end in ("src_id", "dst_id"):
+        to = ids.withColumnRenamed("node_id", end)
+        edges = edges.join(to, ["__input", end]).drop(end).withColumnRenamed("__new", end)
+    return merged.select("node_id", *key, *[F.col(f"__rest.{c}").alias(c) for c in rest]), edges.select("src_id", "dst_id", *[c for c in edges.columns if c not in ("__input", "src_id", "dst_id")])
+
+
 def callees(edges: DataFrame, nodes: DataFrame, node_id) -> DataFrame:
     """The nodes that one node calls."""
     return edges.where(F.col("src_id") == node_id).join(nodes, F.col("dst_id") == F.col("node_id")).select(*[nodes[c] for c in nodes.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrylens.operators import dataflow, graph, references
+from quarrylens.operators import dataflow, graph, references, renames
 from quarrylens.plans.base import EDGES, SUPPLIER_BASE, query, supply_edges
 
 
@@ -241,3 +241,40 @@ def reaching_defs(t):
 @query("phi_places")
 def phi_places(t):
     return dataflow.phis(dataflow.frontiers(flow(t)), dataflow.liveness(flow(t), facts(t)), facts(t))
+
+
+# Fields of a class for each size: one of each part that is to be renamed, one that keeps its name.
+WORD = "split_part(p_name, ' ', 2)"
+ENTRIES = f"SELECT concat('Lp/S', p_size, ';->f', p_partkey, ':I') AS id, p_size, concat({WORD}, '_', length(p_type)) AS name, concat({WORD}, '_', replace(p_brand, 'Brand#', '')) AS alias FROM part"
+
+
+@query(
+    "alias_replay",
+    f"""WITH e AS ({ENTRIES}), kept AS (SELECT DISTINCT p_size, concat({WORD}, '_', p_size) AS word FROM part),
+    old AS (SELECT p_size, name AS word, max(id) AS most FROM e GROUP BY 1, 2), fresh AS (SELECT p_size, alias AS word, min(id) AS least FROM e GROUP BY 1, 2)
+    SELECT e.id, e.alias, CASE WHEN kept.word IS NOT NULL OR old.most > e.id OR fresh.least < e.id THEN 'name is taken in this scope' END AS error FROM e
+    LEFT JOIN kept ON kept.p_size = e.p_size AND kept.word = e.alias LEFT JOIN old ON old.p_size = e.p_size AND old.word = e.alias LEFT JOIN fresh ON fresh.p_size = e.p_size AND fresh.word = e.alias""",
+)
+def alias_replay(t):
+    word, owner = F.split_part("p_name", F.lit(" "), F.lit(2)), F.concat(F.lit("Lp/S"), "p_size", F.lit(";->"))
+    fields = t.part.select(F.concat(owner, F.lit("f"), "p_partkey", F.lit(":I")).alias("id"), F.concat_ws("_", word, F.length("p_type")).alias("name"), F.concat_ws("_", word, F.replace("p_brand", F.lit("Brand#"), F.lit(""))).alias("alias"))
+    kept = t.part.select(F.concat(owner, F.lit("k"), "p_partkey", F.lit(":I")).alias("id"), F.concat_ws("_", word, "p_size").alias("name"))
+    return renames.replay(fields.select("id", "name").unionByName(kept), fields.select("id", "alias"))
+
+
+@query(
+    "one_id_space",
+    """WITH a AS (SELECT concat('c', c_nationkey) AS name FROM customer UNION SELECT concat('s', c_custkey) FROM customer), b AS (SELECT concat('c', s_nationkey) AS name FROM supplier UNION SELECT concat('s', s_suppkey) FROM supplier),
+    ids AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS node_id FROM (SELECT name FROM a UNION SELECT name FROM b))
+    SELECT x.node_id AS src_id, y.node_id AS dst_id, count(*) AS n FROM (SELECT concat('c', c_nationkey) AS u, concat('s', c_custkey) AS v FROM customer UNION ALL SELECT concat('c', s_nationkey), concat('s', s_suppkey) FROM supplier) e
+    JOIN ids x ON x.name = e.u JOIN ids y ON y.name = e.v GROUP BY 1, 2""",
+)
+def one_id_space(t):
+    """Customers and suppliers below their nations, as two inputs whose own ids clash."""
+    inputs = []
+    for rows, top, leaf, own in ((t.customer, "c_nationkey", "c_custkey", 0), (t.supplier, "s_nationkey", "s_suppkey", 1)):
+        edges = rows.select((F.col(top) * 2 + own).alias("src_id"), (F.col(leaf) * 2 + 1 - own).alias("dst_id"))
+        tops = rows.select((F.col(top) * 2 + own).alias("node_id"), F.concat(F.lit("c"), top).alias("name")).distinct()
+        inputs.append((tops.unionByName(rows.select((F.col(leaf) * 2 + 1 - own).alias("node_id"), F.concat(F.lit("s"), leaf).alias("name"))), edges))
+    _, edges = graph.one_id_space(inputs, ["name"])
+    return edges.groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).alias("n"))

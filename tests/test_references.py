@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from quarrylens.operators import references
+from quarrylens.operators import graph, references
 
 
 def plain_outer(name, known):
@@ -47,3 +47,17 @@ def test_classify_api_takes_the_first_rule(spark):
     rules = spark.createDataFrame([(2, "A", "f", 5), (1, "A", "f", 4), (3, "B", "f", 6)], "position int, class_name string, method_name string, api_type int")
     got = {(r["class_name"], r["method_name"]): r["api_type"] for r in references.classify_api(nodes, rules).collect()}
     assert got == {("A", "f"): 4, ("A", "g"): 0, (None, "f"): 0}
+
+
+def test_one_id_space_over_inputs(spark):
+    node = "node_id long, owner string, name string, type int"
+    first = spark.createDataFrame([(7, "B", "f", 1), (8, "A", "f", 0), (9, None, "g", 0)], node)
+    second = spark.createDataFrame([(7, "A", "f", 5), (8, "C", "f", 6), (10, None, "g", 9)], node)
+    edge = "src_id long, dst_id long, count int"
+    inputs = [(first, spark.createDataFrame([(7, 8, 2), (7, 9, 1), (7, 99, 1)], edge)), (second, spark.createDataFrame([(7, 8, 3), (8, 10, 4), (8, 10, 4)], edge))]
+    nodes, edges = graph.one_id_space(inputs, ["owner", "name"])
+    assert nodes.columns == ["node_id", "owner", "name", "type"]
+    assert sorted(map(tuple, nodes.collect())) == [(0, None, "g", 0), (1, "A", "f", 0), (2, "B", "f", 1), (3, "C", "f", 6)]
+    assert sorted(map(tuple, edges.collect())) == [(1, 3, 3), (2, 0, 1), (2, 1, 2), (3, 0, 4), (3, 0, 4)]
+    nodes, edges = graph.one_id_space([(n.limit(0), e) for n, e in inputs], ["owner", "name"])
+    assert (nodes.count(), edges.count()) == (0, 0)
