@@ -1,4 +1,4 @@
-"""Helpers that the training-data operators share: checked broadcasts, sampling, components."""
+"""Helpers that the training-data operators share: checked broadcasts, sampling, components, hashes."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylens.storage import materialise
 
-__all__ = ["chunks", "connected_components", "held_out", "keep_without", "materialise", "sample_per_class", "sliced", "small_or_plain", "table"]
+__all__ = ["ascii_lower", "chunks", "connected_components", "hash_pair", "held_out", "keep_without", "materialise", "sample_per_class", "sliced", "small_or_plain", "table"]
 #: Ids up to this many rows may be broadcast (16 bytes each); beyond it the joins shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -25,6 +25,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def ascii_lower(text):
+    """text with A-Z lower-cased and all else as it is; texts of ASCII alone take the fast way."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+def hash_pair(*columns: str) -> list:
+    """h1 and h2: 128 bits of the columns together, by two seeds."""
+    return [F.xxhash64(F.lit(seed), *columns).alias(f"h{seed}") for seed in (1, 2)]
+
+
 def keep_without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key is not in ids (one column doc_id, materialised)."""
     gone = ids.select(F.col("doc_id").alias("__gone_id")).distinct()

@@ -6,9 +6,11 @@ from quarrylens.llm.html_text import op2_html
 from quarrylens.llm.jaccard import op7_jaccard
 from quarrylens.llm.langid import op1_language
 from quarrylens.llm.licenses import op9_licenses
+from quarrylens.llm.line_dedup import OP11_SQL, op11_lines
 from quarrylens.llm.packing import op8_packing
 from quarrylens.llm.pii import op4_pii
 from quarrylens.llm.quality import op6_quality
+from quarrylens.llm.spelling import OP13_SQL, op13_spelling
 from quarrylens.llm.toxicity import op10_toxicity
 
 QUERIES = {
@@ -22,5 +24,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_packing,
     "op9_license_tfidf_inheritance": op9_licenses,
     "op10_toxicity_crf": op10_toxicity,
+    "op11_line_keep_bitmaps": op11_lines,
+    "op13_spelling_wildcard_groups": op13_spelling,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_line_keep_bitmaps": OP11_SQL, "op13_spelling_wildcard_groups": OP13_SQL}
