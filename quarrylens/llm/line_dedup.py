@@ -60,10 +60,11 @@ def dropped(seen: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     goes = (F.col("n") >= min_docs) & (F.col("rank") > 1)
     left = materialise(passed.where((F.col("slice") > 0) | goes).drop("rank"), "passed")
 
-    whole = F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id")
-    of_slices = left.where("slice > 0 and place = 1").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max(whole).alias("last")).where(F.col("n") >= min_docs)
-    of_slices = of_slices.select("h1", "h2", F.col("last.doc_id").alias("last"))
-    cut = left.where("slice > 0").join(of_slices, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    # Of a hot hash one row for each slice meets the hash's own row, and the slices' rows meet theirs: no join has a hot key.
+    slices = left.where("slice > 0 and place = 1").select("h1", "h2", "slice", "n", F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id").alias("whole"))
+    of_hash = slices.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("whole").alias("last")).where(F.col("n") >= min_docs)
+    last = slices.select("h1", "h2", "slice").join(of_hash.select("h1", "h2", F.col("last.doc_id").alias("last")), ["h1", "h2"])
+    cut = left.where("slice > 0").join(last, ["h1", "h2", "slice"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
     return left.where("slice = 0").select("doc_id", "mark", "pos").unionByName(cut.select("doc_id", "mark", "pos"))
 
 

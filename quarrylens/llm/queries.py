@@ -1,5 +1,6 @@
 """Registered queries of the training-data operators."""
 
+from quarrylens.llm.conversations import op12_conversations
 from quarrylens.llm.decontaminate import op3_decontamination
 from quarrylens.llm.embedding_dedup import op5_embeddings
 from quarrylens.llm.html_text import op2_html
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_license_tfidf_inheritance": op9_licenses,
     "op10_toxicity_crf": op10_toxicity,
     "op11_line_keep_bitmaps": op11_lines,
+    "op12_conversation_repair_fst": op12_conversations,
     "op13_spelling_wildcard_groups": op13_spelling,
 }
 ORACLE_SQL: dict[str, str] = {"op11_line_keep_bitmaps": OP11_SQL, "op13_spelling_wildcard_groups": OP13_SQL}
