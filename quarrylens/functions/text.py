@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 GRAM_BITS = 8192
@@ -40,81 +40,56 @@ def query_grams(query: str) -> list[int]:
     return sorted({(ord(a) * 251 * 251 + ord(b) * 251 + ord(c)) & (GRAM_BITS - 1) for a, b, c in zip(q, q[1:], q[2:], strict=False) if not (a.isspace() or b.isspace() or c.isspace())})
 
 
-def mask_lines(text: str, code: bool, comments: bool) -> str:
-    """text with the characters of the unwanted scope blanked, line by line: // and /* */ comments, quoted strings."""
-    if code and comments:
-        return text
-    out, block = [], False
-    for line in text.split("\n"):
-        kept, quote, n = list(line), "", 0
-        while n < len(line):
-            two = line[n : n + 2]
-            if block:
-                width = 2 if two == "*/" else 1
-                block = two != "*/"
-                if not comments:
-                    kept[n : n + width] = " " * width
-                n += width
-            elif quote:
-                width = 2 if line[n] == "\\" and n + 1 < len(line) else 1
-                quote = "" if line[n] == quote else quote
-                if not code:
-                    kept[n : n + width] = " " * width
-                n += width
-            elif two == "//":
-                if not comments:
-                    kept[n:] = " " * (len(line) - n)
-                break
-            elif two == "/*":
-                block = True
-                if not comments:
-                    kept[n] = " "
-                n += 1
-            else:
-                quote = line[n] if line[n] in "\"'" else ""
-                if not code:
-                    kept[n] = " "
-                n += 1
-        out.append("".join(kept))
-    return "\n".join(out)
+def quoted(quote: str, inside: str, rest: str) -> str:
+    """A string up to the first quote that an even number of back slashes precedes, else the rest. No group repeats, so long strings need no deep stack."""
+    return rf"{quote}(?:{inside}*?(?<!\\)(?:\\\\)*+{quote}|{rest})"
+
+
+#: Comments, strings and what is between them, by line (strings end with their line, block comments run on) and over a whole text.
+LINE_TOKENS = "|".join([r"//[^\n]*", r"/(?=\*)[\s\S]*?(?:\*/|\z)", quoted('"', r"[^\n]", r"[^\n]*"), quoted("'", r"[^\n]", r"[^\n]*"), "[^/\"']+", "/"])
+TEXT_TOKENS = "|".join([r"//[^\n]*", r"/\*[\s\S]*?(?:\*/|\z)", quoted('"', r"[\s\S]", r"[\s\S]*"), quoted("'", r"[\s\S]", r"[\s\S]*"), "[^/\"']+", "/"])
+SMALI_TOKENS = "|".join([r"#[^\n]*", quoted('"', r"[\s\S]", r"[\s\S]*"), quoted("'", r"[\s\S]", r"[\s\S]*"), "[^#\"']+"])
+
+
+def blanked(text: Column, tokens: str, blank: Callable[[Column], Column]) -> Column:
+    """Text with some of its tokens as spaces; new lines stay, and so do all offsets."""
+    cut = F.regexp_extract_all(text, F.lit(tokens), F.lit(0))
+    return F.array_join(F.transform(cut, lambda t: F.when(blank(t), F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)), "")
 
 
 def masked(text: Column, code: bool = True, comments: bool = True) -> Column:
-    """Text with the unwanted scope blanked, offsets kept; no Python runs when both scopes are on."""
+    """Text with the unwanted scope as spaces, line by line: // and /* */ comments on one side, code with its strings on the other."""
     if code and comments:
         return text
+    comment = lambda t: t.startswith("//") | t.startswith("/*")
+    return blanked(text, LINE_TOKENS, lambda t: F.lit(True) if not (code or comments) else ~comment(t) if comments else comment(t))
 
-    @F.pandas_udf("string")
-    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: None if t is None else mask_lines(t, code, comments))
 
-    return mask(text)
+def code_mask(text: Column, smali: bool = False) -> Column:
+    """Text with comments, strings and characters as spaces, over the whole text: a string may run over lines. Smali has # comments only."""
+    marks = ["#", '"', "'"] if smali else ["//", "/*", '"', "'"]
+    return blanked(text, SMALI_TOKENS if smali else TEXT_TOKENS, lambda t: reduce(Column.__or__, [t.startswith(m) for m in marks]))
 
 
 def braced(text: Column, start: Column) -> Column:
-    """Text from a position to the brace that closes the first one after it, braces in comments and strings not counted."""
+    """Text from a position (from 0) to the brace that closes the first one after it; null if none does. Braces in comments and strings do not count."""
+    cut = F.regexp_extract_all(F.substring(code_mask(text), start + 1, F.length(text)), F.lit("[^{}]+|[{}]"), F.lit(0))
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("over"))
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, starts: pd.Series) -> pd.Series:
-        found = []
-        for t, a in zip(texts, starts, strict=True):
-            depth, body = 0, None
-            code = mask_lines(t[a:], True, False)
-            for n, c in enumerate(code):
-                depth += (c == "{") - (c == "}")
-                if c == "}" and depth <= 0:
-                    body = t[a : a + n + 1] if depth == 0 else None
-                    break
-            found.append(body)
-        return pd.Series(found, dtype="object")
+    def step(s: Column, token: Column) -> Column:
+        depth = s["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        more = F.struct((s["at"] + F.length(token)).alias("at"), depth.alias("depth"), ((token == "}") & (depth <= 0)).alias("over"))
+        return F.when(s["over"], s).otherwise(more)
 
-    return cut(text, start)
+    found = F.aggregate(cut, begin, step)
+    # The fold is worked out once by binding it in a lambda.
+    body = lambda s: F.when(s["over"] & (s["depth"] == 0), F.substring(text, start + 1, s["at"]))
+    return F.get(F.transform(F.array(found), body), 0)
 
 
 def printable(text: Column) -> Column:
     """Control and format characters shown as [U+xxxx]."""
-    one = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.when(c.rlike(r"[\p{Cc}\p{Cf}]"), F.concat(F.lit("[U+"), F.lpad(F.hex(code_point(c)), 4, "0"), F.lit("]"))).otherwise(c))
+    one = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.when(c.rlike(r"[\p{Cc}\p{Cf}]"), F.concat(F.lit("[U+"), F.lpad(F.hex(code_point(c)), F.greatest(F.lit(4), F.length(F.hex(code_point(c)))), F.lit("0")), F.lit("]"))).otherwise(c))
     return F.array_join(one, "")
 
 

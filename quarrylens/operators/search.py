@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrylens.functions import text as texts
@@ -30,6 +28,14 @@ def prune(docs: DataFrame, grams: DataFrame, query: str, key: str = "doc_id") ->
     return docs.join(grams.where(F.size(F.array_intersect("grams", F.array(*[F.lit(g).cast("long") for g in need]))) == len(need)).select(key), key, "left_semi")
 
 
+def check_expression(spark, pattern: str) -> None:
+    """Raises ValueError if the engine that will run an expression does not take it; nothing runs on the executors."""
+    try:
+        spark.sql("SELECT '' RLIKE :p", args={"p": pattern}).collect()
+    except Exception as e:
+        raise ValueError(f"invalid expression: {pattern}") from e
+
+
 def first_match(line: Column, query: str, regex: bool, case: bool) -> tuple[Column, Column]:
     """Column (from 1, 0 for none) and length of the first match in a line."""
     if regex:
@@ -47,7 +53,7 @@ def search(docs: DataFrame, query: str, regex: bool = False, case: bool = False,
     With a limit the first hits in order of (key, line_no) come back.
     """
     if regex:
-        re.compile(query)
+        check_expression(docs.sparkSession, query)
     docs = docs.where(package) if package is not None else docs
     if grams is not None and not regex:
         docs = prune(docs, grams, query, key)

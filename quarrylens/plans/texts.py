@@ -126,11 +126,6 @@ def search_literal(t):
     return search.search(t.documents, "license", limit=None)
 
 
-@query("search_pruned", hit_sql("instr(lower(line), 'license')", "7"))
-def search_pruned(t):
-    return search.search(t.documents, "license", limit=None, grams=search.gram_index(t.documents))
-
-
 @query("search_case", hit_sql("instr(line, 'The ')", "4"))
 def search_case(t):
     return search.search(t.documents, "The ", case=True, limit=None)
