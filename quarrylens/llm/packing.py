@@ -18,15 +18,17 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarrylens.llm.common import materialise, table
+from quarrylens.llm.common import chunks, materialise, sliced, table
 
 LENGTH = 1024
 END_ID = 2
@@ -41,7 +43,7 @@ ODD = re.compile("[\x1c-\x1f]")
 
 
 class Encoder:
-    """ids(text) as little-endian unsigned 32-bit bytes."""
+    """Token ids as little-endian unsigned 32-bit bytes. Chunks are remembered in two generations: the older goes when the younger is full, but for what is met again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,26 +52,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in got)]
+
+    def learn(self, chunks: set[str]) -> None:
+        """See to it that all chunks are known."""
+        if len(self.known) > CACHE_CHUNKS:
+            self.known, self.older = {}, self.known
+        new = chunks.difference(self.known)
+        again = [c for c in new if c in self.older]
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        fresh = list(new.difference(again))
+        self.known.update(zip(fresh, self.encode([" " + c for c in fresh]), strict=True))
 
     def ids(self, text: str) -> bytes:
-        if ODD.search(text) or self.special.search(text):
-            return self.encode([text])[0]
-        parts = CUT.split(text) if LOOSE.search(text) else text.split(" ")
-        head = self.encode(parts[:1])[0] if parts[0] else b""
-        known = self.known
-        found = list(map(known.get, parts[1:]))
-        if None in found:
-            new = list({p for p, f in zip(parts[1:], found, strict=True) if f is None})
-            if len(known) + len(new) > CACHE_CHUNKS:
-                known.clear()
-            fresh = dict(zip(new, self.encode([" " + p for p in new]), strict=True))
-            known.update(fresh)
-            found = [fresh[p] if f is None else f for p, f in zip(parts[1:], found, strict=True)]
-        return head + b"".join(found)
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """What is new in all the texts goes to the tokenizer in one batch; hand over texts of bounded length together."""
+        whole = [bool(ODD.search(t) or self.special.search(t)) for t in texts]
+        parts = [[t] if w else CUT.split(t) if LOOSE.search(t) else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        heads = self.encode([p[0] for p in parts])
+        self.learn(set().union(*(p[1:] for p in parts)))
+        return [h + b"".join(map(self.known.__getitem__, p[1:])) for h, p in zip(heads, parts, strict=True)]
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which runs many tasks."""
+    return Encoder(path)
 
 
 def cut(ids: bytes) -> list[tuple[int, int, int]]:
@@ -88,10 +102,11 @@ def pieces_of(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         if tokenizer_path is None:
             import public_tokenizers
 
-        encoder = Encoder(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+        own = encoder(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for b in batches:
-            rows = [(d, k, *p) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for k, p in enumerate(cut(encoder.ids(t.as_py() or "") + end))]
+        for b in sliced(batches):
+            docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            rows = [(d, k, *p) for i, j in chunks(texts) for d, ids in zip(docs[i:j], own.all_ids(texts[i:j]), strict=True) for k, p in enumerate(cut(ids + end))]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
