@@ -32,7 +32,9 @@ from quarrylens.llm.common import chunks, materialise, sliced, table
 
 LENGTH = 1024
 END_ID = 2
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 700_000
+#: New chunks that go to the tokenizer as one text.
+JOINED = 256
 #: Pieces packed in one task of the first round, partitions that meet in one later, and tokens a bin may lack to go out early.
 PIECES, FAN_IN, SLACK = 40_000, 8, 4
 
@@ -51,6 +53,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        # A chunk's first token, and no other of its tokens, begins with the sign that stands for a space.
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[k for t, k in vocabulary.items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -58,6 +64,18 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in got)]
 
+    def encode_chunks(self, new: list[str]) -> list[bytes]:
+        """Tokens of chunks, each with its space in front: many as one text, cut again where a token begins with a space."""
+        groups = [new[k : k + JOINED] for k in range(0, len(new), JOINED)]
+        out: list[bytes] = []
+        for group, raw in zip(groups, self.encode([" " + " ".join(g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")]) * 4
+            if len(cuts) != len(group):
+                raise ValueError("this tokenizer joins or splits words at spaces")
+            edges = [*cuts.tolist(), len(raw)]
+            out += [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        return out
+
     def learn(self, chunks: set[str]) -> None:
         """See to it that all chunks are known."""
         if len(self.known) > CACHE_CHUNKS:
@@ -66,7 +84,7 @@ class Encoder:
         again = [c for c in new if c in self.older]
         self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
         fresh = list(new.difference(again))
-        self.known.update(zip(fresh, self.encode([" " + c for c in fresh]), strict=True))
+        self.known.update(zip(fresh, self.encode_chunks(fresh), strict=True))
 
     def ids(self, text: str) -> bytes:
         return self.all_ids([text])[0]
