@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import threading
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylens.functions import names
@@ -23,12 +26,27 @@ class Engine:
         self.spark, self.relations = spark, relations
 
     def query(self, sql: str) -> DataFrame:
-        """The rows of one SQL query over the relations. What is not a query (DDL, DML, several statements) does not parse here."""
-        if not sql or not sql.strip():
+        """The rows of one SQL query over the relations, and over nothing else.
+
+        The text is parsed once, before anything runs: it must be one query, its tables must be relations of this engine or names of its own WITH, and
+        functions that reach outside the query are refused. Views of the session keep their names and content.
+        """
+        text = (sql or "").strip().rstrip(";")
+        if not text.strip():
             raise ValueError("empty query")
-        for name, rows in self.relations.items():
-            rows.createOrReplaceTempView(name)
-        return self.spark.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)")
+        used = checked(self.spark, text, set(self.relations))
+        with VIEWS:
+            before = {n: self.spark.table(n) for n in used if self.spark.catalog.tableExists(n)}
+            try:
+                for n in used:
+                    self.relations[n].createOrReplaceTempView(n)
+                return self.spark.sql(text)
+            finally:
+                for n in used:
+                    self.spark.catalog.dropTempView(n)
+                for n, view in before.items():
+                    if not self.spark.catalog.tableExists(n):
+                        view.createOrReplaceTempView(n)
 
     def tools(self) -> dict[str, tuple[Callable[..., DataFrame], dict[str, type], set[str]]]:
         """name -> (function, types of its arguments, those that must be given)."""
@@ -89,6 +107,66 @@ class Engine:
         return graph.neighbourhood(self.relations["edges"], id, depth)[1]
 
 
+class NotAllowed(AnalysisException):
+    """A query that would leave the relations it is given."""
+
+
+#: Names of temporary views belong to the session, so one query at a time sets them.
+VIEWS = threading.Lock()
+#: What a query may be made of: the parser's plan nodes besides expressions and unresolved names. Commands are not among them.
+QUERY_NODES = frozenset(
+    "Aggregate Deduplicate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation OneRowRelation Offset Pivot Project Repartition RepartitionByExpression "
+    "RebalancePartitions Sample Sort SubqueryAlias Union Unpivot UnpivotTransformer Window WithWindowDefinition".split()
+)
+#: Functions that read files, call Java, or tell of the session; and the only table functions that are let through.
+REFUSED = frozenset(
+    "java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length current_user user session_user current_catalog current_database current_schema "
+    "version spark_partition_id monotonically_increasing_id raise_error assert_true identifier getvariable".split()
+)
+TABLE_FUNCTIONS = frozenset("explode explode_outer posexplode posexplode_outer inline inline_outer stack range".split())
+
+
+def checked(spark: SparkSession, sql: str, relations: set[str]) -> set[str]:
+    """The relations a query names; NotAllowed for anything that it may not hold, ParseException for what is no query."""
+    root = json.loads(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toJSON())
+    known, used, own = {r.lower(): r for r in relations}, set(), set()
+    parts = lambda v: [p.strip() for p in v.strip("[]").split(",")]
+    todo, named = [root], []
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo += x
+            continue
+        if not isinstance(x, dict):
+            continue
+        todo += x.values()
+        package, _, kind = x.get("class", "").rpartition(".")
+        if kind == "UnresolvedWith":
+            own |= {c["_1"].lower() for c in x["cteRelations"]}
+        elif kind == "UnresolvedRelation":
+            named.append(parts(x["multipartIdentifier"]))
+        elif kind == "UnresolvedFunction":
+            if len(name := parts(x["nameParts"])) > 1 or name[0].lower() in REFUSED:
+                raise NotAllowed(f"the function {'.'.join(name)} is not allowed")
+        elif "TableValuedFunction" in kind or kind == "UnresolvedTVFAliases":
+            name = parts(x["name"]) if "name" in x else [""]
+            if "name" in x and (len(name) > 1 or name[0].lower() not in TABLE_FUNCTIONS):
+                raise NotAllowed(f"the table function {'.'.join(name)} is not allowed")
+        elif "class" in x and (not package.startswith("org.apache.spark.sql.catalyst.") or package.endswith("plans.logical") and kind not in QUERY_NODES and not kind.startswith("Unresolved")):
+            raise NotAllowed(f"{kind} is not allowed in a query")
+        elif any(word in kind for word in ("Identifier", "Namespace", "Variable")):
+            raise NotAllowed(f"{kind} is not allowed in a query")
+    for name in named:
+        one = name[0].lower()
+        if len(name) > 1 or not (one in known or one in own):
+            raise NotAllowed(f"{'.'.join(name)} is no relation of this engine")
+        if one in known:
+            used.add(known[one])
+        elif spark.catalog.tableExists(name[0]):
+            raise NotAllowed(f"{name[0]} is also a table of the session")
+    return used
+
+
 def found_by_name(rows: DataFrame, column: str, text: str) -> DataFrame:
     """rows whose column begins with the text (rank 2) or holds it (rank 1)."""
     return rows.withColumn("rank", names.prefix_or_part(F.col(column), text)).where("rank > 0")

@@ -45,8 +45,13 @@ def excluded(class_name: Column, packages: str) -> Column:
 
 
 def safe_class_name(class_name: Column) -> Column:
-    """No empty, dot or parent parts and no absolute path, back slash or NUL."""
-    return ~class_name.rlike(r"(^|/)(\.{0,2})(/|$)|\\|\x00") & (F.length(class_name) > 0)
+    """No empty, dot or parent parts, no absolute path, and no back slash, colon or control character."""
+    return ~class_name.rlike(r"(\A|/)(\.{0,2})(/|\z)|[\\:\x00-\x1F]") & (F.length(class_name) > 0)
+
+
+def checked_class_name(class_name: Column) -> Column:
+    """The name itself; a row with an unsafe one fails the query."""
+    return F.when(F.coalesce(safe_class_name(class_name), F.lit(False)), class_name).otherwise(F.raise_error(F.concat(F.lit("unsafe class name: "), F.coalesce(class_name, F.lit("null")))))
 
 
 def valid_identifier(name: Column) -> Column:
@@ -195,3 +200,14 @@ def hex_rows(data: Column, width: int = 16) -> Column:
     starts = F.when(F.length(data) > 0, F.sequence(F.lit(0), F.length(data) - 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
     part = lambda o: F.substring(data, o + 1, F.lit(width))
     return F.transform(starts, lambda o: F.struct(o.alias("off"), F.hex(part(o)).alias("hex"), F.regexp_replace(F.decode(part(o), "ISO-8859-1"), r"[^\x20-\x7E]", ".").alias("text")))
+
+
+def encoded(data: Column, encoding: str = "base64") -> Column:
+    """A binary as base64, hex or text; what is no UTF-8 in a text is shown as the replacement character."""
+    if encoding == "base64":
+        return F.base64(data)
+    if encoding == "hex":
+        return F.lower(F.hex(data))
+    if encoding == "text":
+        return F.make_valid_utf8(data.cast("string"))
+    raise ValueError(f"unknown encoding {encoding}")

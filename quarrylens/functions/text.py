@@ -96,3 +96,31 @@ def printable(text: Column) -> Column:
 def clean_csv_text(text: Column) -> Column:
     """Control characters as spaces, as the CSV exchange wants them."""
     return F.regexp_replace(text, r"[\x00-\x1f]", " ")
+
+
+#: Bytes of a class file's text, one character a byte: plain runs, an encoded NUL, sequences of two to four bytes, a pair of surrogates, anything else.
+BYTE_TOKENS = "|".join([
+    r"[\x20-\x7F]+", r"[\x00-\x1F]", r"\xC0\x80", r"[\xC2-\xDF][\x80-\xBF]", r"\xED[\xA0-\xAF][\x80-\xBF]\xED[\xB0-\xBF][\x80-\xBF]", r"\xE0[\xA0-\xBF][\x80-\xBF]",
+    r"\xED[\x80-\x9F][\x80-\xBF]", r"[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}", r"\xF0[\x90-\xBF][\x80-\xBF]{2}", r"[\xF1-\xF3][\x80-\xBF]{3}", r"\xF4[\x80-\x8F][\x80-\xBF]{2}", r"[\s\S]",
+])
+
+
+def csv_bytes(data: Column) -> Column:
+    """Bytes of modified UTF-8 as text for the CSV exchange: control characters and encoded NULs as spaces, pairs of surrogates as the
+    character they stand for, what is no UTF-8 as question marks."""
+    byte = lambda t, k: F.ascii(F.substring(t, k, 1)).cast("long")  # noqa: E731  a code point below 256
+
+    def pair(t: Column) -> Column:
+        low = lambda k, bits: byte(t, k).bitwiseAND(F.lit((1 << bits) - 1))
+        code = F.lit(0x10000).cast("long") + ((low(2, 4) * 64 + low(3, 6)) * 1024) + low(5, 4) * 64 + low(6, 6)
+        part = lambda by, bits: F.shiftright(code, by).bitwiseAND(F.lit((1 << bits) - 1))
+        whole = (part(18, 3) + 0xF0) * (1 << 24) + (part(12, 6) + 0x80) * (1 << 16) + (part(6, 6) + 0x80) * (1 << 8) + part(0, 6) + 0x80
+        return F.decode(F.unhex(F.hex(whole)), "UTF-8")
+
+    def shown(t: Column) -> Column:
+        plain = t.rlike(r"\A[\x20-\x7F]+\z")
+        blank = t.rlike(r"\A(?:[\x00-\x1F]|\xC0\x80)\z")
+        return F.when(plain, t).when(blank, " ").when(F.length(t) == 1, "?").when(F.length(t) == 6, pair(t)).otherwise(F.decode(F.encode(t, "ISO-8859-1"), "UTF-8"))
+
+    cut = F.regexp_extract_all(F.decode(data, "ISO-8859-1"), F.lit(BYTE_TOKENS), F.lit(0))
+    return F.array_join(F.transform(cut, shown), "")

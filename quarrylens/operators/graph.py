@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrylens.storage import materialise, small_or_plain
 
+#: Node limits up to here are kept to; Spark's own limits take 32 bits.
+MAX_LIMIT = (1 << 31) - 2
+
 
 def distinct_edges(rows: DataFrame, src: str, dst: str) -> DataFrame:
     """(src_id, dst_id), each pair once."""
@@ -38,6 +41,16 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return part.join(F.broadcast(base), "__at").withColumn(name, F.col("__base") + inside).drop("__at", "__row", "__base")
 
 
+def running_total(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the sum of a column over all rows up to and with each, in a total order: sums of range partitions, then sums inside each."""
+    part = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
+    part = materialise(part, "totals")
+    sums = part.groupBy("__at").agg(F.sum(value).alias("__s"))  # a row for each partition
+    before = sums.select("__at", F.coalesce(F.sum("__s").over(Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.sum(value).over(Window.partitionBy("__at").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0))
+    return part.withColumn("__inside", inside).join(F.broadcast(before), "__at").withColumn(name, F.col("__before") + F.col("__inside")).drop("__at", "__row", "__inside", "__before")
+
+
 def one_id_space(inputs: list[tuple[DataFrame, DataFrame]], key: list[str]) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of several inputs, each (nodes (node_id, ...), edges (src_id, dst_id)), under common ids.
 
@@ -92,8 +105,11 @@ def neighbourhood(edges: DataFrame, root, depth: int = 2, direction: str = "both
         step = materialise(step, "step")
         used = step.select("src_id", "dst_id") if used is None else used.unionByName(step.select("src_id", "dst_id"))
         found = step.groupBy("next").agg(F.max("to").alias("level")).withColumnRenamed("next", "node_id").join(seen.select("node_id"), "node_id", "left_anti")
-        room = min(limit, (1 << 31) - 2) - seen.count()
-        frontier = found.orderBy(F.abs("level"), F.desc("level"), "node_id").limit(room + 1)
+        if limit > MAX_LIMIT:  # as good as none: nothing is sorted or cut
+            room, frontier = limit, found
+        else:
+            room = limit - seen.count()
+            frontier = found.orderBy(F.abs("level"), F.desc("level"), "node_id").limit(room + 1)
         frontier = materialise(frontier, "frontier")
         n = frontier.count()
         if n > room:
@@ -165,6 +181,15 @@ def overrides(methods: DataFrame, ancestors: DataFrame) -> DataFrame:
     return up.groupBy("owner", "suffix").agg(F.min_by("ancestor", F.struct("depth", "path")).alias("parent"))
 
 
+def override_notes(methods: DataFrame, parents: DataFrame) -> DataFrame:
+    """(owner, id, flags, text) of methods that override one: the annotation that a source listing shows for them.
+
+    methods: (id, owner, suffix, name, flags); parents: as overrides. The name is the method's, the class its nearest overridden ancestor, with dots.
+    """
+    text = F.concat(F.lit("@Override // "), F.translate("parent", "/", "."), F.lit("."), "name")
+    return methods.join(parents, ["owner", "suffix"]).select("owner", "id", "flags", text.alias("text"))
+
+
 def concrete_descendants(classes: DataFrame, ancestors: DataFrame, root: str) -> DataFrame:
     """Classes (name, flags) that reach root and are neither interface nor abstract; root itself counts if it is there."""
     below = ancestors.where(F.col("ancestor") == root).select(F.col("child").alias("name")).distinct()
@@ -219,6 +244,7 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(node_id, component) of components with more than one node: trim, then forward and backward smallest-id sweeps.
 
     In each round a node's colour is the smallest id that reaches it; within a colour, what reaches the node of that id is one component.
+    Raises RuntimeError if that has not ended after so many rounds; a chain costs a round for each link.
     """
     edges = materialise(edges.where("src_id <> dst_id").distinct(), "scc")
     out = None
@@ -249,6 +275,8 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         out = found if out is None else out.unionByName(found)
         gone = back.select("n")
         edges = materialise(edges.join(gone, F.col("src_id") == F.col("n"), "left_anti").join(gone, F.col("dst_id") == F.col("n"), "left_anti"), "scc")
+    else:
+        raise RuntimeError(f"strong components did not settle in {rounds} rounds")
     if out is None:
         return edges.select(F.col("src_id").alias("node_id"), F.col("src_id").alias("component")).where("false")
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrylens.functions import names
 from quarrylens.schemas import REFS_COMPACT, REFS_LEGACY
-from quarrylens.storage import small_or_plain
+from quarrylens.storage import materialise, small_or_plain
 
 
 def decode_references(index: DataFrame) -> DataFrame:
@@ -28,13 +28,14 @@ def decode_references(index: DataFrame) -> DataFrame:
 
 
 def encode_references(refs: DataFrame) -> DataFrame:
-    """(class, refs, ref_targets): the compact encoding of (class, from, target, offset, kind)."""
-    targets = refs.groupBy("class").agg(F.sort_array(F.collect_set("target")).alias("ref_targets"))
-    numbers = targets.select(F.col("class"), F.posexplode("ref_targets").alias("at", "target"))
-    rows = refs.join(numbers, ["class", "target"]).select("class", "from", F.array(F.col("at").cast("string"), F.col("offset").cast("string"), F.col("kind")).alias("r"))
-    lists = rows.groupBy("class", "from").agg(F.sort_array(F.collect_list("r")).alias("l"))
-    packed = lists.groupBy("class").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("from", "l"))))).alias("refs"))
-    return packed.join(targets, "class").select("class", "refs", "ref_targets")
+    """(class, refs, ref_targets): the compact encoding of (class, from, target, offset, kind), a row for each caller.
+
+    Callers of a class have a dictionary each, so no row grows with a class; decode_references puts the rows together as it finds them.
+    """
+    lists = refs.groupBy("class", "from").agg(F.sort_array(F.collect_set("target")).alias("ref_targets"), F.sort_array(F.collect_list(F.struct("target", "offset", "kind"))).alias("l"))
+    at = lambda r: (F.array_position("ref_targets", r["target"]) - 1).cast("string")
+    rows = F.transform("l", lambda r: F.array(at(r), r["offset"].cast("string"), r["kind"]))
+    return lists.select("class", F.to_json(F.create_map("from", rows)).alias("refs"), "ref_targets")
 
 
 def symbols(index: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def deobfuscate(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     Free numbers are those whose name no symbol shows; ids with an alias, constructors and initialisers keep theirs.
     Running it on its own result changes nothing.
     """
-    from quarrylens.operators.graph import numbered
+    from quarrylens.operators.graph import numbered, running_total
 
     shown = with_alias(rows, aliases).select("shown").distinct()
     member = F.col("id").contains("->")
@@ -122,11 +123,17 @@ def deobfuscate(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     todo = todo.join(F.broadcast(start), "prefix").select("id", "name", "prefix", (F.col("at") - F.col("first")).alias("k"))
     taken = shown.select(F.regexp_extract("shown", r"^(Class_|method_|field_)([1-9][0-9]{0,9})$", 1).alias("prefix"), F.regexp_extract("shown", r"_([1-9][0-9]{0,9})$", 1).try_cast("long").alias("number")).where("prefix <> ''")
     # The n-th free number is n plus the taken ones at or below it; each taken number t moves those with k + 1 >= t - (taken below t).
-    shift = taken.withColumn("below", F.row_number().over(Window.partitionBy("prefix").orderBy("number")) - 1).select("prefix", (F.col("number") - F.col("below")).alias("from_k"))
-    steps = shift.groupBy("prefix", "from_k").agg(F.count(F.lit(1)).alias("more"))
-    w = Window.partitionBy("prefix").orderBy("k", "is_row").rowsBetween(Window.unboundedPreceding, 0)
-    both = todo.select("prefix", "k", F.lit(1).alias("is_row"), "id", "name", F.lit(0).cast("long").alias("more")).unionByName(steps.select("prefix", (F.col("from_k") - 1).alias("k"), F.lit(0).alias("is_row"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.col("more").cast("long").alias("more")))
-    both = both.withColumn("moved", F.sum("more").over(w)).where("is_row = 1")
+    # Numbers and sums come from range partitions over all prefixes; what lies before a prefix is taken off again.
+    taken = numbered(taken, ["prefix", "number"], "at")
+    ahead = taken.groupBy("prefix").agg(F.min("at").alias("first"))
+    shift = taken.join(F.broadcast(ahead), "prefix").select("prefix", (F.col("number") - (F.col("at") - F.col("first"))).alias("from_k"))
+    steps = materialise(shift.groupBy("prefix", "from_k").agg(F.count(F.lit(1)).alias("more")), "steps")
+    sums = steps.groupBy("prefix").agg(F.sum("more").alias("s"))  # a row for each of the three prefixes
+    base = sums.select("prefix", F.coalesce(F.sum("s").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    both = todo.select("prefix", "k", F.lit(1).alias("is_row"), "id", "name", F.lit(0).cast("long").alias("more")).unionByName(steps.select("prefix", (F.col("from_k") - 1).alias("k"), F.lit(0).alias("is_row"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), "more"))
+    both = running_total(both, ["prefix", "k", "is_row", "id"], "more", "total").where("is_row = 1").join(F.broadcast(base), "prefix", "left")
+    # Without a taken number before it a prefix has no row in base of its own; nothing moves then.
+    both = both.withColumn("moved", F.when(F.col("base").isNotNull(), F.col("total") - F.col("base")).otherwise(F.lit(0)))
     return both.select("id", F.concat("prefix", (F.col("k") + 1 + F.col("moved")).cast("string")).alias("alias"), names.rename_reason(F.col("name")).alias("reason"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from quarrylens.operators import dataflow, graph, references, renames
 from quarrylens.plans.base import EDGES, SUPPLIER_BASE, query, supply_edges
@@ -24,10 +24,12 @@ def callees(t):
     return graph.callees(supply_edges(t), nodes, 1).select(F.col("key").alias("node_id"), "name")
 
 
-@query("uncalled_anti", "SELECT p_partkey AS node_id FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40)")
+@query("uncalled_anti", "SELECT min_by(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS node_id FROM orders GROUP BY o_custkey")
 def uncalled_anti(t):
-    edges = t.lineitem.where("l_quantity > 40").select(F.col("l_orderkey").alias("src_id"), F.col("l_partkey").alias("dst_id"))
-    return graph.uncalled(edges, t.part.select(F.col("p_partkey").alias("node_id")))
+    """Orders that follow no other order of their customer."""
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = t.orders.select(F.col("o_orderkey").alias("src_id"), after.alias("dst_id")).where("dst_id is not null")
+    return graph.uncalled(edges, t.orders.select(F.col("o_orderkey").alias("node_id")))
 
 
 @query("register_nodes", "SELECT method, type, row_number() OVER (ORDER BY k, n, method) - 1 AS id FROM (SELECT p_name AS method, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS type, min(struct_pack(a := l_orderkey, b := l_linenumber)).a AS k, min(struct_pack(a := l_orderkey, b := l_linenumber)).b AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name)")
@@ -81,6 +83,27 @@ def greedy_trace(t):
     return graph.greedy_trace(supply_edges(t), nodes, F.col("c_mktsegment") == "BUILDING", depth=2)
 
 
+NEXT = "SELECT DISTINCT l_partkey AS src_id, nxt AS dst_id FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nxt FROM lineitem) WHERE nxt IS NOT NULL"
+DEPTH = 4
+
+
+def trace_sql() -> str:
+    """Levels one after another: the callees listed, then the first followed unless one of those listed is native."""
+    levels = ["x0 AS (SELECT p_partkey AS root_id, p_partkey AS pos FROM part WHERE p_brand = 'Brand#1' ORDER BY p_size % 47 = 0, p_partkey LIMIT 8)"]
+    for k in range(1, DEPTH + 1):
+        levels.append(f"l{k} AS (SELECT root_id, dst_id, p, native FROM (SELECT root_id, dst_id, p_size % 47 = 0 AS native, row_number() OVER (PARTITION BY root_id ORDER BY dst_id) AS p FROM x{k - 1} JOIN e ON src_id = pos JOIN part ON p_partkey = dst_id) WHERE p <= 20)")
+        levels.append(f"x{k} AS (SELECT root_id, dst_id AS pos FROM l{k} WHERE p = 1 AND root_id NOT IN (SELECT root_id FROM l{k} WHERE native))")
+    rows = " UNION ALL ".join(f"SELECT root_id, {k} AS level, p, dst_id, p = 1 FROM l{k}" for k in range(1, DEPTH + 1))
+    return f"WITH e AS MATERIALIZED ({NEXT}), {', '.join(levels)} SELECT root_id, 0 AS level, 1 AS position, pos AS node_id, TRUE AS followed FROM x0 UNION ALL {rows}"
+
+
+@query("greedy_trace_deep", trace_sql())
+def greedy_trace_deep(t):
+    """Parts that follow one another in orders: several levels, some of which end at a native callee."""
+    nodes = t.part.select(F.col("p_partkey").alias("node_id"), (F.col("p_size") % 47 == 0).cast("int").alias("node_type"), "p_brand", F.lit(0).alias("api_type"))
+    return graph.greedy_trace(copurchase(t), nodes, F.col("p_brand") == "Brand#1", depth=DEPTH)
+
+
 def hierarchy(t):
     """(child, parent, ordinal): customers under nations, nations under regions."""
     name = lambda kind, c: F.concat(F.lit(f"{kind}/"), F.col(c).cast("string"))
@@ -119,8 +142,6 @@ def concrete_descendants(t):
 
 def copurchase(t):
     """Edges between parts that follow one another in an order,."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     rows = t.lineitem.select("l_orderkey", "l_partkey", F.lead("l_partkey").over(w).alias("next"))
     return graph.distinct_edges(rows, "l_partkey", "next")
@@ -136,9 +157,9 @@ def strong_components(t):
     return graph.strong_components(copurchase(t))
 
 
-@query("string_marks", "SELECT p_type AS str, bit_or(CASE WHEN l_returnflag = 'R' THEN 8 WHEN l_linestatus = 'O' THEN 32 ELSE 2 END) AS bits FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 45 GROUP BY p_type")
+@query("string_marks", "SELECT p_type AS str, bit_or(CASE WHEN l_returnflag = 'R' THEN 8 WHEN l_linestatus = 'O' THEN 32 ELSE 2 END) AS bits FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_type")
 def string_marks(t):
-    marks = t.lineitem.where("l_quantity > 45").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("text"), F.when(F.col("l_returnflag") == "R", 8).when(F.col("l_linestatus") == "O", 32).otherwise(2).alias("bit"))
+    marks = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("text"), F.when(F.col("l_returnflag") == "R", 8).when(F.col("l_linestatus") == "O", 32).otherwise(2).alias("bit"))
     return references.string_marks(t.part.select(F.col("p_type").alias("str")).distinct(), marks)
 
 

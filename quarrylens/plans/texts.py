@@ -31,6 +31,16 @@ def url_flags(t):
     return flagged(t.pages.select(F.col("url").alias("s")).distinct())
 
 
+GATED = ", ".join(f"{v} AND p % 3 <> 0 AS {k}" if k != "is_internal_class_desc" else f"{v} AS {k}" for k, v in FLAGS.items())
+
+
+@query("gated_flags", f"SELECT p AS page_id, {GATED}, p % 3 = 0 AS is_method_name FROM (SELECT page_id AS p, url AS s FROM pages)")
+def gated_flags(t):
+    """A third of the literals are marked as names of methods, and not tested for content."""
+    found = strings.flags(F.col("url"), F.when(F.col("page_id") % 3 == 0, strings.METHOD_NAME).otherwise(0))
+    return t.pages.select("page_id", *[found[k].alias(k) for k in (*FLAGS, "is_method_name")])
+
+
 @query("token_flags", f"SELECT s, {FLAG_SQL} FROM (SELECT DISTINCT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS s FROM documents) WHERE s <> ''")
 def token_flags(t):
     rows = t.documents.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("s")).where("s <> ''").distinct()
@@ -42,9 +52,9 @@ def package_tree(t):
     return t.pages.groupBy(names.package_of(F.regexp_extract("url", "^[a-z]+://(.*)$", 1)).alias("package")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("package_filter", "SELECT p_partkey FROM part WHERE starts_with(replace(p_type, ' ', '/'), 'STANDARD/')")
+@query("package_filter", "SELECT p_partkey FROM part WHERE starts_with(replace(p_name, ' ', '/'), 'small/')")
 def package_filter(t):
-    return t.part.where(names.in_package(F.translate("p_type", " ", "/"), "STANDARD")).select("p_partkey")
+    return t.part.where(names.in_package(F.translate("p_name", " ", "/"), "small.")).select("p_partkey")
 
 
 @query("package_exclusion", "SELECT p_partkey FROM part WHERE NOT (starts_with(replace(p_type, ' ', '/'), 'STANDARD/') OR starts_with(replace(p_type, ' ', '/'), 'SMALL/PLATED/') OR replace(p_type, ' ', '/') IN ('STANDARD', 'SMALL/PLATED'))")

@@ -6,8 +6,8 @@ import pytest
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import functions as F
 
-from quarrylens.engine import Engine, report
-from quarrylens.functions import names
+from quarrylens.engine import Engine, NotAllowed, report
+from quarrylens.functions import names, text
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +104,85 @@ def test_column_functions(spark):
     codes = [[ord(c) ^ 42 for c in "hello world"], [200, 1], []]
     got = spark.createDataFrame([(c,) for c in codes], "c array<int>").select(names.xor_decode(F.col("c"), [1, 42, 43]).alias("x")).collect()
     assert got[0]["x"]["key"] == 42 and got[0]["x"]["text"] == "hello world" and got[1]["x"] is None and got[2]["x"] is None
+
+
+def test_queries_stay_inside_the_relations(spark, tmp_path):
+    part = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    spark.createDataFrame([(9,)], "k int").createOrReplaceTempView("hidden")
+    spark.createDataFrame([(7, "mine")], "k int, v string").createOrReplaceTempView("part")
+    secret = tmp_path / "secret.txt"
+    secret.write_text("no")
+    engine = Engine(spark, {"part": part, "other": part})
+    good = {
+        "SELECT count(*) AS n FROM part": 2,
+        "select max(k) from PART;": 2,
+        "WITH a AS (SELECT * FROM part), b AS (SELECT * FROM a JOIN other USING (k)) SELECT count(*) FROM b WHERE k IN (SELECT k FROM part)": 2,
+        "SELECT count(*) FROM (SELECT explode(array(1, 2, 3)) AS x)": 3,
+        "SELECT count(*) FROM part LATERAL VIEW explode(array(k, k)) t AS x": 4,
+        "SELECT count(*) FROM range(5)": 5,
+        "SELECT sum(k) OVER (PARTITION BY v ORDER BY k) FROM part WHERE k = 2": 2,
+        "SELECT k FROM part UNION SELECT k FROM other EXCEPT SELECT 2": 1,
+        "SELECT count(*) FROM (VALUES (1), (2)) t(x)": 2,
+        "SELECT max(k) FROM part TABLESAMPLE (100 PERCENT) HAVING count(*) > 1": 2,
+    }
+    for sql, want in good.items():
+        assert engine.query(sql).first()[0] == want, sql
+    refused = [
+        f"SELECT * FROM text.`{secret}`",
+        f"SELECT * FROM part WHERE v IN (SELECT value FROM text.`{secret}`)",
+        f"SELECT (SELECT max(value) FROM text.`{secret}`)",
+        "SELECT * FROM hidden",
+        "WITH a AS (SELECT * FROM hidden) SELECT * FROM a",
+        "WITH hidden AS (SELECT 1 AS k) SELECT * FROM hidden",
+        "SELECT * FROM default.part",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT * FROM part ORDER BY reflect('java.lang.System', 'exit', 1)",
+        "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') FROM part",
+        "SELECT input_file_name() FROM part",
+        "SELECT current_user()",
+        "SELECT * FROM read_files('/etc')",
+        "SELECT * FROM IDENTIFIER('hidden')",
+        "DROP VIEW hidden",
+        "CREATE TEMP VIEW z AS SELECT 1",
+        "INSERT INTO part VALUES (3, 'c')",
+        "SET spark.sql.shuffle.partitions=3",
+        "SHOW TABLES",
+        "EXPLAIN SELECT 1",
+        "CACHE TABLE part",
+    ]
+    for sql in refused:
+        with pytest.raises(NotAllowed):
+            engine.query(sql)
+            raise AssertionError(sql)
+    for sql in ["", " ; ", "SELECT 1 x) UNION ALL (SELECT 2", "SELECT 1; SELECT 2", "no query"]:
+        with pytest.raises((ValueError, ParseException)):
+            engine.query(sql)
+    assert spark.table("part").first()["v"] == "mine" and spark.table("hidden").first()["k"] == 9
+    assert not spark.catalog.tableExists("other")
+    for n in ("part", "hidden"):
+        spark.catalog.dropTempView(n)
+
+
+def test_csv_bytes_repairs_modified_utf8(spark):
+    cases = {b'plain "x"\n\t': 'plain "x"  ', b"a\xc0\x80b": "a b", "é日本\U0001f600".encode(): "é日本\U0001f600", b"\xed\xa0\xbd\xed\xb8\x80!": "\U0001f600!", b"\xed\xa0\xbdx": "???x", b"\xff\xfea": "??a", b"\xe2\x82": "??", b"\xc1\x81": "??", b"\xf5\x80\x80\x80": "????", b"": "", b"\xf4\x8f\xbf\xbf": "\U0010ffff"}
+    df = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(cases)], "k int, b binary")
+    assert [r["t"] for r in df.orderBy("k").select(text.csv_bytes(F.col("b")).alias("t")).collect()] == list(cases.values())
+
+
+def test_checked_class_names(spark):
+    names_of = {"a/B": True, "a": True, "": False, "/a": False, "a//b": False, "a/../b": False, "a/.": False, "a\\b": False, "c:a": False, "a\x01": False, "a/..b": True}
+    df = spark.createDataFrame([(n,) for n in names_of], "n string")
+    assert {r["n"]: r["s"] for r in df.select("n", names.safe_class_name(F.col("n")).alias("s")).collect()} == names_of
+    assert df.where(names.safe_class_name(F.col("n"))).select(names.checked_class_name(F.col("n"))).count() == 3
+    with pytest.raises(Exception, match="unsafe class name: a/../b"):
+        df.where("n = 'a/../b'").select(names.checked_class_name(F.col("n"))).collect()
+
+
+def test_report_is_rendered(spark):
+    from quarrylens import report as analysis
+
+    one = spark.createDataFrame([("liba.so", "f|g"), ("liba.so", "<h>")], "so_name string, name string")
+    nodes, strings = spark.createDataFrame([(0,), (1,), (1,)], "node_type int"), spark.createDataFrame([("http://a", True), ("b", False)], "str string, is_url boolean")
+    mark, page = analysis.rendered(analysis.sections(nodes, one, one, one, one, one, strings), "Report & more", ["android.permission.INTERNET"])
+    assert "| Java methods | 3 |" in mark and "| liba.so | f\\|g |" in mark and "| http://a |  |" in mark and "INTERNET" in mark
+    assert "<h1>Report &amp; more</h1>" in page and "&lt;h&gt;" in page and "<td>b" not in page
