@@ -425,6 +425,45 @@ def test_op9_whole_texts_and_wrapped_headers(spark):
     assert {r["path"]: r["license"] for r in got.collect()} == {p: want for p, (_, want) in files.items()}
 
 
+def plain_cosine(words, templates):
+    """Best (cosine, -place, licence) of a bag of words by the textbook formula."""
+    bags = [(n, Counter(licenses.tokens(t))) for n, t in templates]
+    every = {t for _, b in bags for t in b} | set(words)
+    idf = {t: np.log((1 + len(bags)) / (1 + sum(t in b for _, b in bags))) + 1 for t in every}
+    vector = lambda b: np.array([b[t] * idf[t] for t in sorted(every)])
+    mine = vector(Counter(words))
+    return max((float(mine @ vector(b) / np.linalg.norm(mine) / np.linalg.norm(vector(b))), -k, n) for k, (n, b) in enumerate(bags)) if words else (0, 0, None)
+
+
+def test_op9_equals_plain_cosines(spark, sf_dir, docs):
+    """The registered query against every line and header compared one by one; no document speaks for its directory."""
+    paths = sorted((Path(licenses.__file__).parent / "license_texts").glob("*.txt"))
+    bodies = [(p.name.removesuffix(".txt").removesuffix(".header"), p.read_text()) for p in paths]
+    want = {}
+    for d, t in zip(docs["doc_id"], docs["text"], strict=True):
+        head = licenses.tokens(licenses.header(t or ""))
+        own = plain_cosine(head, bodies) if re.search(licenses.BODY_CUE, t or "") else (0, 0, None)
+        if own[0] < licenses.BODY_COSINE:
+            said = [plain_cosine(licenses.tokens(x), list(licenses.TEMPLATES.items())) for x in (t or "").split("\n") if re.search(licenses.CUE, x)]
+            said = [x for x in said if x[0] >= licenses.MIN_COSINE]
+            own = max([x for x in said if x[2] != "Proprietary"] or said, default=(None, 0, None))
+        want[d] = own
+    got = run(spark, "op9", sf_dir).set_index("doc_id")
+    assert {d: w[2] for d, w in want.items()} == got["license"].astype(object).where(got["license"].notna(), None).to_dict()
+    assert all(w[0] is None or abs(w[0] - got.loc[d, "cosine"]) < 1e-6 for d, w in want.items())
+    assert any(w[2] for w in want.values()) and set(got["origin"]) == {"own", "none"} and got["licensed_at"].isna().all()
+
+
+def test_op9_long_lines_empty_tables_and_who_speaks(spark):
+    words = " ".join(f"w{k}" for k in range(4000))
+    rows = [("a/x.py", f"Released under the MIT License {words}"), ("a/y.py", "Released under the MIT License"), ("a/z.py", "code"), ("b/LICENSE", "Released under the MIT License"), ("b/c/z.py", "code"), ("d/x.py", "license " * 4000), ("LICENSES.md", "Released under the MIT License")]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan(df).collect()}
+    none = (None, "none")
+    assert got == {"a/x.py": none, "a/y.py": ("MIT", "own"), "a/z.py": none, "b/LICENSE": ("MIT", "own"), "b/c/z.py": ("MIT", "inherited"), "d/x.py": none, "LICENSES.md": ("MIT", "own")}
+    assert licenses.scan(df.where("false")).count() == 0
+
+
 def test_op10_marginals_equal_enumeration():
     from itertools import product
 
