@@ -9,8 +9,10 @@ item). A document is contaminated by an item if one of its windows of the item's
    ones with the fewest hits are taken), and moving its start to its first shared shingle keeps all it shares. So windows begin
    at hits that are followed by enough others of some item of that size. This filter loses nothing.
 2. Fingerprints. 64 bits, each the majority over the hashes of the window's words.
-3. Multi-index. Fingerprints are cut into RADIUS + 1 blocks; two within RADIUS agree in one at least, so the join on (size, block number,
-   block) finds every window and item within RADIUS. Pairs beyond it are dropped.
+3. Multi-index. Fingerprints are cut into RADIUS + 1 blocks; two within RADIUS agree in one at least. A window takes along the items for which it
+   passed the filter, and the join on (item, block number, block) finds all of them within RADIUS and looks at no other. Blocks of three bits alone would select
+   an eighth of all items each, and the bound leaves no room for wider ones: a pair at the bound differs in a sixth of any code's bits, so the blocks
+   that pigeonhole needs stay at three to four bits however long the code is. Pairs beyond RADIUS are dropped.
 4. The pairs left are compared exactly, as multisets of shingles.
 
 The radius follows from the bound: a window and an item then share 6 / 7 of their shingles at least, and so of their words, and a majority
@@ -98,8 +100,9 @@ def gram_hits(words: DataFrame, known: DataFrame, lengths: list[int]) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def item_windows(docs: DataFrame, of_item: DataFrame, lengths: list[int]) -> DataFrame:
-    """(wid, doc_id, size, len, start, win, fp): windows of documents that may hold an item, with their word hashes and fingerprint."""
+def item_windows(docs: DataFrame, of_item: DataFrame, lengths: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(wid, doc_id, size, len, start, win, fp): windows of documents that may hold an item, with their word hashes and fingerprint; and (wid,
+    key), the items that each may hold."""
     known = small_or_plain(materialise(of_item.select("len", "gram").distinct(), "known"))
     words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), word_hashes("text").alias("w"))
     hits = materialise(gram_hits(words, known, lengths), "hits")
@@ -115,15 +118,18 @@ def item_windows(docs: DataFrame, of_item: DataFrame, lengths: list[int]) -> Dat
     runs = hits.alias("h").join(wanted.alias("p"), same).groupBy("h.doc_id", "h.text_key", "p.key", "p.size", "p.len", "p.n", "p.need")
     runs = runs.agg(F.array_sort(F.collect_set("h.pos")).alias("run")).where(F.size("run") >= F.col("need"))
     enough = F.filter("run", lambda p, i: F.get("run", i + F.col("need") - 1) < p + F.col("n"))
-    starts = materialise(runs.select("doc_id", "text_key", "size", "len", F.explode(enough).alias("pos")).distinct(), "starts")
+    of_key = materialise(runs.select("doc_id", "text_key", "size", "len", "key", F.explode(enough).alias("pos")), "starts")
+    wid = F.xxhash64("doc_id", "text_key", "size", "pos")
+    may_hold = of_key.select(wid.alias("wid"), "key").distinct()
+    starts = of_key.drop("key").distinct()
 
     of_doc = small_or_plain(materialise(starts.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).distinct(), "found"))
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     source = source.join(of_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left_semi").dropDuplicates(["doc_id", "text_key"])
     source = materialise(source.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), word_hashes("text").alias("w")), "texts")
     cut = starts.join(source, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
-    cut = cut.select(F.xxhash64("doc_id", "text_key", "size", "pos").alias("wid"), "doc_id", "size", "len", (F.col("pos") - 1).alias("start"), F.slice("w", F.col("pos"), F.col("size")).alias("win"))
-    return materialise(materialise(cut, "cut").withColumn("fp", simhash("win")), "windows")
+    cut = cut.select(wid.alias("wid"), "doc_id", "size", "len", (F.col("pos") - 1).alias("start"), F.slice("w", F.col("pos"), F.col("size")).alias("win"))
+    return materialise(materialise(cut, "cut").withColumn("fp", simhash("win")), "windows"), may_hold
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -132,11 +138,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # at most WORDS values
     if not lengths:
         return docs.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("start_word"), F.lit(0.0).alias("similarity"), F.lit(0).alias("distance")).where("false")
-    windows = item_windows(docs, of_item, lengths)
+    windows, may_hold = item_windows(docs, of_item, lengths)
 
-    theirs = materialise(items.select("key", "n", "size", F.col("fp").alias("item_fp"), F.explode(blocks("fp")).alias("b")).select("key", "n", "size", "item_fp", "b.*"), "blocks")
-    own = windows.select("wid", "size", "fp", F.explode(blocks("fp")).alias("b")).select("wid", "size", "fp", "b.*")
-    near = own.join(small_or_plain(theirs), ["size", "no", "bits"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    theirs = materialise(items.select("key", "n", F.col("fp").alias("item_fp"), F.explode(blocks("fp")).alias("b")).select("key", "n", "item_fp", "b.*"), "blocks")
+    own = may_hold.join(windows.select("wid", "fp"), "wid").select("wid", "key", "fp", F.explode(blocks("fp")).alias("b")).select("wid", "key", "fp", "b.*")
+    near = own.join(small_or_plain(theirs), ["key", "no", "bits"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
     near = materialise(near.where(F.col("distance") <= RADIUS).select("wid", "key", "n", "distance").distinct(), "near")
 
     grams = windows.select("wid", F.size("win").alias("words"), "len", F.explode(shingles(F.col("win"), F.least(F.size("win"), F.col("len")))).alias("gram"))
