@@ -225,6 +225,32 @@ def test_op4_trees_thresholds_and_added_spans(spark):
     assert limits[4] < max(r["score"] for r in cells if r["kind"] == 4)
 
 
+def test_op4_finds_what_the_base_patterns_cannot_see(spark):
+    """Mail addresses written out, cards with dots, telephone numbers without a plus and secrets; plain numbers and words stay."""
+    rng = np.random.default_rng(4)
+    pick = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    name = lambda: "".join(rng.choice(list("abcdefghijklm"), 6))
+
+    def card():
+        d = "4" + pick(14)
+        total = sum(x if k % 2 else (2 * x - 9 * (x > 4)) for k, x in enumerate(map(int, d)))
+        d += str(-total % 10)
+        return ".".join(d[k : k + 4] for k in range(0, 16, 4))
+
+    made = [("email", f"{name()} (at) {name()} (dot) com") for _ in range(80)] + [("email", f"{name()}@{name()}[dot]org") for _ in range(40)] + [("card", card()) for _ in range(60)] + [("secret", "".join(rng.choice(list("0123456789abcdef"), 32))) for _ in range(60)]
+    phones = [("phone", f"({pick(3)}) {pick(3)}-{pick(4)}") for _ in range(80)]
+    texts = [f"some words {'password: ' if k == 'secret' and n % 40 else ''}{v} and more" for n, (k, v) in enumerate(made)] + [f"please {'call' if n % 40 else 'take'} {v} and more" for n, (_, v) in enumerate(phones)]
+    clean = [f"version 1.2.{k} of 2019-05-0{k % 9 + 1}, pages {k}, {k + 1} and {k + 2}: {name()} @ {name()}. Then 12.5 of 300 came" for k in range(400)]
+    rows = spark.createDataFrame(list(enumerate([*texts, *clean])), "doc_id long, text string")
+    out = pii.with_spans(rows, pii.fit(rows)).select("doc_id", pii.names_of("pii_spans").alias("s"))
+    got = {r["doc_id"]: r["s"].split(",") if r["s"] else [] for r in out.collect()}
+    hit = [any(x.split(":")[0] == k and int(x.split(":")[1]) <= t.index(v) and int(x.split(":")[2]) >= t.index(v) + len(v) for x in got[n]) for n, ((k, v), t) in enumerate(zip([*made, *phones], texts, strict=True))]
+    for kind in ("email", "card", "phone", "secret"):
+        own = [h for h, (k, _) in zip(hit, [*made, *phones], strict=True) if k == kind]
+        assert np.mean(own) >= 0.9, (kind, np.mean(own))
+    assert np.mean([not got[len(texts) + n] for n in range(len(clean))]) >= 0.98
+
+
 def test_op4_redacts_nested_spans_and_keeps_clashing_columns(spark):
     local = "-".join(f"10.0.0.{k}" for k in range(40))
     rows = spark.createDataFrame([(1, f"mail {local}@x.org, bye", 7, "p", [1])], "doc_id long, text string, __t int, __new string, pii_spans array<int>")
