@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from contextlib import suppress
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylens.storage import materialise
 
-__all__ = ["ascii_lower", "chunks", "connected_components", "hash_pair", "held_out", "keep_without", "materialise", "sample_per_class", "sliced", "small_or_plain", "table"]
+__all__ = ["ascii_lower", "chunks", "connected_components", "hash_pair", "held_out", "keep_without", "kept", "materialise", "release", "releasing", "sample_per_class", "sliced", "small_or_plain", "table"]
 #: Ids up to this many rows may be broadcast (16 bytes each); beyond it the joins shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -88,6 +93,39 @@ def chunks(texts: list[str], size: int = 2_000_000):
         yield i, len(texts)
 
 
+#: What this Python worker keeps for its next tasks: one thing at a time.
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """make() once a worker, as long as its tasks ask for this key and no other and are not wrapped by releasing."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Give freed memory back to the system. A worker lives on beside the JVM and the next stage's workers, and the allocators keep what arrays have left."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(run):
+    """An Arrow task that starts without what other tasks have kept in its worker and releases its memory when it ends."""
+
+    def task(batches):
+        _KEPT.clear()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def sliced(batches, rows: int = 1024):
     """Arrow batches in slices of so many rows, so that what a task builds from one stays small."""
     for b in batches:

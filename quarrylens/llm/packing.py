@@ -21,14 +21,13 @@ import re
 import struct
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarrylens.llm.common import chunks, materialise, sliced, table
+from quarrylens.llm.common import chunks, kept, materialise, sliced, table
 
 LENGTH = 1024
 END_ID = 2
@@ -71,7 +70,8 @@ class Encoder:
         for group, raw in zip(groups, self.encode([" " + " ".join(g) for g in groups]), strict=True):
             cuts = np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")]) * 4
             if len(cuts) != len(group):
-                raise ValueError("this tokenizer joins or splits words at spaces")
+                out += self.encode([" " + c for c in group])
+                continue
             edges = [*cuts.tolist(), len(raw)]
             out += [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         return out
@@ -83,7 +83,10 @@ class Encoder:
         new = chunks.difference(self.known)
         again = [c for c in new if c in self.older]
         self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        fresh = list(new.difference(again))
+        fresh = new.difference(again)
+        loose = [c for c in fresh if " " in c]  # more than one token may begin with a space
+        self.known.update(zip(loose, self.encode([" " + c for c in loose]), strict=True))
+        fresh = list(fresh.difference(loose))
         self.known.update(zip(fresh, self.encode_chunks(fresh), strict=True))
 
     def ids(self, text: str) -> bytes:
@@ -98,12 +101,6 @@ class Encoder:
         return [h + b"".join(map(self.known.__getitem__, p[1:])) for h, p in zip(heads, parts, strict=True)]
 
 
-@lru_cache(1)
-def encoder(path: str) -> Encoder:
-    """One for each Python worker, which runs many tasks."""
-    return Encoder(path)
-
-
 def cut(ids: bytes) -> list[tuple[int, int, int]]:
     """(start, length, crc32) of a document's pieces: the first takes what full pieces leave over."""
     n = len(ids) // 4
@@ -120,7 +117,8 @@ def pieces_of(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         if tokenizer_path is None:
             import public_tokenizers
 
-        own = encoder(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+        path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
+        own = kept(("tokens", path), lambda: Encoder(path))  # a worker runs many tasks
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in sliced(batches):
             docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
