@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarrylens.llm.common import connected_components, materialise, sliced, small_or_plain, table
+from quarrylens.llm.common import connected_components, materialise, release, releasing, sliced, small_or_plain, table
 
 WORDS, NUM, DEN = 5, 3, 4  # shingle length; similarity >= NUM / DEN
 BITS = 4
@@ -41,7 +41,7 @@ STREAM_PAIRS = 100_000
 #: Documents sampled for the shingle order, and the number of them from which a shingle counts as frequent.
 SAMPLE, FREQUENT = 4000, 12
 #: Sets whose shingles one bucket of the candidate search holds on average.
-BUCKET_DOCS = 4000
+BUCKET_DOCS = 2000
 #: Steps in which the place of a shingle in its set's order is kept (a prefix is a quarter of them, 256 at most).
 PLACES = 1020
 
@@ -148,7 +148,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "sid", "n", "low", "bits"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sid long, n long, low long, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), "doc_id long, sid long, n long, low long, bits binary")
 
 
 def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
@@ -161,7 +161,7 @@ def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
             found = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1].astype(np.int64))], names=["h", "c"])
 
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").mapInArrow(run, "h long, c long")
+    rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text").mapInArrow(releasing(run), "h long, c long")
     rows = rows.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT).select("h")
     return np.sort(np.array([r[0] for r in rows.collect()], np.int64).view(np.uint64))
 
@@ -245,9 +245,10 @@ def meeting_lists(docs: DataFrame, n_docs: int) -> DataFrame:
         lead = np.repeat(sids[cuts], sizes)  # the smallest, as they are sorted
         plain = ~spread & np.repeat(sizes > 1, sizes)
         rows = pd.DataFrame({"list": lead[plain], "sid": sids[plain], "hot": False}).drop_duplicates()
+        release()
         return pd.concat((rows, pd.DataFrame({"list": grams[spread].view(np.int64), "sid": sids[spread], "hot": True})))
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket long, grams binary, sids binary, n binary, place binary")
+    dealt = docs.select("text").mapInArrow(releasing(deal), "bucket long, grams binary, sids binary, n binary, place binary")
     lists = materialise(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "list long, sid long, hot boolean"), "lists")
     hot = lists.where("hot").select(F.col("list").alias("gram"), "sid")
     lead = hot.groupBy("gram").agg(F.min("sid").alias("list"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -434,7 +435,7 @@ def proposals(rows: DataFrame, near: bool) -> DataFrame:
             yield from work(pa.Table.from_batches(held))
 
     dealt = rows.select(names).repartition("list", "b1", "b2").sortWithinPartitions("list", "b1", "b2")
-    return dealt.mapInArrow(run, "a long, b long, more long").distinct()
+    return dealt.mapInArrow(releasing(run), "a long, b long, more long").distinct()
 
 
 def in_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -473,7 +474,7 @@ def verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["sid", "grams"])
 
     rows = docs.select("doc_id", "text").join(small_or_plain(need), F.col("doc_id").eqNullSafe(F.col("own_id"))).select("sid", "text")
-    sets = materialise(rows.mapInArrow(load, "sid long, grams binary").dropDuplicates(["sid"]), "sets")
+    sets = materialise(rows.mapInArrow(releasing(load), "sid long, grams binary").dropDuplicates(["sid"]), "sets")
 
     def similar(batches):
         for b in sliced(batches):
@@ -487,7 +488,7 @@ def verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], names=["a", "b"])
 
     joined = pairs.join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("grams_b")), "b").join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("grams_a")), "a")
-    return joined.select("a", "b", "grams_a", "grams_b").mapInArrow(similar, "a long, b long")
+    return joined.select("a", "b", "grams_a", "grams_b").mapInArrow(releasing(similar), "a long, b long")
 
 
 def components(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarrylens.llm.common import chunks, held_out, sample_per_class, sliced, table
+from quarrylens.llm.common import chunks, held_out, releasing, sample_per_class, sliced, table
 
 FIT_DOCS = 2000
 FIT_CHARS = 20_000
@@ -320,7 +320,7 @@ def score(docs: DataFrame, model: Crf) -> DataFrame:
             found = pa.array([[{"start": s, "end": e, "p": p} for s, e, p in x] for x in spans], arrow_span)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(scores), found], names=kept + ["toxicity", "toxic_spans"])
 
-    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(releasing(run), schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
