@@ -33,7 +33,7 @@ def check_expression(spark, pattern: str) -> None:
     try:
         spark.sql("SELECT '' RLIKE :p", args={"p": pattern}).collect()
     except Exception as e:
-        raise ValueError(f"invalid expression: {pattern}") from e
+        raise ValueError(f"invalid expression (unterminated or malformed): {pattern}") from e
 
 
 def first_match(line: Column, query: str, regex: bool, case: bool) -> tuple[Column, Column]:

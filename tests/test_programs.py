@@ -1,11 +1,13 @@
 """Masks, unflattening, folding, call sites and canonical references against plain versions."""
 
+import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.functions import text as texts
-from quarrylens.operators import callsites, folding, unflatten, xrefs
+from quarrylens.operators import callsites, dataflow, folding, graph, lookups, references, unflatten, xrefs
 
 
 def mask_lines(text: str, code: bool, comments: bool) -> str:
@@ -234,3 +236,50 @@ def test_canonical_references(spark):
     assert {(r["id"], r["about"], r["offset"]) for r in asked.collect()} == {("Lp/C;->m()V", "Lp/A;->m()V", 4), ("Lp/C;->m()V", "Lp/A;->m()V", 8)}
     called = xrefs.callees_by_member(refs, spark.createDataFrame([("Lp/D;->own()V",), ("Lp/D;->m()V",), ("Lp/D;",)], "id string"), moved)
     assert {tuple(r) for r in called.collect()} == {("Lp/D;->own()V", "Lp/A;->m()V", 4), ("Lp/D;->own()V", "Lp/A;->m()V", 8), ("Lp/D;->own()V", "Lp/B;->k()V", 9), ("Lp/D;->own()V", "Lp/D;-><init>()V", 10), ("Lp/D;->own()V", "Lq/Z;->m()V", 12), ("Lp/D;->own()V", "Lp/D;->m@local:1", 2), ("Lp/D;->m()V", "Lp/D;->x:I", 1)}
+
+
+# --- dataflow over small methods
+
+
+def test_blocks_dominated_closure_intervals_and_phis(spark):
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    code = t([("m", 0, True, False), ("m", 1, False, True), ("m", 2, False, False), ("m", 3, True, True), ("m", 4, False, False), ("n", 0, True, True)], "method string, pc int, is_leader boolean, ends_block boolean")
+    spans = dataflow.blocks_of(code)
+    assert sorted(map(tuple, spans.collect())) == [("m", 0, 0, 1), ("m", 1, 2, 2), ("m", 2, 3, 3), ("m", 3, 4, 4), ("n", 0, 0, 0)]
+
+    idoms = t([(1, 0, None), (1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 3), (2, 0, None)], "method long, block long, idom long")
+    below = {(b, d) for _, b, d in map(tuple, dataflow.dominated(idoms).collect())}
+    assert below == {(0, 1), (0, 2), (0, 3), (0, 4), (1, 2), (1, 3), (1, 4), (3, 4)}
+
+    live = t([("m", 0, 7), ("m", 2, 7), ("m", 1, 8), ("n", 0, 7)], "method string, block long, slot long")
+    assert sorted(map(tuple, dataflow.intervals(live, spans).collect())) == [("m", 7, 0, 3), ("m", 8, 2, 2), ("n", 7, 0, 0)]
+
+    # A diamond with a loop back: both arms define slot 1, which the join uses; slot 2 is dead there.
+    edges = t([(1, 0, 1), (1, 0, 2), (1, 1, 3), (1, 2, 3), (1, 3, 0), (1, 3, 4)], "method long, src long, dst long")
+    facts = t([(1, 1, 1, "def"), (1, 2, 1, "def"), (1, 3, 1, "use"), (1, 1, 2, "def")], "method long, block long, slot long, kind string")
+    found = dataflow.phis(dataflow.frontiers(edges), dataflow.liveness(edges, facts), facts)
+    assert sorted(map(tuple, found.collect())) == [(1, 3, 1)]
+
+
+def test_strong_components_behind_a_chain(spark):
+    chain = [(k, k + 1) for k in range(12)] + [(12, 13), (13, 14), (14, 12), (14, 20), (30, 31), (31, 30)]
+    edges = spark.createDataFrame(chain, "src_id long, dst_id long")
+    assert {tuple(r) for r in graph.strong_components(edges).collect()} == {(12, 12), (13, 12), (14, 12), (30, 30), (31, 30)}
+    with pytest.raises(RuntimeError, match="did not settle"):
+        graph.strong_components(edges, rounds=3)
+
+
+def test_smallest_owner_and_running_totals(spark):
+    hits = spark.createDataFrame([(5, 10, "a"), (5, 4, "b"), (6, 4, "b")], "pc int, width int, owner string")
+    assert sorted(map(tuple, lookups.smallest_owner(hits, ["pc"], ["width", "owner"], "owner").collect())) == [(5, "b"), (6, "b")]
+    rows = spark.range(1000).select("id", (F.col("id") % 7).alias("v"))
+    got = graph.running_total(rows, ["id"], "v", "total").orderBy("id").collect()
+    assert [r["total"] for r in got] == list(itertools.accumulate(k % 7 for k in range(1000)))
+
+
+def test_counts_of_aliases_stay_free_of_taken_numbers(spark):
+    ids = [f"Lp/C{k};" for k in range(6)] + [f"Lp/C;->f{k}:I" for k in range(5)]
+    rows = [(i, "a") for i in ids] + [("Lx;", "Class_2"), ("Ly;", "Class_3"), ("Lz;", "Class_7"), ("Lq;", "field_1"), ("Lr;", "method_1"), ("Ls;", "Class_02")]
+    got = references.deobfuscate(spark.createDataFrame(rows, "id string, name string"), spark.createDataFrame([], "id string, alias string"))
+    alias = {r["id"]: r["alias"] for r in got.collect()}
+    assert [alias[i] for i in ids] == ["Class_1", "Class_4", "Class_5", "Class_6", "Class_8", "Class_9", "field_2", "field_3", "field_4", "field_5", "field_6"]

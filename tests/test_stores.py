@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from quarrylens import storage
 from quarrylens.operators import references
 from quarrylens.sources import snapshot
 from quarrylens.sources.warehouse import Warehouse
@@ -108,3 +109,9 @@ def test_keyed_state_restarts_in_the_middle_of_a_batch(spark, sf_dir, tmp_path):
     got = references.latest(spark.read.parquet(out), "user_id", "batch").select("user_id", "event_id", "event_type")
     want = last_writer(events, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    path = storage.materialise(spark.range(3), "tmp").inputFiles()[0].removeprefix("file://")
+    assert Path(path).exists() and storage.clear(spark) >= 1 and not Path(path).exists()
+    assert storage.clear(spark) == 0
