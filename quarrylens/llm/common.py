@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylens.storage import materialise
 
-__all__ = ["ascii_lower", "chunks", "connected_components", "hash_pair", "held_out", "keep_without", "kept", "materialise", "release", "releasing", "sample_per_class", "sliced", "small_or_plain", "table"]
+__all__ = ["arrow_rows", "ascii_lower", "chunks", "connected_components", "hash_pair", "held_out", "keep_without", "kept", "materialise", "release", "releasing", "sample_per_class", "sliced", "small_or_plain", "table"]
 #: Ids up to this many rows may be broadcast (16 bytes each); beyond it the joins shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -105,6 +105,18 @@ def kept(key, make):
     return _KEPT[key]
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int = 1024):
+    """Arrow batches of n rows for what runs inside: with long texts the usual 10,000 fill both sides of every task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release() -> None:
     """Give freed memory back to the system. A worker lives on beside the JVM and the next stage's workers, and the allocators keep what arrays have left."""
     gc.collect()
