@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarrylens.llm.common import connected_components, materialise, release, releasing, sliced, small_or_plain, table
+from quarrylens.llm.common import arrow_rows, connected_components, materialise, release, releasing, sliced, small_or_plain, table
 
 WORDS, NUM, DEN = 5, 3, 4  # shingle length; similarity >= NUM / DEN
 BITS = 4
@@ -492,7 +492,12 @@ def verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs."""
+    """(doc_id, n_shingles, component_id) of each row of docs. All Arrow tasks have run when it returns."""
+    with arrow_rows(docs.sparkSession):
+        return _components(docs)
+
+
+def _components(docs: DataFrame) -> DataFrame:
     found = materialise(digests(docs), "digests")
     n_docs = found.count()
     sets = found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
