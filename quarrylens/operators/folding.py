@@ -10,11 +10,15 @@ takes part; a value beyond MAX_CHARS, or an expression whose tree has made more
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from quarrylens.storage import materialise
 
 MAX_CHARS, BUDGET, MAX_OPERANDS = 65_536, 100_000, 1024
+#: Values found in a round up to which they may be broadcast, by rows and by bytes of their texts.
+FEW_ROWS, FEW_BYTES = 50_000, 4_000_000
 
 
 def folded(expressions: DataFrame, operands: DataFrame, max_chars: int = MAX_CHARS, budget: int = BUDGET) -> DataFrame:
@@ -22,24 +26,28 @@ def folded(expressions: DataFrame, operands: DataFrame, max_chars: int = MAX_CHA
     literal = expressions.where(F.col("op").isin("string", "int", "char"))
     ascii_only = (F.col("op") != "string") | (F.octet_length("text") == F.char_length("text"))
     known = literal.select("id", F.when(F.col("op") == "string", F.col("text")).alias("text"), F.when(F.col("op") != "string", F.col("number")).alias("number"), F.lit(0).cast("long").alias("cost"), F.when(~F.coalesce(ascii_only, F.lit(False)), "not ASCII").alias("error"))
-    known = frontier = materialise(known, "known")
+    frontier, found, pending = materialise(known, "known"), [], None
+    # Rows are many and texts long however small the files are that hold them, so no side is broadcast by the size of its files.
     arity = operands.groupBy("id").agg(F.count(F.lit(1)).alias("arity"))
-    work = expressions.where(F.col("op").isin("concat", "substring", "replace", "chars")).select("id", "op").join(arity, "id")
-    work = materialise(work, "work")
-    filled = None
+    work = expressions.where(F.col("op").isin("concat", "substring", "replace", "chars")).select("id", "op")
+    # An expression has MAX_OPERANDS operands at most, so its list is bounded.
+    work = work.join(arity.where(F.col("arity") <= MAX_OPERANDS).hint("merge"), "id")
+    wanted = materialise(operands.join(work.hint("merge"), "id").select("id", "op", "arity", "place", "operand"), "wanted")
     while True:
+        found.append(frontier.select("id", "text", "number", "error"))
         ready = frontier.where("error is null").select(F.col("id").alias("operand"), "text", "number", "cost")
-        new = materialise(operands.join(ready, "operand").select("id", "place", "text", "number", "cost"), "filled")
-        if not new.limit(1).count():
-            return known.select("id", "text", "number", "error")
-        filled = new if filled is None else materialise(filled.unionByName(new), "filled")
-        touched = new.select("id").distinct()
-        rows = filled.join(touched, "id", "left_semi").join(work, "id")
-        # An expression has MAX_OPERANDS operands at most, so its list is bounded.
-        rows = rows.where(F.col("arity") <= MAX_OPERANDS).groupBy("id", "op", "arity").agg(F.sort_array(F.collect_list(F.struct("place", "text", "number"))).alias("a"), F.sum("cost").alias("spent"))
-        rows = rows.where(F.size("a") == F.col("arity")).select("id", "op", "a", "spent", *[F.get("a", F.lit(k))[f].alias(f"{f[0]}{k}") for k in range(3) for f in ("text", "number")], "arity")
+        n, size = ready.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        if not n:
+            return reduce(DataFrame.unionByName, found)
+        ready = ready.hint("broadcast" if n <= FEW_ROWS and size <= FEW_BYTES else "merge")
+        new = wanted.join(ready, "operand").select("id", "op", "arity", F.array(F.struct("place", "text", "number")).alias("a"), F.col("cost").alias("spent"))
+        rows = new if pending is None else new.unionByName(pending)
+        rows = rows.groupBy("id", "op", "arity").agg(F.sort_array(F.flatten(F.collect_list("a"))).alias("a"), F.sum("spent").alias("spent"))
+        # Only what lacks an operand goes through the next round again.
+        rows = materialise(rows.withColumn("done", F.size("a") == F.col("arity")), "filled")
+        pending = rows.where("not done").drop("done")
+        rows = rows.where("done").select("id", "op", "a", "spent", *[F.get("a", F.lit(k))[f].alias(f"{f[0]}{k}") for k in range(3) for f in ("text", "number")], "arity")
         frontier = materialise(evaluated(rows, max_chars, budget), "known")
-        known = materialise(known.unionByName(frontier), "known")
 
 
 def evaluated(rows: DataFrame, max_chars: int, budget: int) -> DataFrame:

@@ -192,6 +192,24 @@ def test_folding_of_deep_expressions_and_errors(spark):
     assert folding.folded(exprs.where("false"), args.where("false")).count() == 0
 
 
+def test_folding_broadcasts_no_texts_by_the_size_of_their_files(spark, monkeypatch):
+    """Doubled texts take little room in files and much in memory; the driver must not gather them."""
+    plans, write = [], folding.materialise
+
+    def spied(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(folding, "materialise", spied)
+    monkeypatch.setattr(folding, "FEW_ROWS", 0, raising=False)
+    n = 12
+    exprs = spark.createDataFrame([(0, "string", "ab", None)] + [(k, "concat", None, None) for k in range(1, n)], "id long, op string, text string, number long")
+    args = spark.createDataFrame([(k, p, k - 1) for k in range(1, n) for p in (0, 1)], "id long, place int, operand long")
+    got = {r["id"]: r["text"] for r in folding.folded(exprs, args).collect()}
+    assert got == {k: "ab" * 2**k for k in range(n)}
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 # --- call sites, references
 
 
