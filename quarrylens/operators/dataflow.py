@@ -244,12 +244,17 @@ def phis(front: DataFrame, live: DataFrame, facts: DataFrame) -> DataFrame:
     """
     from quarrylens.storage import materialise
 
+    # Written before the rounds, so that none goes through the methods again.
+    live = materialise(live.select("method", "block", "slot", "live_in", "live_out"), "live")
+    front = materialise(front.select("method", "block", "frontier"), "frontiers")
     use = live.where("live_in").select("method", F.col("block").alias("frontier"), "slot")
     out = live.where("live_out").select("method", "block", "slot")
     work = facts.where("kind = 'def'").select("method", "block", "slot").distinct()
+    # A place follows from a definition or a place before it, wherever both are live; the rounds only look at these pairs.
+    ways = materialise(out.join(front, ["method", "block"]).join(use, ["method", "frontier", "slot"], "left_semi").select("method", "block", "slot", "frontier").distinct(), "ways")
     found = None
     while True:
-        step = work.join(out, ["method", "block", "slot"], "left_semi").join(front, ["method", "block"]).join(use, ["method", "frontier", "slot"], "left_semi").select("method", F.col("frontier").alias("block"), "slot").distinct()
+        step = work.join(ways, ["method", "block", "slot"]).select("method", F.col("frontier").alias("block"), "slot").distinct()
         step = materialise(step if found is None else step.join(found, ["method", "block", "slot"], "left_anti"), "phis")
         if not step.limit(1).count():
             return step if found is None else found

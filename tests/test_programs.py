@@ -301,3 +301,21 @@ def test_counts_of_aliases_stay_free_of_taken_numbers(spark):
     got = references.deobfuscate(spark.createDataFrame(rows, "id string, name string"), spark.createDataFrame([], "id string, alias string"))
     alias = {r["id"]: r["alias"] for r in got.collect()}
     assert [alias[i] for i in ids] == ["Class_1", "Class_4", "Class_5", "Class_6", "Class_8", "Class_9", "field_2", "field_3", "field_4", "field_5", "field_6"]
+
+
+def test_phis_go_through_the_methods_once(spark):
+    """Frontiers and liveness are worked out once, however many rounds the places take."""
+    rows = [(1, b, 0, True, True) for b in range(6)]
+    live = spark.createDataFrame(rows, "method long, block long, slot long, live_in boolean, live_out boolean").coalesce(1)
+    front = spark.createDataFrame([(1, b, b + 1) for b in range(5)], "method long, block long, frontier long").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    counting = [df.mapInPandas(counted, df.schema) for df in (front, live)]
+    found = dataflow.phis(*counting, spark.createDataFrame([(1, 0, 0, "def")], "method long, block long, slot long, kind string"))
+    assert sorted(r["block"] for r in found.collect()) == [1, 2, 3, 4, 5]
+    assert seen.value == len(rows) + 5
