@@ -186,3 +186,11 @@ def test_components_of_the_whole_table(spark, sf_dir, con):
         a, b = root(a), root(b)
         up[max(a, b)] = min(a, b)
     assert {tuple(r) for r in catalog.QUERIES["components"](spark, sf_dir).collect()} == {(n, root(n)) for n in up}
+
+
+def test_setops_except_takes_away_the_parts_of_discounted_lines(spark, tmp_path):
+    """On the standard tables every part has such a line; here two have none."""
+    spark.range(1, 6).toDF("p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 0.06), (2, 0.05), (3, 0.1), (3, 0.0), (5, 0.07)], "l_partkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 3).toDF("s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert sorted(r[0] for r in catalog.QUERIES["setops_except"](spark, str(tmp_path)).collect()) == [2, 4]
