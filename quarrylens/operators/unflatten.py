@@ -1,8 +1,8 @@
 """Undoing of flattened control flow: edges into a dispatcher whose state is known go straight to its arm.
 
 A flattened method keeps its next block in a slot: blocks store a constant there and jump to a dispatcher, which compares the slot. What
-a slot can hold where a block begins is a fixpoint over (method, slot, block, value), each round one join of the newly found states with effects, arms and edges by
-(method, slot, block); a method is spread over as many tasks as it has blocks. Dispatchers with a known state pass it on along the
+a slot can hold where a block begins is a fixpoint over (method, slot, block, value), each step one join of the newly found states with what is known of their block by
+(method, slot, block): its store, its list of arms and its ends; a method is spread over as many tasks as it has blocks. Dispatchers with a known state pass it on along the
 arm that it selects only, which is what tells the states apart.
 
 edges: (method, src, dst), for blocks that are no dispatchers. effects: (method, block, slot, value), the last store of a block, null if it isn't constant. arms: (method,
@@ -22,6 +22,8 @@ from quarrylens.storage import materialise
 KEYS = ["method", "slot", "block"]
 #: Steps of a round: fewer rounds are fewer tables to write, at the price of longer plans.
 HOPS = 2
+#: States up to which a round broadcasts them.
+FEW_ROWS = 50_000
 
 
 def holds(op: Column, value: Column, operand: Column) -> Column:
@@ -38,44 +40,52 @@ def after(states: DataFrame, effects: DataFrame) -> DataFrame:
     return states.join(own, KEYS, "left").withColumn("value", F.when(F.col("stores"), F.col("stored")).otherwise(F.col("value"))).drop("stored", "stores")
 
 
-def selected(states: DataFrame, arms: DataFrame) -> DataFrame:
-    """(method, slot, block, value, target) of known states at dispatchers on their slot: the arm that is taken.
+def hubs_of(arms: DataFrame) -> DataFrame:
+    """(method, slot, block, hub): each dispatcher's arms as a list in order of rank, as long as its code."""
+    return arms.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("rank", "op", "operand", "target"))).alias("hub"))
 
-    Arms for one value are found by it, so a dispatcher of many arms costs a lookup a state; only ranges and `else` are gone through.
-    """
-    known = states.where("value is not null").select(*KEYS, "value")
-    one = arms.where("op = 'eq'").select(*KEYS, F.col("operand").alias("value"), "rank", "target")
-    others = known.join(arms.where("op <> 'eq'"), KEYS).where(holds(F.col("op"), F.col("value"), F.col("operand")))
-    rows = known.join(one, [*KEYS, "value"]).select(*KEYS, "value", "rank", "target").unionByName(others.select(*KEYS, "value", "rank", "target"))
-    return rows.groupBy(*KEYS, "value").agg(F.min_by("target", "rank").alias("target"))
+
+def taken(hub: Column, value: Column) -> Column:
+    """The target of the arm that a known value takes; null for an unknown one, and where no arm holds."""
+    return F.when(value.isNotNull(), F.get(F.filter(hub, lambda x: holds(x["op"], value, x["operand"])), 0)["target"])
 
 
 def reach(start: DataFrame, step: Callable[[DataFrame], DataFrame], same: Callable[[DataFrame, DataFrame], Column], tag: str) -> DataFrame:
-    """All rows that steps lead to from start; a round takes HOPS steps, writes what is new and goes on from that."""
+    """All rows that steps lead to from start; a round takes HOPS steps, writes what is new and goes on from that.
+
+    Rows are many however small the files are that hold them, so only counted ones are broadcast.
+    """
     found = frontier = materialise(start.distinct(), tag)
-    while frontier.limit(1).count():
-        hops = [frontier]
+    total = n = frontier.count()
+    while n:
+        hops = [F.broadcast(frontier) if n <= FEW_ROWS else frontier.hint("merge")]
         for _ in range(HOPS):
-            hops.append(step(hops[-1]).distinct())
+            to = step(hops[-1]).distinct()
+            hops.append(to if n <= FEW_ROWS else to.hint("merge"))
         new = reduce(DataFrame.unionByName, hops[1:]).distinct()
         old = found.select(*[F.col(c).alias(f"__{c}") for c in found.columns])
-        frontier = materialise(new.join(old, same(new, old), "left_anti"), tag)
-        found = found.unionByName(frontier)
+        frontier = materialise(new.join(F.broadcast(old) if total <= FEW_ROWS else old.hint("merge"), same(new, old), "left_anti"), tag)
+        found, n = found.unionByName(frontier), frontier.count()
+        total += n
     return materialise(found, tag)
 
 
 def states(edges: DataFrame, effects: DataFrame, arms: DataFrame, entries: DataFrame) -> DataFrame:
     """(method, slot, block, value): all values, null for unknown, that a dispatched slot can have where a block begins."""
     slots = arms.select("method", "slot").distinct()
-    on_slot = arms.select(*KEYS).distinct().withColumn("dispatches", F.lit(True))
-    onward = edges.select("method", F.col("src").alias("block"), F.col("dst").alias("target")).unionByName(arms.select("method", "block", "target")).distinct()
-    effects, on_slot, onward = materialise(effects, "effects"), materialise(on_slot, "hubs"), materialise(onward, "onward")
+    onward = edges.select("method", F.col("src").alias("block"), F.col("dst").alias("target")).unionByName(arms.select("method", "block", "target"))
+    onward = onward.groupBy("method", "block").agg(F.collect_set("target").alias("onward"))
+    # One row says all of a block that a step asks for: what it stores, its arms, where it may go.
+    own = effects.select(*KEYS, F.col("value").alias("stored"), F.lit(True).alias("stores"))
+    ways = onward.join(slots, "method").join(own, KEYS, "left").join(hubs_of(arms), KEYS, "left")
+    ways = materialise(ways.select(*KEYS, "stored", "stores", "hub", "onward"), "ways")
 
     def step(at: DataFrame) -> DataFrame:
-        ends = after(at, effects)
-        known = selected(ends, arms).select("method", "slot", F.col("target").alias("block"), "value")
-        blind = ends.join(on_slot, KEYS, "left").where("dispatches is null or value is null").join(onward, ["method", "block"])
-        return known.unionByName(blind.select("method", "slot", F.col("target").alias("block"), "value"))
+        end = F.when(F.col("stores"), F.col("stored")).otherwise(F.col("value"))
+        rows = at.join(ways, KEYS).select("method", "slot", end.alias("value"), "hub", "onward")
+        arm = F.filter(F.array(taken(F.col("hub"), F.col("value"))), lambda x: x.isNotNull())
+        to = F.when(F.col("hub").isNotNull() & F.col("value").isNotNull(), arm).otherwise(F.col("onward"))
+        return rows.select("method", "slot", F.explode(to).alias("block"), "value")
 
     same = lambda a, b: (a["method"] == b["__method"]) & (a["slot"] == b["__slot"]) & (a["block"] == b["__block"]) & a["value"].eqNullSafe(b["__value"])
     start = entries.join(slots, "method").select("method", "slot", "block", F.lit(None).cast("long").alias("value"))
@@ -89,19 +99,17 @@ def redirected(edges: DataFrame, effects: DataFrame, arms: DataFrame, entries: D
     that holds itself becomes a plain block.
     """
     found = states(edges, effects, arms, entries)
-    ends = materialise(after(found, effects), "ends").withColumnRenamed("block", "src")
-    into = edges.join(arms.select("method", "slot", F.col("block").alias("dst")).distinct(), ["method", "dst"])
-    at = ends.join(into, ["method", "slot", "src"]).select("method", "slot", F.col("dst").alias("block"), "value", "src")
-    taken = selected(at, arms).select("method", "slot", F.col("block").alias("dst"), F.col("value").alias("v"), "target")
-    one = at.alias("a").join(taken.alias("t"), [F.col("a.method") == F.col("t.method"), F.col("a.slot") == F.col("t.slot"), F.col("a.block") == F.col("t.dst"), F.col("a.value") == F.col("t.v")], "left")
-    one = one.groupBy(F.col("a.method").alias("method"), F.col("a.src").alias("src"), F.col("a.block").alias("dst")).agg(F.count_distinct("target").alias("n"), F.max("target").alias("to"), F.bool_or(F.col("target").isNull()).alias("open"))
-    one = materialise(one.where("n = 1 and not open and to <> dst").select("method", "src", "dst", "to"), "redirected")
+    hubs = materialise(hubs_of(arms), "hubs")
+    one_target = [F.min("target").alias("least"), F.max("target").alias("to"), F.bool_or(F.col("target").isNull()).alias("open")]
+    ends = after(found, effects).withColumnRenamed("block", "src")
+    into = edges.join(hubs.withColumnRenamed("block", "dst"), ["method", "dst"])
+    one = ends.join(into.hint("merge"), ["method", "slot", "src"]).select("method", "src", "dst", taken(F.col("hub"), F.col("value")).alias("target"))
+    one = one.groupBy("method", "src", "dst").agg(*one_target)
+    one = materialise(one.where("least = to and not open and to <> dst").select("method", "src", "dst", "to"), "redirected")
     new = edges.join(one, ["method", "src", "dst"], "left").select("method", "src", F.coalesce("to", "dst").alias("dst"), F.when(F.col("to").isNotNull(), F.col("dst")).alias("was"))
 
-    fixed = selected(found, arms)
-    here = found.join(arms.select(*KEYS).distinct(), KEYS)
-    here = here.join(fixed, [*KEYS, "value"], "left").groupBy(*KEYS).agg(F.count_distinct("target").alias("n"), F.max("target").alias("to"), F.bool_or(F.col("target").isNull()).alias("open"))
-    plain = materialise(here.where("n = 1 and not open").select("method", "block", "to"), "plain")
+    here = found.join(hubs, KEYS).select("method", "slot", "block", taken(F.col("hub"), F.col("value")).alias("target")).groupBy(*KEYS).agg(*one_target)
+    plain = materialise(here.where("least = to and not open").select("method", "block", "to"), "plain")
     new = new.unionByName(plain.select("method", F.col("block").alias("src"), F.col("to").alias("dst"), F.lit(None).cast(edges.schema["dst"].dataType).alias("was")))
     return materialise(new.distinct(), "edges"), materialise(arms.join(plain, ["method", "block"], "left_anti"), "arms")
 
@@ -111,6 +119,8 @@ def unflattened(edges: DataFrame, effects: DataFrame, arms: DataFrame, entries:
 
     Passes go on until none changes anything, so dispatchers behind dispatchers are seen through; more than `passes` raise.
     """
+    # The tables are asked for in every pass; what makes them runs once.
+    edges, effects, arms, entries = (materialise(x, tag) for x, tag in ((edges, "edges"), (effects, "effects"), (arms, "arms"), (entries, "entries")))
     moved, closed, closed_arms = [], [], []
     for _ in range(passes):
         now, arms = redirected(edges, effects, arms, entries)

@@ -176,6 +176,24 @@ def test_unflattening_of_random_methods(spark):
     assert any(k == "redirected" for s in got.values() for *_, k in s)
 
 
+def test_a_round_of_unflattening_joins_each_hop_once(spark, monkeypatch):
+    plans, write = [], unflatten.materialise
+
+    def spied(df, tag):
+        if tag == "states":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(unflatten, "materialise", spied)
+    edges = spark.createDataFrame([(1, 0, 100), (1, 2, 100)], "method long, src long, dst long")
+    effects = spark.createDataFrame([(1, 0, 0, 5)], "method long, block long, slot int, value long")
+    arms = spark.createDataFrame([(1, 100, 0, 0, "eq", 5, 2), (1, 100, 0, 9, "else", None, 1)], "method long, block long, slot int, rank int, op string, operand long, target long")
+    got = unflatten.unflattened(edges, effects, arms, spark.createDataFrame([(1, 0)], "method long, block long"))
+    assert {(r["src"], r["dst"], r["kind"]) for r in got.collect()} == {(0, 2, "redirected"), (2, 2, "redirected")}
+    # Each hop looks at what led to it; the found states are taken away from each hop's.
+    assert max(p.count("Join ") for p in plans) <= unflatten.HOPS * (unflatten.HOPS + 1) // 2 + unflatten.HOPS
+
+
 # --- folding
 
 
