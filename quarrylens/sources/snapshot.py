@@ -29,7 +29,8 @@ def write(index: DataFrame, path: str, block_rows: int = BLOCK_ROWS) -> None:
     members = [c for c in index.columns if c not in DIRECTORY or c == "name"]
     for part, columns in (("directory", [c for c in DIRECTORY if c in index.columns]), ("members", members)):
         rows.select(columns).write.option("maxRecordsPerFile", block_rows).parquet(f"{path}/{part}")
-    digests(index.sparkSession, path).coalesce(1).write.parquet(f"{path}/blocks")
+    # Digests are worked out where the blocks are read; only their rows meet.
+    digests(index.sparkSession, path).repartition(1).write.parquet(f"{path}/blocks")
 
 
 def damage(spark: SparkSession, path: str, part: str | None = None) -> DataFrame:

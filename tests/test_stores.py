@@ -115,3 +115,15 @@ def test_intermediate_tables_can_be_cleared(spark):
     path = storage.materialise(spark.range(3), "tmp").inputFiles()[0].removeprefix("file://")
     assert Path(path).exists() and storage.clear(spark) >= 1 and not Path(path).exists()
     assert storage.clear(spark) == 0
+
+
+def test_snapshot_blocks_are_digested_by_several_tasks(spark, tmp_path):
+    """Only the digests' rows go to one task, not the blocks."""
+    path, tasks = str(tmp_path / "s"), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("snapshot", "snapshot")
+    snapshot.write(spark.range(4000).select(F.format_string("c%05d", "id").alias("name"), F.lit("class").alias("kind"), F.lit(0).alias("flags"), (F.col("id") < 0).alias("inner"), F.array("id").alias("methods")), path, 100)
+    stages = [tasks.getStageInfo(s) for j in tasks.getJobIdsForGroup("snapshot") for s in tasks.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    newest = max((s for s in stages if s and s.numTasks), key=lambda s: s.stageId)
+    before = [s for s in stages if s and s.stageId == newest.stageId - 1]
+    assert newest.numTasks == 1 and before and before[0].numTasks > 1
