@@ -5,7 +5,7 @@ they always count. Loose generators propose further, overlapping spans, also of
 has a handful of discrete format and context features. Its label comes from what the features don't show and the base patterns can't see: a mail address
 whose last part is a known top-level domain once (at), [dot] and spaces are written out, an address whose four parts are in range, a checksum over the digits however
 they are grouped, a telephone number named as one or with a leading plus, a secret to which a name such as token or password is set. Counting the
-proposals of a bounded sample of documents (about FIT_ROWS rows, by hash) by their features gives a table of bounded size (LEVELS), on which boosted two-level trees are fitted. Every
+proposals of all documents by their features gives a table of bounded size (LEVELS), on which boosted two-level trees are fitted. Every
 kind has its own threshold: the lowest score from which PRECISION of the proposals are labelled 1, counted on a fifth of the texts that the
 trees have not seen (on all where that fifth has less than FEW of the label). Trees and thresholds go back into the query as an
 expression; proposals that reach theirs, touch no base span (a secret may) and lose to no better overlapping proposal are added.
@@ -47,8 +47,6 @@ LOOSE = {
 #: Feature names with their numbers of levels; their product bounds the table the trees are fitted on.
 LEVELS = {"kind": 5, "digits": 8, "sep": 6, "left": 5, "right": 5, "cue": 2, "groups": 5, "letters": 4, "form": 3}
 ROUNDS, RATE, PRECISION, FEW = 30, 0.3, 0.95, 20
-#: Rows whose proposals are counted for the fit, about; all of them where there are fewer.
-FIT_ROWS = 4000
 # Top-level domains that make a written-out mail address one.
 DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|dev|app|co|eu|de|fr|es|it|pt|nl|be|at|ch|uk|ie|us|ca|mx|br|ar|au|nz|jp|cn|in|ru|pl|cz|se|no|fi|dk"
 CUE = r"(?i)(?:mail|contact|tel|phone|call|fax|mobil|card|visa|iban|host|server|addr)[^\n]{0,12}\z"
@@ -238,13 +236,7 @@ Model = tuple  # (trees, thresholds by kind)
 
 
 def fit(docs: DataFrame) -> Model:
-    """Count the proposals of a sample of rows by their features, boost on the counts of four fifths of the texts, set the thresholds on the others.
-
-    Rows are drawn by a hash of all their plain columns, so that of many copies of a text not all come in.
-    """
-    plain = [F.col(c) for c, t in docs.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
-    share = min(1.0, FIT_ROWS / max(1, docs.count()))
-    docs = docs.where(F.pmod(F.xxhash64(*plain), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else docs
+    """Count the proposals of all rows by their features, boost on the counts of four fifths of the texts, set the thresholds on the others."""
     # explode() would put a filter on the proposals below itself, which works them all out once more.
     rows = docs.select("text", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held"))
     rows = with_proposals(with_base(rows)).select("held", F.explode_outer("__props").alias("p")).where("p is not null")

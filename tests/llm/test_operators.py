@@ -225,6 +225,15 @@ def test_op4_trees_thresholds_and_added_spans(spark):
     assert limits[4] < max(r["score"] for r in cells if r["kind"] == 4)
 
 
+def test_op4_counts_the_proposals_of_all_rows(spark, monkeypatch):
+    counted, boost = [], pii.boost
+    monkeypatch.setattr(pii, "boost", lambda cells: counted.append(sum(c[1] for c in cells)) or boost(cells))
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("tel 0211 555 "), F.col("id") + 10_000).alias("text"))
+    rows = pii.with_proposals(pii.with_base(docs)).where(F.pmod(F.xxhash64("text"), F.lit(5)) != 0)
+    pii.fit(docs)
+    assert counted == [rows.agg(F.sum(F.size("__props"))).first()[0]] and counted[0] > 4500
+
+
 def test_op4_finds_what_the_base_patterns_cannot_see(spark):
     """Mail addresses written out, cards with dots, telephone numbers without a plus and secrets; plain numbers and words stay."""
     rng = np.random.default_rng(4)
