@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import groupby
 from math import exp, lgamma, log
 from zlib import crc32
 
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarrylens.llm.common import chunks, held_out, releasing, sample_per_class, sliced, table
+from quarrylens.llm.common import chunks, held_out, release, releasing, sample_per_class, sliced, table
 
 FIT_DOCS = 2000
 FIT_CHARS = 20_000
@@ -207,13 +208,14 @@ def fit(texts: list[str], labels: list[int], rounds: int = 60) -> Crf:
     if not n1 or not n0:
         return empty
     group = copies(texts)  # a group of copies counts once, or its ordinary words would mark its label
-    of: dict[tuple[int, int], set[str]] = {}
-    for t, k, g in zip(texts, y, group, strict=True):
-        found = of.setdefault((int(k), g), set())
-        for w in {core(w) for w in t.split()}:
-            found |= {w, stem(w)}
     seen, docs = (Counter(), Counter()), [0, 0]
-    for (k, _), found in of.items():
+    # One group's words at a time: the words of all texts together take many times the memory of the texts.
+    order = sorted(range(len(texts)), key=lambda i: (y[i], group[i]))
+    for (k, _), members in groupby(order, key=lambda i: (int(y[i]), group[i])):
+        found: set[str] = set()
+        for i in members:
+            for w in {core(w) for w in texts[i].split()}:
+                found |= {w, stem(w)}
         docs[k] += 1
         seen[k].update(found - {""})
     marks, share = set(), docs[1] / (docs[0] + docs[1])
@@ -300,7 +302,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, train) -> Crf:
     picked = sample_per_class(known.where(train), "__toxic", FIT_DOCS)
     rows = docs.where(F.length("text") <= FIT_CHARS).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "__toxic")
     rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["__toxic"] for r in rows])
+    texts, marks = [r["text"] for r in rows], [r["__toxic"] for r in rows]
+    del rows
+    model = fit(texts, marks)
+    del texts
+    release()  # the driver goes on after the fit, and would keep what the sample has taken
+    return model
 
 
 def score(docs: DataFrame, model: Crf) -> DataFrame:
