@@ -4,11 +4,13 @@ Lines that hold a licence cue are tokenised and compared with each template's TF
 once a line; the best cosine of at least MIN_COSINE is the file's own licence. Before that, the whole text of a file named like a licence, and the leading
 comment block (or first paragraph) of any other, is compared as one with the full licence texts and standard headers in license_texts; a
 cosine of at least BODY_COSINE goes before the lines. 'Proprietary' counts only where no other template matches. Only a file named like a licence
-speaks for its directory, whatever other files say of themselves. A file without a licence of its own takes that of the nearest ancestor
-directory that has one, by joins on directory paths.
+speaks for its directory, whatever other files say of themselves. Documents have numbers for names: there a licence file is a text that is a
+licence's full text and next to nothing else (its words are compared one by one with those of the nearest full text). A file without a licence of
+its own takes that of the nearest ancestor directory that has one, by joins on directory paths.
 
 Defined cases: null or empty text has no licence of its own; a null path inherits nothing; of two equal cosines the first template
-in order counts; lines of any length are compared whole; of several licence files in a directory the best cosine, then the smallest path; repeated rows count one by one.
+in order counts; lines of any length are compared whole; of several licence files in a directory the best cosine, then the first template; repeated rows count one by one. A document without a source stands in no
+directory, one without a lang directly in its source's.
 """
 
 from __future__ import annotations
@@ -43,6 +45,11 @@ FILE_NAME = r"(?i)^(?:licen[sc]e|copying|notice|unlicense)(?:\.[a-z]+)?$"
 MIN_COSINE = 0.6
 BODY_CUE = r"(?i)licen[sc]|permi|redistribut|warrant|public domain|copyright"
 BODY_COSINE = 0.75
+# A full text: this share of the licence's words stands in it, and this share of its words in the licence; lines of holders left out.
+FULL_SHARE, ONLY_SHARE = 0.85, 0.95
+HOLDER = r"(?im)^[^\w\n]*(?:copyright\s*(?:\(c\)|©|[0-9]{4}|[<\[{])|(?:\(c\)|©)\s*[0-9]{4}|all rights reserved[^\w\n]*$).*$"
+#: Directories up to this many may be broadcast with their paths and licences.
+BROADCAST_DIRECTORIES = 200_000
 COMMENT = r"\s*(?:#|//|/\*|\*|--|;|%|<!--|\"\"\"|'''|REM\b|$)"
 TOKEN = r"[a-z]+(?:-[a-z]+)*|[0-9]+(?:\.[0-9]+)*"
 
@@ -75,10 +82,33 @@ def statements() -> Templates:
     return Templates(list(TEMPLATES.items()))
 
 
+def body_files() -> list[Path]:
+    return sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+
+
 def bodies() -> Templates:
     """The full texts and standard headers, in order of file name."""
-    paths = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
-    return Templates([(p.name.removesuffix(".txt").removesuffix(".header"), p.read_text()) for p in paths])
+    return Templates([(p.name.removesuffix(".txt").removesuffix(".header"), p.read_text()) for p in body_files()])
+
+
+def without_holders(text: str) -> Counter:
+    return Counter(tokens(re.sub(HOLDER, "", text)))
+
+
+def full_texts() -> list[Counter | None]:
+    """For each of bodies the words of a full text; None for a header."""
+    return [None if p.name.endswith(".header.txt") else without_holders(p.read_text()) for p in body_files()]
+
+
+def is_full_text(text: str, whole: Templates, full: list[Counter | None]) -> bool:
+    """Whether a text is a licence's full text and next to nothing else."""
+    found = whole.best(tokens(text)) if re.search(BODY_CUE, text) else None
+    wanted = full[-found[1]] if found and found[0] >= BODY_COSINE else None
+    if wanted is None:
+        return False
+    words = without_holders(text)
+    common = (words & wanted).total()
+    return common >= FULL_SHARE * wanted.total() and common >= ONLY_SHARE * words.total()
 
 
 def header(text: str) -> str:
@@ -99,7 +129,7 @@ def header(text: str) -> str:
 
 
 def own_license(text: str, named: bool, lines: Templates, whole: Templates) -> tuple[float, int, str] | None:
-    """(cosine, order, licence) that a text states for itself; named: whether its file is named like a licence."""
+    """(cosine, order, licence) that a text states for itself; named: whether it is a licence file."""
     if re.search(BODY_CUE, text):
         found = whole.best(tokens(text if named else header(text)))
         if found and found[0] >= BODY_COSINE:
@@ -109,18 +139,26 @@ def own_license(text: str, named: bool, lines: Templates, whole: Templates) -> t
     return max([x for x in said if x[2] != "Proprietary"] or said, default=None)
 
 
-def own_licenses(files: DataFrame) -> DataFrame:
-    """files with __own: struct<cosine, order, license> or null. Texts without any cue never leave the JVM."""
-    lines, whole, own = statements(), bodies(), own_license
+def own_licenses(files: DataFrame, by_text: bool = False) -> DataFrame:
+    """files with __own: struct<cosine, order, license> or null, and __speaks: whether it is a licence file that has one.
+
+    Licence files are those named so, with by_text also those that are a full text. Texts without any cue never leave the JVM.
+    """
+    lines, whole, full, own, is_full = statements(), bodies(), full_texts(), own_license, is_full_text
 
-    @F.pandas_udf("cosine double, order int, license string")
+    @F.pandas_udf("cosine double, order int, license string, file boolean")
     def run(texts: pd.Series, named: pd.Series) -> pd.DataFrame:
-        found = [None if t is None else own(t, n, lines, whole) for t, n in zip(texts, named, strict=True)]
-        return pd.DataFrame([x or (None, None, None) for x in found], columns=["cosine", "order", "license"]).astype({"cosine": "Float64", "order": "Int32"})
+        out = []
+        for t, n in zip(texts, named, strict=True):
+            file = bool(n) or (by_text and t is not None and is_full(t, whole, full))
+            out.append((*((None if t is None else own(t, file, lines, whole)) or (None, None, None)), file))
+        return pd.DataFrame(out, columns=["cosine", "order", "license", "file"]).astype({"cosine": "Float64", "order": "Int32", "file": "bool"})
 
     named = F.coalesce(F.regexp_extract("path", "[^/]*$", 0).rlike(FILE_NAME), F.lit(False))
     found = run(F.when(F.col("text").rlike(f"{CUE}|{BODY_CUE}"), F.col("text")), named)
-    return files.withColumn("__found", found).withColumn("__own", F.when(F.col("__found.cosine").isNotNull(), F.col("__found"))).drop("__found")
+    has = F.col("__found.cosine").isNotNull()
+    own_part, file = F.struct("__found.cosine", "__found.order", "__found.license"), F.col("__found.file") if by_text else named
+    return files.withColumn("__found", found).withColumn("__own", F.when(has, own_part)).withColumn("__speaks", has & file).drop("__found")
 
 
 def directory(path: Column) -> Column:
@@ -136,15 +174,20 @@ def ancestors(d: Column) -> Column:
 def scan(files: DataFrame) -> DataFrame:
     """files (path, text, any others) with license, cosine, origin (own, inherited, none) and licensed_at (directory)."""
     kept = [c for c in files.columns if c not in ("license", "cosine", "origin", "licensed_at")]
-    rows = own_licenses(files.select(kept)).withColumn("__dir", directory(F.col("path")))
-    name = F.regexp_extract("path", "[^/]*$", 0)
-    speaks = rows.where(F.col("__own").isNotNull() & F.col("path").isNotNull() & name.rlike(FILE_NAME))
-    best = speaks.select("__dir", "path", "__own.*").groupBy("__dir").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", "order")).alias("w"))
-    best = materialise(best.select(F.array_join(F.filter(F.split("__dir", "/"), lambda p: p != ""), "/").alias("at"), "w.license", "w.cosine"), "licensed")
+    return inherit(own_licenses(files.select(kept)).withColumn("__dir", directory(F.col("path"))))
+
+
+def inherit(rows: DataFrame) -> DataFrame:
+    """rows of own_licenses with __dir (null: in no directory): license, cosine, origin and licensed_at instead of the columns with __."""
+    kept = [c for c in rows.columns if c not in ("__own", "__speaks", "__dir")]
+    speaks = rows.where(F.col("__speaks") & F.col("__dir").isNotNull())
+    at = F.array_join(F.filter(F.split("__dir", "/"), lambda p: p != ""), "/").alias("at")
+    best = speaks.select(at, "__own.*").groupBy("at").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", "order")).alias("w"))
+    best = materialise(best.select("at", "w.license", "w.cosine"), "licensed")
     steps = rows.select("__dir").where("__dir is not null").distinct().select("__dir", F.posexplode(ancestors(F.col("__dir"))).alias("depth", "at"))
-    near = steps.join(small_or_plain(best), "at").groupBy("__dir").agg(F.max_by(F.struct("at", "license", "cosine"), "depth").alias("up"))
+    near = steps.join(small_or_plain(best, BROADCAST_DIRECTORIES), "at").groupBy("__dir").agg(F.max_by(F.struct("at", "license", "cosine"), "depth").alias("up"))
     near = materialise(near.select(F.col("__dir").alias("__of"), "up"), "inherited")
-    out = rows.join(small_or_plain(near), F.col("__dir") == F.col("__of"), "left")
+    out = rows.join(small_or_plain(near, BROADCAST_DIRECTORIES), F.col("__dir") == F.col("__of"), "left")
     own = F.col("__own").isNotNull()
     return out.select(
         *kept,
@@ -156,6 +199,9 @@ def scan(files: DataFrame) -> DataFrame:
 
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:
-    """Every document's licence; documents stand at source/lang/doc_id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text")
-    return scan(docs).select("doc_id", "path", "license", "cosine", "origin", "licensed_at")
+    """Every document's licence; documents stand at source/lang/doc_id, and one that is a licence's full text speaks for source/lang."""
+    docs = table(spark, sf_dir, "documents")
+    at = F.when(F.col("source") != "", F.concat_ws("/", "source", "lang"))
+    docs = docs.select("doc_id", F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text", at.alias("__dir"))
+    rows = materialise(own_licenses(docs, by_text=True).drop("text"), "own")
+    return inherit(rows).select("doc_id", "path", "license", "cosine", "origin", "licensed_at")

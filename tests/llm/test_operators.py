@@ -499,6 +499,43 @@ def test_op9_long_lines_empty_tables_and_who_speaks(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+
+def test_op9_documents_inherit_from_licence_texts(spark, tmp_path):
+    """Through the registered query: a document that is a licence's full text speaks for its source and lang, no other does."""
+    text = lambda n: (Path(licenses.__file__).parent / "license_texts" / f"{n}.txt").read_text()
+    held = lambda n: f"Copyright (c) 2019-2021, Some Body\nAll rights reserved.\n\n{text(n)}"
+    prose, line = "plain words of no licence ", "Released under the MIT License"
+    rows = [
+        (1, held("GPL-3.0"), "en", "s", "GPL-3.0", "own", None),
+        (2, prose, "en", "s", "GPL-3.0", "inherited", "s/en"),
+        (2, prose, "en", "s", "GPL-3.0", "inherited", "s/en"),
+        (3, None, "en", "s", "GPL-3.0", "inherited", "s/en"),
+        (4, f"{prose}\n{line}", "en", "s", "MIT", "own", None),
+        (5, prose, "de", "s", "ISC", "inherited", "s"),  # the next one has no lang and stands in s
+        (6, held("ISC"), None, "s", "ISC", "own", None),
+        (7, prose, None, "s", "ISC", "inherited", "s"),
+        (None, prose, "en", "s", "GPL-3.0", "inherited", "s/en"),
+        (8, held("MIT"), "en", None, "MIT", "own", None),  # without a source in no directory
+        (9, prose, "en", None, None, "none", None),
+        (10, prose, "en", "", None, "none", None),
+        (11, prose, "fr", "en", None, "none", None),
+        (16, held("MIT"), "en", "s/", "MIT", "own", None),  # s//en is s/en, where the other text is nearer to its template
+        (17, prose, "en", "s/", "GPL-3.0", "inherited", "s/en"),
+        (12, line, "en", "t", "MIT", "own", None),  # these say it of themselves alone
+        (13, text("Apache-2.0.header"), "en", "t", "Apache-2.0", "own", None),
+        (14, f"# {line}\n\n{held('MIT')}\n{' '.join(f'w{k}' for k in range(40))}", "en", "t", "MIT", "own", None),
+        (15, prose, "en", "t", None, "none", None),
+    ]
+    df = spark.createDataFrame([(*r[:4], len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    query = QUERIES["op9_license_tfidf_inheritance"]
+    got = Counter((r["doc_id"], r["license"], r["origin"], r["licensed_at"]) for r in query(spark, str(tmp_path)).collect())
+    assert got == Counter((r[0], *r[4:]) for r in rows)
+    # the same text in a file with a name that says nothing speaks for itself alone
+    files = spark.createDataFrame([("a/x.txt", held("ISC")), ("a/y.txt", prose)], "path string, text string")
+    assert {r["path"]: r["origin"] for r in licenses.scan(files).collect()}["a/y.txt"] == "none"
+
+
 def test_op10_marginals_equal_enumeration():
     from itertools import product
 
