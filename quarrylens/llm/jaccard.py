@@ -2,8 +2,9 @@
 
 1. Each distinct shingle set gets an id (a 64-bit hash of the set), its size and a bitmap of about BITS bits a shingle.
 2. Which sets can meet: two similar sets share a shingle among the first quarter of each in any fixed order. Sets
-   that share such a shingle make a list; lists with the same smallest id are joined to one. The order puts shingles last that are frequent in a
-   sample of documents, which makes lists short; the result is the same under any order.
+   that share such a shingle make a list; lists with the same smallest id are joined to one. The order puts shingles last that several documents
+   of a sample hold, the most common ones at the end, which keeps unrelated sets out of the lists; the result is the same under any order.
+   What is dealt out for it are 40 bits of shingles and ids: sets that agree in these alone meet once more than needed.
 3. A signature tree stands over each list (side by side in numpy arrays, so that a task works on thousands of lists at once). Its
    nodes hold the OR of their members' bitmaps, their size range and group range; a dual traversal drops node pairs whose largest possible
    overlap is too small, whose sizes differ too much, or which lie in one group. Every pair left is verified on the full sets.
@@ -12,7 +13,7 @@
 Links of both rounds together give the components. Nothing is capped: long lists are cut into blocks of BLOCK members
 in order of size, and every pair of blocks whose sizes allow a link is visited.
 Sets with one 64-bit id are taken as equal: among a billion distinct sets some pair collides with chance 0.03. Collisions of
-shingles within two sets are as unlikely.
+shingles within two sets are as unlikely. Two similar sets with the same 40 bits of their ids (one pair in 10**12) miss lists of these two alone.
 
 Defined cases: null, empty or blank text has no shingle and links with nothing (n_shingles 0, component its own id);
 fewer than five words make one shingle; equal texts link; rows with a repeated id are documents of their own, each with
@@ -38,14 +39,19 @@ FAN_OUT = 8
 STREAM_ROWS = 8192
 #: Pairs that are held to drop repeated ones before they are handed on.
 STREAM_PAIRS = 100_000
-#: Documents sampled for the shingle order, and the number of them from which a shingle counts as frequent.
-SAMPLE, FREQUENT = 4000, 12
+#: Documents sampled for the shingle order: one in SHARE, of small tables SAMPLE. A sample that grows with the table keeps the lists as short on large ones.
+SAMPLE, SHARE = 4000, 16
+#: Shingles of two or more sampled documents that are put last, at most; the number in a sample of SAMPLE from which one counts as frequent.
+LATE, FREQUENT = 1 << 19, 12
 #: Sets whose shingles one bucket of the candidate search holds on average.
 BUCKET_DOCS = 2000
 #: Steps in which the place of a shingle in its set's order is kept (a prefix is a quarter of them, 256 at most).
 PLACES = 1020
+#: Sets of this size or more count as this large where their shingles are dealt out, and as having partners.
+LARGE = 65535
 
 U = np.uint64
+KEY = (1 << 40) - 1  # the bits of an id that are dealt out
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -151,19 +157,67 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), "doc_id long, sid long, n long, low long, bits binary")
 
 
-def frequent_shingles(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Shingles in at least FREQUENT of about SAMPLE documents. They only shape the order, so any sample does."""
-    share = max(1, n_docs // SAMPLE)
+def pack(x: np.ndarray, size: int = 5) -> np.ndarray:
+    """The low bytes of each 64-bit number as a row."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :size]
 
-    def run(batches):
+
+def unpack(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.view(np.uint64)[:, 0]
+
+
+def top(s: np.ndarray) -> np.ndarray:
+    """The upper 40 bits of shingles, in the same order; the lower ones choose the bucket."""
+    return s >> U(24)
+
+
+def bucket_of(s: np.ndarray, spread, buckets: int) -> np.ndarray:
+    return (((s & U(0xFFFFFF)) + spread) % U(buckets)).astype(np.int64)
+
+
+def cut(to: np.ndarray, rows: np.ndarray) -> list[pa.Array]:
+    """The buckets of to and the bytes of the rows for each."""
+    order = np.argsort(to, kind="stable")
+    to, rows = to[order], rows[order]
+    cuts = np.flatnonzero(np.diff(to, prepend=-1))
+    stops = np.append(cuts[1:], len(to))[: len(cuts)]
+    return [pa.array(to[cuts], pa.int64()), pa.array([rows[a:z].tobytes() for a, z in zip(cuts, stops, strict=True)], pa.binary())]
+
+
+def common_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(late, rank, frequent): top bits of shingles in several sampled documents, the number of these up to the frequent ones', and the frequent ones.
+
+    They only shape the order and the dealing, so any sample does, and so do the LATE most common ones.
+    """
+    share = max(1, min(SHARE, n_docs // SAMPLE))
+    often = max(FREQUENT, FREQUENT * n_docs // share // SAMPLE)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_docs // share // BUCKET_DOCS)
+    most = -(-LATE // buckets)
+
+    def deal(batches):
         for b in sliced(batches):
-            sets = [s for s in shingle_sets(utf8(b.column(0))) if len(s)]
-            found = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1].astype(np.int64))], names=["h", "c"])
+            s = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(utf8(b.column(0)))])
+            yield pa.RecordBatch.from_arrays(cut(bucket_of(s, U(0), buckets), pack(top(s))), names=["bucket", "grams"])
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, c = np.unique(unpack(np.frombuffer(b"".join(pdf["grams"]), np.uint8).reshape(-1, 5)), return_counts=True)
+        at = np.flatnonzero(c > 1)
+        at = at[np.argsort(-c[at], kind="stable")[:most]]
+        out = pd.DataFrame({"late": [s[at].tobytes()], "count": [np.minimum(c[at], often).astype(np.int64).tobytes()]})
+        release()
+        return out
 
-    rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text").mapInArrow(releasing(run), "h long, c long")
-    rows = rows.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT).select("h")
-    return np.sort(np.array([r[0] for r in rows.collect()], np.int64).view(np.uint64))
+    rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text").mapInArrow(releasing(deal), "bucket long, grams binary")
+    rows = rows.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(count, "late binary, count binary").collect()
+    late = np.frombuffer(b"".join(r["late"] for r in rows), np.uint64)
+    rank = np.frombuffer(b"".join(r["count"] for r in rows), np.int64)
+    order = np.lexsort((-rank, late))
+    late, rank = late[order], rank[order]
+    new = np.concatenate(([True], late[1:] != late[:-1])) if len(late) else np.zeros(0, bool)
+    late, rank = late[new], rank[new]
+    return late, rank, late[rank >= often]
 
 
 def is_in(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -171,13 +225,15 @@ def is_in(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values if len(ordered) else np.zeros(len(values), bool)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def prefix(s: np.ndarray, late: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the common order; two similar sets share one of them."""
     n = len(s) - -(-len(s) * NUM // DEN) + 1
-    if len(frequent):
-        late = is_in(frequent, s)
-        if late.any():
-            s = np.concatenate((s[~late], s[late]))
+    if len(late):
+        bits = top(s)
+        at = np.minimum(np.searchsorted(late, bits), len(late) - 1)
+        own = np.where(late[at] == bits, rank[at], 0)
+        if own.any():
+            s = s[np.argsort(own, kind="stable")]
     return s[:n]
 
 
@@ -192,68 +248,65 @@ def partnered(grams: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray
     row = np.cumsum(np.concatenate(([0], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
     key = np.sort((row << 32) + n)
     found = np.searchsorted(key, (row << 32) + np.maximum(most, least - 1), "right") - np.searchsorted(key, (row << 32) + least)
-    return found - (n <= most) > 0
+    return (found - (n <= most) > 0) | (n >= LARGE)
 
 
 def meeting_lists(docs: DataFrame, n_docs: int) -> DataFrame:
-    """(list, sid): sets that share a prefix shingle with others, under the smallest id among them.
+    """(list, key): sets (by the KEY bits of their ids) that share a prefix shingle with others, under the smallest key among them.
 
-    The lists of shingles with one smallest id are joined to one: it holds all their pairs, and each pair in few lists.
+    The lists of shingles with one smallest key are joined to one: it holds all their pairs, and each pair in few lists.
 
-    Shingles go to buckets of bounded size; the sets of a frequent shingle are spread over all buckets and meet as rows.
+    Shingles go to buckets of bounded size; the sets of a frequent shingle are spread over all buckets and meet as rows. An entry takes
+    13 bytes: shingle and key, size, place.
     """
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n_docs))
+    common = spark.sparkContext.broadcast(common_shingles(docs, n_docs))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs // BUCKET_DOCS)
 
     def deal(batches):
-        late = frequent.value
+        late, rank, frequent = common.value
         for b in sliced(batches, 4096):
             own: dict[int, np.ndarray] = {}
             for s in shingle_sets(utf8(b.column(0))):
                 if len(s):
-                    own.setdefault(set_id(s), (len(s), prefix(s, late)))
+                    own.setdefault(set_id(s), (len(s), prefix(s, late, rank)))
             if not own:
                 continue
             sizes = [len(p) for _, p in own.values()]
             grams = np.concatenate([p for _, p in own.values()])
-            sids, n = np.repeat(np.array(list(own), np.int64), sizes), np.repeat(np.array([n for n, _ in own.values()], np.int64), sizes)
+            sids, n = np.repeat(np.array(list(own), np.int64).view(np.uint64), sizes), np.repeat(np.array([n for n, _ in own.values()], np.int64), sizes)
             place = (np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) * PLACES // n
-            spread = np.where(is_in(late, grams), sids.view(np.uint64) >> U(20), U(0))
-            to = (((grams >> U(20)) + spread) % U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            to = to[order]
-            cuts = np.flatnonzero(np.diff(to, prepend=-1))
-            stops = np.append(cuts[1:], len(to))
-            packed = [[x[a:z].tobytes() for a, z in zip(cuts, stops, strict=True)] for x in (grams[order], sids[order], n[order].astype(np.int32), place[order].astype(np.uint8))]
-            yield pa.RecordBatch.from_arrays([pa.array(to[cuts]), *[pa.array(x, pa.binary()) for x in packed]], names=["bucket", "grams", "sids", "n", "place"])
+            spread = np.where(is_in(frequent, top(grams)), sids >> U(20), U(0))
+            entries = np.concatenate((pack(top(grams)), pack(sids), pack(np.minimum(n, LARGE), 2), pack(place, 1)), axis=1)
+            yield pa.RecordBatch.from_arrays(cut(bucket_of(grams, spread, buckets), entries), names=["bucket", "entries"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams = np.frombuffer(b"".join(pdf["grams"]), np.uint64)
-        sids = np.frombuffer(b"".join(pdf["sids"]), np.int64)
-        n, place = np.frombuffer(b"".join(pdf["n"]), np.int32).astype(np.int64), np.frombuffer(b"".join(pdf["place"]), np.uint8)
-        order = np.lexsort((sids, grams))
-        grams, sids, n, place = grams[order], sids[order], n[order], place[order]
-        new = np.concatenate(([True], (grams[1:] != grams[:-1]) | (sids[1:] != sids[:-1])))
-        grams, sids, n, place = grams[new], sids[new], n[new], place[new]
-        keep = is_in(frequent.value, grams)
+        frequent = common.value[2]
+        entries = np.frombuffer(b"".join(pdf["entries"]), np.uint8).reshape(-1, 13)
+        grams, keys = unpack(entries[:, :5]), unpack(entries[:, 5:10]).view(np.int64)
+        n, place = unpack(entries[:, 10:12]).astype(np.int64), entries[:, 12]
+        order = np.lexsort((keys, grams))
+        grams, keys, n, place = grams[order], keys[order], n[order], place[order]
+        new = np.concatenate(([True], (grams[1:] != grams[:-1]) | (keys[1:] != keys[:-1]) | (n[1:] != n[:-1])))
+        grams, keys, n, place = grams[new], keys[new], n[new], place[new]
+        keep = is_in(frequent, grams)
         keep |= partnered(grams, n, place)
-        grams, sids = grams[keep], sids[keep]
+        grams, keys = grams[keep], keys[keep]
         cuts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(cuts, len(grams)))
-        spread = np.repeat(is_in(frequent.value, grams[cuts]), sizes)
-        lead = np.repeat(sids[cuts], sizes)  # the smallest, as they are sorted
+        spread = np.repeat(is_in(frequent, grams[cuts]), sizes)
+        lead = np.repeat(keys[cuts], sizes)  # the smallest, as they are sorted
         plain = ~spread & np.repeat(sizes > 1, sizes)
-        rows = pd.DataFrame({"list": lead[plain], "sid": sids[plain], "hot": False}).drop_duplicates()
+        rows = pd.DataFrame({"list": lead[plain], "key": keys[plain], "hot": False}).drop_duplicates()
         release()
-        return pd.concat((rows, pd.DataFrame({"list": grams[spread].view(np.int64), "sid": sids[spread], "hot": True})))
+        return pd.concat((rows, pd.DataFrame({"list": grams[spread].view(np.int64), "key": keys[spread], "hot": True})))
 
-    dealt = docs.select("text").mapInArrow(releasing(deal), "bucket long, grams binary, sids binary, n binary, place binary")
-    lists = materialise(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "list long, sid long, hot boolean"), "lists")
-    hot = lists.where("hot").select(F.col("list").alias("gram"), "sid")
-    lead = hot.groupBy("gram").agg(F.min("sid").alias("list"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    dealt = docs.select("text").mapInArrow(releasing(deal), "bucket long, entries binary")
+    lists = materialise(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "list long, key long, hot boolean"), "lists")
+    hot = lists.where("hot").select(F.col("list").alias("gram"), "key")
+    lead = hot.groupBy("gram").agg(F.min("key").alias("list"), F.count(F.lit(1)).alias("m")).where("m > 1")
     hot = hot.join(small_or_plain(materialise(lead, "leads")), "gram")  # no more rows than the driver sent out as frequent
-    return lists.where("not hot").select("list", "sid").unionByName(hot.select("list", "sid")).distinct()
+    return lists.where("not hot").select("list", "key").unionByName(hot.select("list", "key")).distinct()
 
 
 def overlap_needed(n1, n2):
@@ -438,15 +491,15 @@ def proposals(rows: DataFrame, near: bool) -> DataFrame:
     return dealt.mapInArrow(releasing(run), "a long, b long, more long").distinct()
 
 
-def in_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
+def in_blocks(lists: DataFrame, sets: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Members of lists with their bitmaps, under (list, b1, b2).
 
     A list of more than BLOCK members is cut into blocks in order of size; its members come once for each pair of blocks
-    whose sizes allow a link.
+    whose sizes allow a link. Only at the end the bitmaps of those sets that are members join them; bitmaps may hold a set several times.
     """
     count = lists.groupBy("list").agg(F.count(F.lit(1)).alias("m")).where(f"m > {BLOCK}").select(F.col("list").alias("long_list"))
     rows = lists.join(small_or_plain(materialise(count, "long")), F.col("list") == F.col("long_list"), "left").join(sets, "sid")
-    short = rows.where("long_list is null").select("list", F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2"), F.lit(0).cast("long").alias("blk"), "sid", "n", "low", "bits", "grp")
+    short = rows.where("long_list is null").select("list", F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2"), F.lit(0).cast("long").alias("blk"), "sid", "n", "low", "grp")
     long = rows.where("long_list is not null")
     sizes = long.groupBy("list", "n").agg(F.count(F.lit(1)).alias("m"))
     upto = F.sum("m").over(Window.partitionBy("list").orderBy("n"))  # a row for each size of a list
@@ -459,8 +512,10 @@ def in_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = x.join(y, meets).select(F.col("x.list").alias("of"), F.col("x.blk").alias("b1"), F.col("y.blk").alias("b2"))
     pairs = pairs.select("of", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("blk"))
     long = long.join(sizes, ["list", "n"]).withColumn("blk", F.col("first") + F.pmod(F.xxhash64("sid"), F.col("last") - F.col("first") + 1)).drop("first", "last")
-    long = long.join(pairs, (F.col("list") == F.col("of")) & (long["blk"] == pairs["blk"])).select("list", "b1", "b2", long["blk"], "sid", "n", "low", "bits", "grp")
-    return short.unionByName(long)
+    long = long.join(pairs, (F.col("list") == F.col("of")) & (long["blk"] == pairs["blk"])).select("list", "b1", "b2", long["blk"], "sid", "n", "low", "grp")
+    rows = materialise(short.unionByName(long), "blocks")
+    members = materialise(rows.select("sid").distinct(), "members")
+    return rows.join(bitmaps.join(small_or_plain(members), "sid", "left_semi").dropDuplicates(["sid"]), "sid")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
@@ -474,7 +529,9 @@ def verify(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["sid", "grams"])
 
     rows = docs.select("doc_id", "text").join(small_or_plain(need), F.col("doc_id").eqNullSafe(F.col("own_id"))).select("sid", "text")
-    sets = materialise(rows.mapInArrow(releasing(load), "sid long, grams binary").dropDuplicates(["sid"]), "sets")
+    sets = materialise(rows.mapInArrow(releasing(load), "sid long, grams binary"), "sets")
+    if sets.count() > need.count():  # an id is repeated with its text
+        sets = materialise(sets.dropDuplicates(["sid"]), "sets")
 
     def similar(batches):
         for b in sliced(batches):
@@ -500,18 +557,19 @@ def components(docs: DataFrame) -> DataFrame:
 def _components(docs: DataFrame) -> DataFrame:
     found = materialise(digests(docs), "digests")
     n_docs = found.count()
-    sets = found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bits").alias("bits"))
+    sets = found.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low"))
     sets = materialise(sets, "distinct")
-    owners, marks = sets.select("sid", "doc_id"), sets.select("sid", "n", "low", "bits")
-    lists = materialise(meeting_lists(docs, n_docs), "lists")
-    found_pairs = materialise(proposals(in_blocks(lists, marks.withColumn("grp", F.col("sid"))), True), "pairs")
+    owners, marks, bitmaps = sets.select("sid", "doc_id"), sets.select("sid", "n", "low"), found.where("sid is not null").select("sid", "bits")
+    lists = meeting_lists(docs, n_docs).join(sets.select("sid", F.col("sid").bitwiseAND(F.lit(KEY)).alias("key")), "key").select("list", "sid")
+    lists = materialise(lists, "lists")
+    found_pairs = materialise(proposals(in_blocks(lists, marks.withColumn("grp", F.col("sid")), bitmaps), True), "pairs")
     pairs = found_pairs.where("more is null").select("a", "b")
     links = materialise(verify(pairs, docs, owners), "links")
     groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = marks.join(groups.withColumnRenamed("id", "sid"), "sid", "left").withColumn("grp", F.coalesce("component", "sid")).drop("component")
     left_over = materialise(lists.join(small_or_plain(found_pairs.where("more is not null").select(F.col("more").alias("list")).distinct()), "list", "left_semi"), "lists")
     open_lists = left_over.join(named.select("sid", "grp"), "sid").groupBy("list").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("list")
-    second = in_blocks(left_over.join(open_lists, "list", "left_semi"), named)
+    second = in_blocks(left_over.join(open_lists, "list", "left_semi"), named, bitmaps)
     more = proposals(second, False).where("more is null").select("a", "b").join(pairs, ["a", "b"], "left_anti")
     more = materialise(more, "pairs")
     if more.limit(1).count():

@@ -372,6 +372,25 @@ def test_op7_hot_shingles_and_long_lists(spark, monkeypatch):
     assert got == find_components(700, brute_jaccard(texts)[1]) and len(set(got)) > 5
 
 
+def test_op7_passages_of_few_documents_make_no_lists(spark):
+    """Unrelated documents that share a passage with five others stay out of the lists, which hold the near copies alone."""
+    texts = [" ".join([*[f"p{k // 6}_{j}" for j in range(40)], *[f"u{k}_{j}" for j in range(160)]]) for k in range(600)]
+    texts += [t + " end" for t in texts[::20]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert jaccard.meeting_lists(rows, len(texts)).drop("list").distinct().count() == 60
+    got = [r["component_id"] for r in jaccard.components(rows).orderBy("doc_id").collect()]
+    assert got == [*range(600), *range(0, 600, 20)]
+
+
+def test_op7_large_sets_and_repeated_rows(spark):
+    """Sizes beyond what an entry of the lists can hold; a row that is there twice."""
+    long = [[f"{c}{j}" for j in range(80_000)] for c in "ab"]
+    texts = [" ".join(w) for w in (long[0], long[0][:62_000], long[0][:50_000], ["x", *long[1]], long[1])]
+    rows = spark.createDataFrame([*enumerate(texts), (4, texts[4])], "doc_id long, text string")
+    got = [r["component_id"] for r in jaccard.components(rows).orderBy("doc_id").collect()]
+    assert got == [0, 0, 0, 3, 3, 3]
+
+
 def test_op8_packs_every_token_once(spark, sf_dir, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
