@@ -1,10 +1,13 @@
 """Undoing of flattened control flow: edges into a dispatcher whose state is known go straight to its arm.
 
 A flattened method keeps its next block in a slot: blocks store a constant there and jump to a dispatcher, which compares the slot. What
-a slot can hold where a block begins is a fixpoint over (method, slot, block, value), each step one join of the newly found states with what is known of their block by
-(method, slot, block): its store, its list of arms and its ends; a method is spread over as many tasks as it has blocks. Dispatchers with a known state pass it on along the
+a slot can hold where a block begins is a fixpoint over (method, slot, block, value). Dispatchers with a known state pass it on along the
 arm that it selects only, which is what tells the states apart.
 
+Two ways lead to the same rows. `unflattened_methods` deals whole methods to tasks, which go through many small ones at once as arrays (`method_arrays.solve`); methods with
+more possible states than a task should hold take the other way. In `unflattened` each step is one join of the newly found states with what is known of their block by
+(method, slot, block): its store, its list of arms and its ends; a method is spread over as many tasks as it has blocks, at the price of several joins a step.
+
 edges: (method, src, dst), for blocks that are no dispatchers. effects: (method, block, slot, value), the last store of a block, null if it isn't constant. arms: (method,
 block, slot, rank, op, operand, target); the first arm by rank that holds is taken; op is eq, ne, lt, ge, gt, le or else. A dispatcher does nothing but
 compare one slot. entries: (method, block).
@@ -17,13 +20,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarrylens.storage import materialise
+from quarrylens.operators import method_arrays
+from quarrylens.storage import materialise, small_or_plain
 
 KEYS = ["method", "slot", "block"]
 #: Steps of a round: fewer rounds are fewer tables to write, at the price of longer plans.
 HOPS = 2
 #: States up to which a round broadcasts them.
 FEW_ROWS = 50_000
+#: Possible states of a method, and its rows, up to which a task holds it whole; a state takes a byte there.
+STATES, METHOD_ROWS = 1 << 26, 1 << 20
 
 
 def holds(op: Column, value: Column, operand: Column) -> Column:
@@ -143,3 +149,38 @@ def unflattened(edges: DataFrame, effects: DataFrame, arms: DataFrame, entries:
     same = lambda a, b: (a["method"] == b["__method"]) & (a["block"] == b["__block"])
     seen = reach(entries.select("method", "block"), step, same, "live")
     return left.join(seen.withColumnRenamed("block", "src"), ["method", "src"], "left_semi")
+
+
+def unflattened_methods(edges: DataFrame, effects: DataFrame, arms: DataFrame, entries: DataFrame, passes: int = 64) -> DataFrame:
+    """As unflattened, for many methods of which few are large: one exchange by method, all passes of a method in one task.
+
+    Methods that may have more than STATES states, or have more than METHOD_ROWS rows, go through the joins of unflattened.
+    """
+    none = lambda like, c: F.lit(None).cast(like.schema[c].dataType)
+    part = lambda rows, tag, a, b, slot, rank, op, value: rows.where("method is not null").select("method", F.lit(tag).cast("byte").alias("part"), a.alias("a"), b.alias("b"), slot.alias("slot"), rank.alias("rank"), op.alias("op"), value.alias("value"))
+    dst, slot, rank, op, value = none(edges, "dst"), none(arms, "slot"), none(arms, "rank"), none(arms, "op"), none(arms, "operand")
+    c = F.col
+
+    def rows_of(kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        parts = [
+            part(kept(edges), method_arrays.EDGE, c("src"), c("dst"), slot, rank, op, value),
+            part(kept(effects), method_arrays.EFFECT, c("block"), dst, c("slot"), rank, op, c("value")),
+            part(kept(arms), method_arrays.ARM, c("block"), c("target"), c("slot"), c("rank"), c("op"), c("operand")),
+            part(kept(entries), method_arrays.ENTRY, c("block"), dst, slot, rank, op, value),
+        ]
+        return reduce(DataFrame.unionByName, parts).where("a is not null")
+
+    # At most as many blocks as ends of edges and arms, values as there are constants, slots as there are arms unless all name one.
+    arm = F.when(c("part") == method_arrays.ARM, c("slot"))
+    sizes = rows_of(lambda x: x).groupBy("method").agg(F.count(F.lit(1)).alias("rows"), F.count("b").alias("ends"), F.count("value").alias("values"), F.count(arm).alias("arms"), F.min(arm).alias("least"), F.max(arm).alias("most"))
+    bound = (c("rows") + c("ends")).cast("double") * (c("values") + 1) * F.when(c("least") == c("most"), 1).otherwise(c("arms"))
+    large = materialise(sizes.where((bound > STATES) | (c("rows") > METHOD_ROWS)).select("method"), "large")
+    some = bool(large.limit(1).count())
+    large = small_or_plain(large) if some else large
+    rows = rows_of((lambda x: x.join(large, "method", "left_anti")) if some else lambda x: x)
+    types = {n: edges.schema[n].dataType.simpleString() for n in ("method", "src", "dst")}
+    schema = ", ".join(f"{n} {k}" for n, k in types.items()) + ", kind string"
+    left = rows.repartition("method").sortWithinPartitions("method").mapInArrow(lambda batches: method_arrays.stream(batches, STATES, passes), schema)
+    if not some:
+        return left
+    return left.unionByName(unflattened(*(x.join(large, "method", "left_semi") for x in (edges, effects, arms, entries)), passes))

@@ -3,11 +3,13 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.functions import text as texts
-from quarrylens.operators import callsites, dataflow, folding, graph, lookups, references, unflatten, xrefs
+from quarrylens.operators import callsites, dataflow, folding, graph, lookups, method_arrays, references, unflatten, xrefs
+from quarrylens.plans import catalog, programs
 
 
 def mask_lines(text: str, code: bool, comments: bool) -> str:
@@ -194,6 +196,81 @@ def test_a_round_of_unflattening_joins_each_hop_once(spark, monkeypatch):
     assert max(p.count("Join ") for p in plans) <= unflatten.HOPS * (unflatten.HOPS + 1) // 2 + unflatten.HOPS
 
 
+def random_methods(dice, n):
+    methods = {}
+    for m in range(n):
+        blocks, hubs = list(range(2, 3 + m % 12)), [100, 101] if m % 3 else [100]
+        arms = {h: (h % 2 if m % 4 == 0 else 0, [(k, dice.choice(["eq", "eq", "lt", "ne", "ge", "gt", "le"]), dice.choice([None, *range(6)]), dice.choice(blocks + (hubs if m % 5 == 0 else []))) for k in range(4)] + ([(9, "else", None, 1)] if m % 7 else [])) for h in hubs}
+        edges = {(0, dice.choice(hubs))} | {(b, dice.choice(hubs + blocks)) for b in blocks} | {(b, dice.choice(hubs)) for b in blocks if dice.random() < 0.3}
+        effects = {(b, s): dice.choice([0, 1, 2, 3, 4, 5, None]) for b in [0, *blocks] for s in (0, 1, 2) if dice.random() < 0.7}
+        methods[m] = (edges, effects, {} if m % 11 == 10 else arms)
+    return methods
+
+
+def method_tables(spark, methods):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    edges = table([(m, s, d) for m, (e, _, _) in methods.items() for s, d in e], "method long, src long, dst long")
+    effects = table([(m, b, s, v) for m, (_, e, _) in methods.items() for (b, s), v in e.items()], "method long, block long, slot int, value long")
+    arms = table([(m, b, slot, *row) for m, (_, _, a) in methods.items() for b, (slot, rows) in a.items() for row in rows], "method long, block long, slot int, rank int, op string, operand long, target long")
+    return edges, effects, arms, table([(m, 0) for m in methods], "method long, block long")
+
+
+def without_operand(monkeypatch):
+    """Plain arms without an operand hold for nothing but else."""
+    monkeypatch.setitem(globals(), "take", lambda arms, value, f=take: f([a for a in arms if a[1] == "else" or a[2] is not None], value))
+
+
+def test_unflattening_of_whole_methods_in_tasks(spark, monkeypatch):
+    """Small methods in tasks, as the plain version; large ones are handed on whole to the joins (tested above). Names instead of numbers too."""
+    without_operand(monkeypatch)
+    methods = random_methods(random.Random(8), 60)
+    want = {(m, *x) for m, (e, f, a) in methods.items() for x in plain_unflatten(e, f, a, 0)}
+    tables, handed = method_tables(spark, methods), []
+
+    def joins(edges, effects, arms, entries, passes):
+        handed.append({r[0] for r in entries.collect()})
+        assert [x.where(~F.col("method").isin(*handed[-1])).count() for x in (edges, effects, arms)] == [0, 0, 0]
+        assert edges.count() == sum(len(methods[m][0]) for m in handed[-1])
+        return edges.select("method", "src", "dst", F.lit("large").alias("kind"))
+
+    monkeypatch.setattr(unflatten, "unflattened", joins)
+    rows = [tuple(r) for r in unflatten.unflattened_methods(*tables).collect()]
+    assert sorted(rows) == sorted(want) and any(k == "redirected" for *_, k in rows) and not handed
+    monkeypatch.setattr(unflatten, "STATES", 300)
+    rows = [tuple(r) for r in unflatten.unflattened_methods(*tables).collect()]
+    assert 0 < len(handed[0]) < 60 and {r for r in rows if r[3] != "large"} == {r for r in want if r[0] not in handed[0]}
+    monkeypatch.setattr(unflatten, "STATES", 1 << 26)
+    named = [x.select(*[F.concat(F.lit("n"), F.col(c).cast("string")).alias(c) if c in ("method", "src", "dst", "block", "target") else F.col(c) for c in x.columns]) for x in tables]
+    assert {tuple(r) for r in unflatten.unflattened_methods(*named).collect()} == {(f"n{m}", f"n{s}", f"n{d}", k) for m, s, d, k in want}
+
+
+def test_methods_stay_whole_over_batches(monkeypatch):
+    """Batches end within methods, and parts of a task's rows have more possible states than fit at once."""
+    without_operand(monkeypatch)
+    monkeypatch.setattr(method_arrays, "CHUNK", 100)
+    methods = random_methods(random.Random(8), 60)
+    rows = []
+    for m, (edges, effects, arms) in methods.items():
+        rows += [(m, 0, s, d, None, None, None, None) for s, d in edges] + [(m, 1, b, None, s, None, None, v) for (b, s), v in effects.items()] + [(m, 3, 0, None, None, None, None, None)]
+        rows += [(m, 2, b, t, slot, rank, op, v) for b, (slot, own) in arms.items() for rank, op, v, t in own]
+    schema = pa.schema([("method", pa.int64()), ("part", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("slot", pa.int32()), ("rank", pa.int32()), ("op", pa.string()), ("value", pa.int64())])
+    batches = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema).to_batches(max_chunksize=7)
+    for states in (1 << 26, 500):
+        out = [tuple(r.values()) for b in method_arrays.stream(iter(batches), states, 64) for r in b.to_pylist()]
+        assert sorted(out) == sorted((m, *x) for m, (e, f, a) in methods.items() for x in plain_unflatten(e, f, a, 0))
+    with pytest.raises(RuntimeError):
+        list(method_arrays.stream(iter(batches), 1 << 26, 1))
+
+
+def test_unflatten_deals_methods_out_once(spark, sf_dir, monkeypatch):
+    """The registered query writes its lines and the list of large methods; no table a step, no join."""
+    written = []
+    for module in (programs, unflatten):
+        monkeypatch.setattr(module, "materialise", lambda df, tag, write=module.materialise: written.append(tag) or write(df, tag))
+    rows = catalog.QUERIES["unflatten"](spark, sf_dir)
+    assert written == ["lines", "large"] and "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 # --- folding
 
 
