@@ -1,7 +1,7 @@
 """Unflattening of many small methods at once as arrays, the inside of a task of `unflatten.unflattened_methods`.
 
 Rows (method, part, a, b, slot, rank, op, value) come in order of method; part tells the table: an edge (a, b), an effect (a, slot, value), an arm (a, slot, rank, op, value
-and its target b) or an entry (a). A task holds the methods of about CHUNK rows and a byte for each of their possible states (slot, block, value).
+and its target b) or an entry (a). A task holds the methods of about CHUNK rows and five bytes for each of their possible states (slot, block, value).
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 EDGE, EFFECT, ARM, ENTRY = range(4)
+#: Ops and kinds come and go as their places here; ops in the order in which arms of one rank stand.
+OPS, KINDS = ["eq", "else", "ge", "gt", "le", "lt", "ne"], ["jump", "redirected", "arm"]
+TESTS = {"eq": np.equal, "ge": np.greater_equal, "gt": np.greater, "le": np.less_equal, "lt": np.less, "ne": np.not_equal}
 #: Rows that are gone through at once; a method's rows stay together.
 CHUNK = 200_000
 
@@ -37,24 +40,28 @@ def stream(batches: Iterator[pa.RecordBatch], states: int, passes: int) -> Itera
 
 def solved(rows: pa.Table, states: int, passes: int) -> Iterator[pa.RecordBatch]:
     """Whole methods, halved as long as several together have more than so many possible states."""
-    method = codes(rows["method"])[0]
-    part, n = rows["part"].to_numpy(), int(method[-1]) + 1
-    count = lambda at: np.bincount(method[at], minlength=n).astype(float)
-    bound = (count(slice(None)) + count(rows["b"].is_valid().to_numpy())) * (count(rows["value"].is_valid().to_numpy()) + 1) * slots_of(method, codes(rows["slot"])[0], part, n)
+    method, methods = codes(rows["method"])
+    slot, part, n = codes(rows["slot"])[0], rows["part"].to_numpy(), len(methods)
+    count = lambda at: np.bincount(at, minlength=n).astype(float)
+    arm = (part == ARM) & (slot >= 0)
+    wide = slot.max(initial=0) + 1
+    slots = count(distinct(method[arm] * wide + slot[arm]) // wide)
+    bound = (count(method) + count(method[rows["b"].is_valid().to_numpy()])) * (count(method[rows["value"].is_valid().to_numpy()]) + 1) * slots
     if n > 1 and bound.sum() > states:
         half = int(np.clip(np.searchsorted(np.cumsum(bound), bound.sum() / 2), 1, n - 1))
         cut = int(np.searchsorted(method, half))
         yield from solved(rows.slice(0, cut), states, passes)
         yield from solved(rows.slice(cut), states, passes)
     else:
-        yield from solve(rows, passes).to_batches()
+        yield from solve(rows, method, methods, slot, passes).to_batches()
 
 
-def slots_of(method: np.ndarray, slot: np.ndarray, part: np.ndarray, n: int) -> np.ndarray:
-    """How many slots the arms of each method compare."""
-    arm = (part == ARM) & (slot >= 0)
-    pairs = np.unique(method[arm] * (slot.max(initial=0) + 1) + slot[arm])
-    return np.bincount(pairs // (slot.max(initial=0) + 1), minlength=n)
+def distinct(x: np.ndarray) -> np.ndarray:
+    """In order, each once."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
 
 
 def codes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -98,27 +105,25 @@ def first_arms(cell_of: np.ndarray, width: np.ndarray, hub: np.ndarray, rank: np
 
     A hub's arms go by rank, op, operand (known or none) and target. Its cells start at cell_of and are width many, the numbers of its values start at number_of.
     """
-    order = np.lexsort((target, np.where(known, operand, 0), known, op, rank))
+    order = np.lexsort((rank, hub))
+    if ((np.diff(hub[order]) == 0) & (np.diff(rank[order]) == 0)).any():
+        order = np.lexsort((target, np.where(known, operand, 0), known, op, rank))
     hub, op, operand, known, target = (x[order] for x in (hub, op, operand, known, target))
     best = np.full(cells, len(hub))
-    tests = {"eq": np.equal, "ne": np.not_equal, "lt": np.less, "ge": np.greater_equal, "gt": np.greater, "le": np.less_equal}
-    for name in set(op):
-        at = np.flatnonzero((op == name) & (known | (name == "else")))
-        if name != "else" and name not in tests:
-            continue
+    for place, name in enumerate(OPS):
+        at = np.flatnonzero((op == place) & (known | (name == "else")))
         # Each arm meets all values of its method.
         many = width[hub[at]] - 1
         arm, k = np.repeat(at, many), spans(many)
         if name != "else":
-            holds = tests[name](numbers[number_of[hub[arm]] + k], operand[arm])
+            holds = TESTS[name](numbers[number_of[hub[arm]] + k], operand[arm])
             arm, k = arm[holds], k[holds]
         np.minimum.at(best, cell_of[hub[arm]] + k + 1, arm)
     return np.append(target, -1)[best]
 
 
-def solve(rows: pa.Table, passes: int) -> pa.Table:
-    """(method, src, dst, kind) of whole methods, all of them a step at a time."""
-    method, methods = codes(rows["method"])
+def solve(rows: pa.Table, method: np.ndarray, methods: pa.Array, slot: np.ndarray, passes: int) -> pa.Table:
+    """(method, src, dst, kind) of whole methods, all of them a step at a time; method and slot as codes."""
     part = rows["part"].to_numpy()
     ends, blocks = codes(pa.concat_arrays([rows[c].combine_chunks() if isinstance(rows[c], pa.ChunkedArray) else rows[c] for c in ("a", "b")]))
     # Nodes (method, block) are numbered in their order, on which arms of one rank depend; an end without a block (-1) is a node of its own that leads nowhere.
@@ -136,12 +141,12 @@ def solve(rows: pa.Table, passes: int) -> pa.Table:
     n, m = len(nodes), len(methods)
 
     edge, effect, arm, entry = (np.flatnonzero(part == k) for k in (EDGE, EFFECT, ARM, ENTRY))
-    slot = codes(rows["slot"])[0]
     value, known = rows["value"].fill_null(0).to_numpy(), rows["value"].is_valid().to_numpy()
     # Slots that a method's arms compare and its constants are numbered within it; value 0 is the unknown one.
     slotted, own_slots, first_slot = within(method[arm], slot[arm], m)
-    valued, own_values, first_value = within(method[known], value[known], m)
-    constants = own_values[1]
+    constant, constants = pd.factorize(value[known])
+    valued, own_values, first_value = within(method[known], constant, m)
+    constants = constants[own_values[1]]
     slot_count, width = np.diff(first_slot), np.diff(first_value) + 1
     number = np.zeros(len(value), np.int64)
     number[known] = valued + 1
@@ -163,16 +168,15 @@ def solve(rows: pa.Table, passes: int) -> pa.Table:
     hub_node, hub_slot = key_node[hub_key], key_slot[hub_key]
     hub_width = width[node_method[hub_node]]
     cell_at = np.cumsum(hub_width) - hub_width
-    ops = rows["op"].take(pa.array(arm)).to_numpy(zero_copy_only=False).astype(str)
     target = np.where(node_block[b[arm]] >= 0, b[arm], -1)
-    ranks = rows["rank"].take(pa.array(arm)).to_numpy()
+    ops, ranks = (rows[c].fill_null(-1).to_numpy()[arm] for c in ("op", "rank"))
     cell = first_arms(cell_at, hub_width, arm_hub, ranks, ops, value[arm], known[arm], target, constants, first_value[node_method[hub_node]], int(hub_width.sum()))
     key_hub = np.full(len(key_node), -1)
     key_hub[hub_key] = np.arange(len(hub_key))
     hubs_at = Lists(hub_node, np.arange(len(hub_key)), n)
 
-    pair = np.unique(a[edge] * n + b[edge])
-    arm_pair = np.unique(a[arm] * n + b[arm])
+    pair = distinct(a[edge] * n + b[edge])
+    arm_pair = distinct(a[arm] * n + b[arm])
     moved, closed = [], []
     active = np.ones(m, bool)
     for _ in range(passes):
@@ -192,7 +196,7 @@ def solve(rows: pa.Table, passes: int) -> pa.Table:
         to = only_target(e[k], cell[cell_at[hub[k]] + v], len(pair))
         to = np.where(to == dst, -1, to)
         fresh = np.flatnonzero(to >= 0)
-        moved.append(np.unique(src[fresh] * n + to[fresh]))
+        moved.append(src[fresh] * n + to[fresh])
         pair = np.where(to >= 0, src * n + to, pair)
 
         # Hubs of which that holds themselves become plain blocks.
@@ -200,7 +204,7 @@ def solve(rows: pa.Table, passes: int) -> pa.Table:
         k, v = by_key.of(hub_key[hub])
         to = only_target(k, cell[cell_at[hub[k]] + v], len(hub))
         plain = hub_node[hub[to >= 0]]
-        pair = np.unique(np.concatenate([pair, plain * n + to[to >= 0]]))
+        pair = distinct(np.concatenate([pair, plain * n + to[to >= 0]]))
         gone = np.zeros(n, bool)
         gone[plain] = True
         key_hub[hub_key[gone[hub_node]]] = -1
@@ -229,20 +233,20 @@ def solve(rows: pa.Table, passes: int) -> pa.Table:
     kept = live[left // n]
     left, kind = left[kept], kind[kept]
     name = lambda at: blocks.take(pa.array(node_block[at], mask=node_block[at] < 0))
-    kinds = pa.DictionaryArray.from_arrays(pa.array(kind), pa.array(["jump", "redirected", "arm"])).cast(pa.string())
-    return pa.table({"method": methods.take(pa.array(node_method[left // n])), "src": name(left // n), "dst": name(left % n), "kind": kinds})
+    return pa.table({"method": methods.take(pa.array(node_method[left // n])), "src": name(left // n), "dst": name(left % n), "kind": pa.array(kind)})
 
 
 def within(method: np.ndarray, item: np.ndarray, m: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """(each row's item as a number within its method, the distinct (methods, items) in order, where each method's start)."""
-    order = np.lexsort((item, method))
+    """(each row's item, a small number, as one within its method; the distinct (methods, items) in order; where each method's start)."""
+    pair = method * (item.max(initial=0) + 2) + item
+    order = np.argsort(pair, kind="stable")
     new = np.ones(len(order), bool)
-    new[1:] = (method[order][1:] != method[order][:-1]) | (item[order][1:] != item[order][:-1])
+    new[1:] = np.diff(pair[order]) != 0
     at = np.empty(len(order), np.int64)
     at[order] = np.cumsum(new) - 1
-    distinct = method[order][new], item[order][new]
-    first = np.searchsorted(distinct[0], np.arange(m + 1))
-    return at - first[method], distinct, first
+    pairs = method[order[new]], item[order[new]]
+    first = np.searchsorted(pairs[0], np.arange(m + 1))
+    return at - first[method], pairs, first
 
 
 def find(pairs: tuple[np.ndarray, np.ndarray], method: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -255,8 +259,8 @@ def find(pairs: tuple[np.ndarray, np.ndarray], method: np.ndarray, item: np.ndar
 
 def states(start, key_at, key_node, key_slot, stored, key_hub, cell_at, cell, ways: Lists, state_at) -> tuple[np.ndarray, np.ndarray]:
     """(key, value) of all states that the unknown value at the start keys leads to."""
-    seen = np.zeros(state_at[-1], bool)
-    key = np.unique(start)
+    seen, place = np.zeros(state_at[-1], bool), np.empty(state_at[-1], np.int32)
+    key = distinct(start)
     val = np.zeros(len(key), np.int64)
     seen[state_at[key]] = True
     keys, vals = [key], [val]
@@ -272,10 +276,13 @@ def states(start, key_at, key_node, key_slot, stored, key_hub, cell_at, cell, wa
         slot, end, to = slot[to >= 0], end[to >= 0], to[to >= 0]
         key = key_at[to] + slot
         state = state_at[key] + end
-        state, first = np.unique(state, return_index=True)
-        new = ~seen[state]
-        seen[state[new]] = True
-        key, val = key[first[new]], end[first[new]]
+        new = np.flatnonzero(~seen[state])
+        state = state[new]
+        # Of equal states the one whose place was written last stays.
+        seen[state] = True
+        place[state] = new
+        new = new[place[state] == new]
+        key, val = key[new], end[new]
         keys.append(key)
         vals.append(val)
     return np.concatenate(keys), np.concatenate(vals)
@@ -284,9 +291,9 @@ def states(start, key_at, key_node, key_slot, stored, key_hub, cell_at, cell, wa
 def reached(start: np.ndarray, ways: Lists, n: int) -> np.ndarray:
     """Which of n nodes ways lead to from the start."""
     seen = np.zeros(n, bool)
-    todo = np.unique(start)
+    todo = distinct(start)
     while len(todo):
         seen[todo] = True
-        todo = np.unique(ways.of(todo)[1])
-        todo = todo[~seen[todo]]
+        todo = ways.of(todo)[1]
+        todo = distinct(todo[~seen[todo]])
     return seen

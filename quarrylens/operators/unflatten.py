@@ -28,7 +28,7 @@ KEYS = ["method", "slot", "block"]
 HOPS = 2
 #: States up to which a round broadcasts them.
 FEW_ROWS = 50_000
-#: Possible states of a method, and its rows, up to which a task holds it whole; a state takes a byte there.
+#: Possible states of a method, and its rows, up to which a task holds it whole; a state takes five bytes there.
 STATES, METHOD_ROWS = 1 << 26, 1 << 20
 
 
@@ -157,8 +157,8 @@ def unflattened_methods(edges: DataFrame, effects: DataFrame, arms: DataFrame, e
     Methods that may have more than STATES states, or have more than METHOD_ROWS rows, go through the joins of unflattened.
     """
     none = lambda like, c: F.lit(None).cast(like.schema[c].dataType)
-    part = lambda rows, tag, a, b, slot, rank, op, value: rows.where("method is not null").select("method", F.lit(tag).cast("byte").alias("part"), a.alias("a"), b.alias("b"), slot.alias("slot"), rank.alias("rank"), op.alias("op"), value.alias("value"))
-    dst, slot, rank, op, value = none(edges, "dst"), none(arms, "slot"), none(arms, "rank"), none(arms, "op"), none(arms, "operand")
+    part = lambda rows, tag, a, b, slot, rank, op, value: rows.where("method is not null").select("method", F.lit(tag).cast("byte").alias("part"), a.alias("a"), b.alias("b"), slot.alias("slot"), rank.alias("rank"), F.when(op.isNotNull(), F.array_position(F.array(*map(F.lit, method_arrays.OPS)), op) - 1).cast("byte").alias("op"), value.alias("value"))
+    dst, slot, rank, op, value = none(edges, "dst"), none(arms, "slot"), none(arms, "rank"), F.lit(None).cast("string"), none(arms, "operand")
     c = F.col
 
     def rows_of(kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -179,8 +179,9 @@ def unflattened_methods(edges: DataFrame, effects: DataFrame, arms: DataFrame, e
     large = small_or_plain(large) if some else large
     rows = rows_of((lambda x: x.join(large, "method", "left_anti")) if some else lambda x: x)
     types = {n: edges.schema[n].dataType.simpleString() for n in ("method", "src", "dst")}
-    schema = ", ".join(f"{n} {k}" for n, k in types.items()) + ", kind string"
+    schema = ", ".join(f"{n} {k}" for n, k in types.items()) + ", kind byte"
     left = rows.repartition("method").sortWithinPartitions("method").mapInArrow(lambda batches: method_arrays.stream(batches, STATES, passes), schema)
+    left = left.withColumn("kind", reduce(lambda rest, k: F.when(c("kind") == k, method_arrays.KINDS[k]).otherwise(rest), range(len(method_arrays.KINDS)), F.lit(None)))
     if not some:
         return left
     return left.unionByName(unflattened(*(x.join(large, "method", "left_semi") for x in (edges, effects, arms, entries)), passes))

@@ -252,11 +252,11 @@ def test_methods_stay_whole_over_batches(monkeypatch):
     rows = []
     for m, (edges, effects, arms) in methods.items():
         rows += [(m, 0, s, d, None, None, None, None) for s, d in edges] + [(m, 1, b, None, s, None, None, v) for (b, s), v in effects.items()] + [(m, 3, 0, None, None, None, None, None)]
-        rows += [(m, 2, b, t, slot, rank, op, v) for b, (slot, own) in arms.items() for rank, op, v, t in own]
-    schema = pa.schema([("method", pa.int64()), ("part", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("slot", pa.int32()), ("rank", pa.int32()), ("op", pa.string()), ("value", pa.int64())])
+        rows += [(m, 2, b, t, slot, rank, method_arrays.OPS.index(op), v) for b, (slot, own) in arms.items() for rank, op, v, t in own]
+    schema = pa.schema([("method", pa.int64()), ("part", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("slot", pa.int32()), ("rank", pa.int32()), ("op", pa.int8()), ("value", pa.int64())])
     batches = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema).to_batches(max_chunksize=7)
     for states in (1 << 26, 500):
-        out = [tuple(r.values()) for b in method_arrays.stream(iter(batches), states, 64) for r in b.to_pylist()]
+        out = [(r["method"], r["src"], r["dst"], method_arrays.KINDS[r["kind"]]) for b in method_arrays.stream(iter(batches), states, 64) for r in b.to_pylist()]
         assert sorted(out) == sorted((m, *x) for m, (e, f, a) in methods.items() for x in plain_unflatten(e, f, a, 0))
     with pytest.raises(RuntimeError):
         list(method_arrays.stream(iter(batches), 1 << 26, 1))
