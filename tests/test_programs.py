@@ -351,6 +351,33 @@ def test_canonical_references(spark):
     assert {tuple(r) for r in called.collect()} == {("Lp/D;->own()V", "Lp/A;->m()V", 4), ("Lp/D;->own()V", "Lp/A;->m()V", 8), ("Lp/D;->own()V", "Lp/B;->k()V", 9), ("Lp/D;->own()V", "Lp/D;-><init>()V", 10), ("Lp/D;->own()V", "Lq/Z;->m()V", 12), ("Lp/D;->own()V", "Lp/D;->m@local:1", 2), ("Lp/D;->m()V", "Lp/D;->x:I", 1)}
 
 
+def test_callees_under_other_names_and_few_exchanges(spark, monkeypatch):
+    up = spark.createDataFrame([("p/D", "p/C", 1), ("p/C", "p/A", 1), ("p/A", "p/Z", 1)], "child string, parent string, ordinal int")
+    symbols = spark.createDataFrame([("p/A", "m()V"), ("p/Z", "k()V")], "owner string, suffix string")
+    rows = [
+        ("p/D", "Lp/D;->m()V", "Lp/D;->k()V", 1, "bytecode"),
+        ("p/D", "Lp/A;->m()V", "Lp/C;->k()V", 1, "bytecode"),  # the same caller under its ancestor's name, the same callee and offset
+        ("p/D", "Lp/A;->m()V", "Lp/C;->k()V", 2, "bytecode"),
+        ("p/A", "Lp/A;->m()V", "Lp/C;->m()V", 3, "bytecode"),
+        ("p/C", "Lp/C;->q()V", "Lp/C;->k()V", 4, "bytecode"),
+        ("p/C", "Lp/C;->q()V", "Lp/A;->k()V", 4, "bytecode"),
+    ]
+    refs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "class string, from string, target string, offset int, kind string, place int")
+    wrote, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, tag: wrote.append(tag) or write(df, tag))
+    moved = xrefs.canonical_names(refs, symbols, up)
+    # A level of the closure is written once.
+    assert wrote.count("closure") == 1
+    ask = lambda rows, *ids: xrefs.callees_by_member(rows, spark.createDataFrame([(x,) for x in ids], "id string"), moved)
+    got = ask(refs, "Lp/D;->m()V", "Lp/D;xx->m()V", "Lp/A;->m()V", "Lp/C;->q()V", "Lp/D;")
+    k = "Lp/Z;->k()V"
+    assert sorted(map(tuple, got.collect())) == [("Lp/A;->m()V", "Lp/A;->m()V", 3), ("Lp/C;->q()V", k, 4), ("Lp/D;->m()V", k, 1), ("Lp/D;->m()V", k, 2)]
+    own = ask(refs.where("class = 'p/C'"), "Lp/C;->q()V")
+    assert [tuple(r) for r in own.collect()] == [("Lp/C;->q()V", k, 4)]
+    # Callers of their own class: one exchange of the references besides that of the lookup, one of the ids.
+    assert own._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 2
+
+
 # --- dataflow over small methods
 
 
